@@ -1,0 +1 @@
+"""Left empty: none of the supported queries reads or keeps a stream."""
