@@ -107,6 +107,12 @@ def correctness(is_correct: Column) -> Column:
     return F.when(is_correct, CORRECT).when(~is_correct, WRONG).otherwise(UNKNOWN)
 
 
+def finite(value: Column) -> Column:
+    """``value`` for JSON, which has no infinities: NULL stands for them."""
+    size = F.abs(value)
+    return F.when(size < float("inf"), value)
+
+
 # Fixed pattern: the whole number a text starts with.
 _INTEGER_PREFIX = r"^\s*([+-]?[0-9]+)"
 

@@ -7,6 +7,7 @@ from typing import NamedTuple
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from roundledger.operators.bounded import pin_small
 from roundledger.operators.keys import pair_keys
 from roundledger.schemas import Tables
 
@@ -109,8 +110,13 @@ def add_model_seasons(
 
 
 def backfill_seasons(tables: Tables, usage: DataFrame) -> Backfill:
-    """The three tables after a backfill; a second run changes nothing."""
-    season = add_seasons(tables.season, predicted_years(tables.match, tables.prediction))
+    """The three tables after a backfill; a second run changes nothing.
+
+    The years, at most 9,999, are found first, so that the join of the two
+    facts is not repeated for each of the three results.
+    """
+    years = pin_small(predicted_years(tables.match, tables.prediction))
+    season = add_seasons(tables.season, years)
     return Backfill(
         season=season,
         match=assign_seasons(tables.match, season),

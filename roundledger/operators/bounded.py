@@ -1,0 +1,36 @@
+"""Results that are computed once and then used several times."""
+
+from __future__ import annotations
+
+import tempfile
+
+from pyspark.sql import DataFrame
+
+PINNED_ROWS = 100_000
+
+
+def pin_small(df: DataFrame, max_rows: int = PINNED_ROWS) -> DataFrame:
+    """Turn a small derived table into rows whose size Spark knows.
+
+    A table derived from a fact is estimated at the size of the fact, so joins
+    to it would shuffle the other side. At most ``max_rows + 1`` rows reach the
+    driver; a table that turns out larger stays as derived.
+    """
+    rows = df.limit(max_rows + 1).toArrow()
+    if rows.num_rows > max_rows:
+        return df
+    return df.sparkSession.createDataFrame(rows, df.schema)
+
+
+def settle(df: DataFrame) -> DataFrame:
+    """Compute ``df`` now and keep it in the shared checkpoint folder.
+
+    Needs ``spark.checkpoint.dir``; only a local session gets a folder of its own.
+    """
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        folder = context.getConf().get("spark.checkpoint.dir")
+        if folder is None and not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder all executors share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="checkpoint-"))
+    return df.checkpoint()

@@ -1,12 +1,12 @@
 """The four metrics by season, and by round and model.
 
-Each scored prediction is folded once into (round or season) x model totals;
-flags, names and running values are worked out on those few rows.
+Each scored prediction is folded once into totals per model and season or
+round; flags, names and running values are worked out on those few rows.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -18,14 +18,22 @@ _SCORES = {"tip": "Tip", "absError": "AbsError", "bits": "Bits"}
 MAX_MODELS = 10_000
 
 
+def round_totals(scored: DataFrame) -> DataFrame:
+    """Sums and counts of the scores per season, round and model.
+
+    This is the one pass over scored predictions; all metrics start from it.
+    """
+    return _totals(scored, "year", "seasonId", "roundNumber", "mlModelId")
+
+
 def _totals(scored: DataFrame, *keys: str) -> DataFrame:
     sums = [F.sum(score).alias(f"sum{name}") for score, name in _SCORES.items()]
     counts = [F.count(score).alias(f"n{name}") for score, name in _SCORES.items()]
     return scored.groupBy(*keys).agg(*sums, *counts)
 
 
-def _metrics_from(total) -> list[Column]:
-    """Metrics from totals; ``total`` maps the name of a total to its column."""
+def _metrics_from(total: Callable[[str], Column]) -> list[Column]:
+    """Metrics from totals; ``total`` gives the column of a named total."""
 
     def mean(name: str) -> Column:
         return F.try_divide(total(f"sum{name}").cast("double"), total(f"n{name}"))
@@ -38,6 +46,12 @@ def _metrics_from(total) -> list[Column]:
     ]
 
 
+def _total_in_use(name: str) -> Column:
+    """Tips count for the principal model, error and bits for models in competitions."""
+    role = "isPrincipal" if name.endswith("Tip") else "isUsedInCompetitions"
+    return F.sum(F.when(F.col(role), F.col(name)))
+
+
 def season_metrics(scored: DataFrame, season: DataFrame, ml_model_season: DataFrame) -> DataFrame:
     """(year, totalTips, accuracy, mae, bits), one row per season.
 
@@ -47,47 +61,56 @@ def season_metrics(scored: DataFrame, season: DataFrame, ml_model_season: DataFr
     """
     by_model = _totals(scored, "seasonId", "mlModelId")
     in_use = by_model.join(model_roles(ml_model_season), ["seasonId", "mlModelId"])
-
-    def total(name: str) -> Column:
-        role = "isPrincipal" if name.endswith("Tip") else "isUsedInCompetitions"
-        return F.sum(F.when(F.col(role), F.col(name)))
-
-    by_season = in_use.groupBy("seasonId").agg(*_metrics_from(total))
+    by_season = in_use.groupBy("seasonId").agg(*_metrics_from(_total_in_use))
     seasons = season.select(F.col("id").alias("seasonId"), "year")
     return seasons.join(by_season, "seasonId", "left").select("year", *METRICS)
 
 
-def round_scores(scored: DataFrame, ml_model: DataFrame, cumulative: bool = True) -> DataFrame:
+def season_summary(totals: DataFrame, ml_model_season: DataFrame) -> DataFrame:
+    """One row for the ``round_totals`` of one season: ``roundNumbers``, ``metrics``."""
+    roles = model_roles(ml_model_season)
+    return (
+        totals.join(roles, ["seasonId", "mlModelId"], "left")
+        .agg(
+            F.sort_array(F.collect_set("roundNumber")).alias("roundNumbers"),
+            *_metrics_from(_total_in_use),
+        )
+        .select("roundNumbers", F.struct(*METRICS).alias("metrics"))
+    )
+
+
+def round_scores(totals: DataFrame, ml_model: DataFrame, cumulative: bool = True) -> DataFrame:
     """(year, roundNumber, name, totalTips, accuracy, mae, bits) per round and model.
 
     Cumulative values run from the first round of the season; averages divide
     running sums by running counts.
     """
-    cells = _totals(scored, "year", "roundNumber", "mlModelId")
+    total = F.col
     if cumulative:
         to_date = (
             Window.partitionBy("year", "mlModelId")
             .orderBy("roundNumber")
             .rowsBetween(Window.unboundedPreceding, Window.currentRow)
         )
-        metrics = _metrics_from(lambda name: F.sum(name).over(to_date))
-    else:
-        metrics = _metrics_from(F.col)
+
+        def total(name: str) -> Column:
+            return F.sum(name).over(to_date)
+
     names = ml_model.select(F.col("id").alias("mlModelId"), "name")
     return (
-        cells.select("year", "roundNumber", "mlModelId", *metrics)
+        totals.select("year", "roundNumber", "mlModelId", *_metrics_from(total))
         .join(names, "mlModelId")
         .select("year", "roundNumber", "name", *METRICS)
     )
 
 
 def round_metrics(
-    scored: DataFrame, ml_model: DataFrame, metric: str, cumulative: bool = True
+    totals: DataFrame, ml_model: DataFrame, metric: str, cumulative: bool = True
 ) -> DataFrame:
-    """(year, roundNumber, name, value) of one metric."""
+    """(year, roundNumber, name, value) of one metric, from ``round_totals``."""
     if metric not in METRICS:
         raise ValueError(f"unknown metric: {metric}")
-    return round_scores(scored, ml_model, cumulative).select(
+    return round_scores(totals, ml_model, cumulative).select(
         "year", "roundNumber", "name", F.col(metric).cast("double").alias("value")
     )
 

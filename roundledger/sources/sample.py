@@ -11,28 +11,10 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from roundledger.operators.backfill import seasons_by_models
-from roundledger.schemas import SCHEMAS, Tables
+from roundledger.operators.bounded import pin_small
+from roundledger.schemas import Tables
 from roundledger.session import configure
-
-PINNED_ROWS = 100_000
-
-
-def pin_small(df: DataFrame, max_rows: int = PINNED_ROWS) -> DataFrame:
-    """Turn a small derived dimension into rows whose size Spark knows.
-
-    A dimension derived from a fact is estimated at the size of the fact, so
-    joins to it would shuffle the other side. At most ``max_rows + 1`` rows
-    reach the driver; a dimension that turns out larger is used as derived.
-    """
-    rows = df.limit(max_rows + 1).collect()
-    if len(rows) > max_rows:
-        return df
-    return df.sparkSession.createDataFrame(rows, df.schema)
-
-
-def _conform(df: DataFrame, table: str) -> DataFrame:
-    return df.select(*(F.col(f.name).cast(f.dataType).alias(f.name) for f in SCHEMAS[table]))
-
+from roundledger.sources.tables import conform
 
 def sample_tables(spark: SparkSession, sf_dir: str) -> Tables:
     """Derive all seven tables from the parquet files in ``sf_dir``."""
@@ -46,9 +28,9 @@ def sample_tables(spark: SparkSession, sf_dir: str) -> Tables:
     ml_model = pin_small(_ml_model(lineitem))
     match = _match(orders, read("customer"), season)
     return Tables(
-        match=_conform(match, "match"),
-        prediction=_conform(_prediction(lineitem, match), "prediction"),
-        team_match=_conform(_team_match(match), "team_match"),
+        match=conform(match, "match"),
+        prediction=conform(_prediction(lineitem, match), "prediction"),
+        team_match=conform(_team_match(match), "team_match"),
         season=season,
         team=read("nation").select(
             F.col("n_nationkey").cast("int").alias("id"), F.col("n_name").alias("name")
