@@ -86,11 +86,19 @@ def _round_metric(metric: str, cumulative: bool = True) -> Query:
 
 
 def _season_metrics(t: Tables) -> DataFrame:
-    return metrics.season_metrics(scoring.score_predictions(t), t.season, t.ml_model_season)
+    scored = scoring.score_predictions(t, in_use_only=True)
+    return metrics.season_metrics(scored, t.season, t.ml_model_season)
+
+
+def _round_predictions(t: Tables) -> DataFrame:
+    scored = scoring.score_predictions(t, in_use_only=True)
+    return predictions.round_predictions(scored, t.ml_model_season, t.team)
 
 
 def _scored_predictions(t: Tables) -> DataFrame:
-    return scoring.score_predictions(t).drop("seasonId")
+    return scoring.score_predictions(t).select(
+        "year", "roundNumber", "matchId", "mlModelId", "tip", "absError", "bits"
+    )
 
 
 def _round_metrics_wide(t: Tables) -> DataFrame:
@@ -186,7 +194,7 @@ def _orphan_refs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _references_held(t: Tables) -> DataFrame:
-    return quality.references_held(t).select("relation", "key", "rows")
+    return quality.references_held(t)
 
 
 def _repeated_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -316,9 +324,9 @@ _QUERIES: dict[str, Query] = {
     "round_bits_per_round": _round_metric("bits", cumulative=False),
     "round_metrics_wide": _on_tables(_round_metrics_wide),
     "metric_series": _on_tables(lambda t: dashboard.metric_series(t, "1999", "mae")),
-    "round_predictions": _on_tables(predictions.round_predictions),
+    "round_predictions": _on_tables(_round_predictions),
     "prediction_list": _on_tables(lambda t: dashboard.prediction_list(t, "1999", "5")),
-    "round_report": _on_tables(lambda t: reports.round_report(predictions.round_predictions(t))),
+    "round_report": _on_tables(lambda t: reports.round_report(_round_predictions(t))),
     "season_report": _on_tables(lambda t: reports.season_report(_season_metrics(t))),
     "prediction_texts": _on_tables(_prediction_texts),
     "metric_texts": _on_tables(_metric_texts),

@@ -5,8 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from roundledger.operators.scoring import matches_of_seasons, model_roles
-from roundledger.schemas import Tables
+from roundledger.operators.scoring import model_roles
 
 _PICK = ("predictedWinnerId", "isCorrect", "predictedMargin", "predictedWinProbability")
 
@@ -55,26 +54,14 @@ def combine_picks(picks: DataFrame) -> DataFrame:
     )
 
 
-def round_predictions(
-    tables: Tables, year: int | None = None, round_number: int | None = None
-) -> DataFrame:
+def round_predictions(scored: DataFrame, ml_model_season: DataFrame, team: DataFrame) -> DataFrame:
     """(year, roundNumber, matchId, predictedWinnerName, predictedMargin,
     predictedWinProbability, isCorrect), one row per match with a tip.
 
-    Only predictions of models some season uses take part in the join.
+    ``scored`` may hold all seasons or one round (``of_round``).
     """
-    roles = model_roles(tables.ml_model_season)
-    if year is not None:
-        chosen = tables.season.filter(F.col("year") == year).select(F.col("id").alias("seasonId"))
-        roles = roles.join(chosen, "seasonId", "left_semi")
-    in_use = tables.prediction.select("id", "matchId", "mlModelId", *_PICK).join(
-        roles.select("mlModelId").distinct(), "mlModelId", "left_semi"
-    )
-    matches = matches_of_seasons(tables.match, tables.season, year, round_number).select(
-        "matchId", "year", "seasonId", "roundNumber"
-    )
-    picks = in_use.join(matches, "matchId").join(roles, ["seasonId", "mlModelId"])
-    teams = tables.team.select(
+    picks = scored.join(model_roles(ml_model_season), ["seasonId", "mlModelId"])
+    teams = team.select(
         F.col("id").alias("predictedWinnerId"), F.col("name").alias("predictedWinnerName")
     )
     return combine_picks(picks).join(teams, "predictedWinnerId").select(

@@ -2,12 +2,20 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from roundledger.schemas import REFERENCES, TABLE_NAMES, UNIQUE_KEYS, Tables, required_columns
+from roundledger.schemas import (
+    REFERENCES,
+    TABLE_NAMES,
+    UNIQUE_KEYS,
+    Reference,
+    Tables,
+    required_columns,
+)
 
 # Fixed value: the longest text the old table format holds.
 OLD_TEXT_LIMIT = 100
@@ -73,46 +81,59 @@ def missing_required(tables: Tables) -> DataFrame:
     return _union(parts)
 
 
-def references_held(tables: Tables, only: tuple = REFERENCES) -> DataFrame:
-    """(relation, parent, key, rows): how often each foreign key value occurs.
-
-    A child's references are counted in one scan. Counting before any join
-    leaves one row per key, however many rows share it.
-    """
+def _reference_values(tables: Tables, only: Sequence[Reference]) -> DataFrame:
+    """(relation, parent, key) of every reference that is set, one scan per child."""
     parts = []
     for child in dict.fromkeys(reference.child for reference in only):
-        held = [r for r in only if r.child == child]
-        values = F.array(
-            *(
-                F.struct(
-                    F.lit(r.label).alias("relation"),
-                    F.lit(r.parent).alias("parent"),
-                    F.col(r.column).cast("bigint").alias("key"),
-                )
-                for r in held
+        values = [
+            F.struct(
+                F.lit(r.label).alias("relation"),
+                F.lit(r.parent).alias("parent"),
+                F.col(r.column).cast("bigint").alias("key"),
             )
-        )
-        parts.append(tables[child].select(F.inline(values)))
-    return (
-        _union(parts)
-        .filter(F.col("key").isNotNull())
-        .groupBy("relation", "parent", "key")
-        .agg(F.count("*").alias("rows"))
-    )
+            for r in only
+            if r.child == child
+        ]
+        parts.append(tables[child].select(F.inline(F.array(*values))))
+    return _union(parts).filter(F.col("key").isNotNull())
+
+
+def references_held(tables: Tables, only: Sequence[Reference] = REFERENCES) -> DataFrame:
+    """(relation, key, rows): how often each foreign key value occurs."""
+    values = _reference_values(tables, only)
+    return values.groupBy("relation", "key").agg(F.count("*").alias("rows"))
 
 
 def orphan_references(tables: Tables) -> DataFrame:
-    """(relation, key, rows) of the references to rows that do not exist."""
+    """(relation, key, rows) of the references to rows that do not exist.
+
+    References are counted per parent key first, one counter per relation:
+    that leaves one row per key, however many rows share it, already laid out
+    for the join with the parents.
+    """
+    counters = [
+        F.count(F.when(F.col("relation") == r.label, 1)).alias(f"relation{i}")
+        for i, r in enumerate(REFERENCES)
+    ]
+    held = _reference_values(tables, REFERENCES).groupBy("parent", "key").agg(*counters)
     parents = _union(
         [
-            tables[parent].select(F.lit(parent).alias("parent"), F.col("id").cast("bigint").alias("key"))
+            tables[parent].select(
+                F.lit(parent).alias("parent"), F.col("id").cast("bigint").alias("key")
+            )
             for parent in dict.fromkeys(r.parent for r in REFERENCES)
         ]
     )
+    counts = F.array(
+        *(
+            F.struct(F.lit(r.label).alias("relation"), "key", F.col(f"relation{i}").alias("rows"))
+            for i, r in enumerate(REFERENCES)
+        )
+    )
     return (
-        references_held(tables)
-        .join(parents, ["parent", "key"], "left_anti")
-        .select("relation", "key", "rows")
+        held.join(parents, ["parent", "key"], "left_anti")
+        .select(F.inline(counts))
+        .filter("rows > 0")
     )
 
 

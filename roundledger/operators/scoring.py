@@ -14,44 +14,68 @@ from roundledger.functions.scores import (
 from roundledger.schemas import Tables
 
 
-def matches_of_seasons(
-    match: DataFrame, season: DataFrame, year: int | None = None, round_number: int | None = None
-) -> DataFrame:
-    """Matches that belong to a season, with its year; optionally one year or round.
+def matches_of_seasons(match: DataFrame, season: DataFrame, year: int | None = None) -> DataFrame:
+    """Matches that belong to a season (optionally of one year), with its year.
 
-    Stored matches are partitioned by season, so the filter on the small
-    season side prunes files through the join.
+    Stored matches are partitioned by season, so a filter on the small season
+    side prunes files through the join.
     """
     seasons = season.select(F.col("id").alias("seasonId"), "year")
     if year is not None:
         seasons = seasons.filter(F.col("year") == year)
-    if round_number is not None:
-        match = match.filter(F.col("roundNumber") == round_number)
     return match.withColumnRenamed("id", "matchId").join(seasons, "seasonId")
 
 
-def score_predictions(tables: Tables, year: int | None = None) -> DataFrame:
+def score_predictions(
+    tables: Tables, year: int | None = None, in_use_only: bool = False
+) -> DataFrame:
     """One row per prediction of a season's match, with its three scores.
 
-    This holds the only join between the two large tables. Each metric is an
-    aggregate of this result, so it pays to store it (``save_scored``) when
-    several reports are needed.
+    This holds the only join between the two large tables. Every metric and
+    report is an aggregate of this result, so it pays to store it
+    (``save_scored``) when several are needed. With ``in_use_only`` the
+    predictions of models that no season (of that year) uses are dropped before
+    the join.
     """
+    prediction = tables.prediction
+    if in_use_only:
+        roles = model_roles(tables.ml_model_season)
+        if year is not None:
+            chosen = tables.season.filter(F.col("year") == year)
+            roles = roles.join(chosen.select(F.col("id").alias("seasonId")), "seasonId", "left_semi")
+        prediction = prediction.join(roles.select("mlModelId").distinct(), "mlModelId", "left_semi")
     matches = matches_of_seasons(tables.match, tables.season, year).select(
         "matchId", "year", "seasonId", "roundNumber", "margin", "winnerId"
     )
-    return tables.prediction.join(matches, "matchId").select(
+    return prediction.join(matches, "matchId").select(
         "year",
         "seasonId",
         "roundNumber",
         "matchId",
+        "id",
         "mlModelId",
+        "predictedWinnerId",
+        "predictedMargin",
+        "predictedWinProbability",
+        "isCorrect",
         tip().alias("tip"),
         absolute_error().alias("absError"),
         information_bits().alias("bits"),
     )
 
 
+def of_round(scored: DataFrame, year: int | None = None, round_number: int | None = None) -> DataFrame:
+    """Scored predictions of one year, or of one of its rounds.
+
+    The conditions move down to the files: year and round are plain columns.
+    """
+    if year is not None:
+        scored = scored.filter(F.col("year") == year)
+    if round_number is not None:
+        scored = scored.filter(F.col("roundNumber") == round_number)
+    return scored
+
+
 def recompute_correctness(tables: Tables, draws_count: bool = False) -> DataFrame:
     """Predictions with ``isCorrect`` worked out from the results."""
     results = tables.match.select(F.col("id").alias("matchId"), "margin", "winnerId")

@@ -15,24 +15,29 @@ from roundledger.operators.metrics import (
     season_summary,
 )
 from roundledger.operators.predictions import round_predictions
-from roundledger.operators.scoring import score_predictions
+from roundledger.operators.scoring import of_round, score_predictions
 from roundledger.operators.selection import current_value
 from roundledger.schemas import Tables
 
 
-def dashboard_document(tables: Tables, season_text: str | None = None) -> DataFrame:
+def dashboard_document(
+    tables: Tables, season_text: str | None = None, scored: DataFrame | None = None
+) -> DataFrame:
     """One row, one JSON ``document``: round numbers and metrics of the current
     season, its year, and all season years.
 
     The year asked for is used where it exists, else the latest one. Rounds and
-    metrics come out of the same pass over the season's predictions.
+    metrics come out of the same pass over the season's predictions, which are
+    read from ``scored`` where that is stored.
     """
     current = current_value(tables.season, "year", parse_integer_prefix(season_text))
-    # One row per year at most, from a one-row aggregate.
-    chosen = tables.season.join(F.broadcast(current), "year")
-    only = tables.swap(season=chosen.select("id", "year"))
-
-    summary = season_summary(round_totals(score_predictions(only)), tables.ml_model_season)
+    # A global aggregate has one row, so both broadcasts have a fixed bound.
+    if scored is None:
+        chosen = tables.season.join(F.broadcast(current), "year").select("id", "year")
+        predictions = score_predictions(tables.swap(season=chosen))
+    else:
+        predictions = scored.join(F.broadcast(current), "year")
+    summary = season_summary(round_totals(predictions), tables.ml_model_season)
     years = tables.season.agg(F.sort_array(F.collect_set("year")).alias("seasonYears"))
     metrics = F.struct(
         *(finite(F.col(f"metrics.{metric}")).alias(metric) for metric in METRICS)
@@ -47,7 +52,11 @@ def dashboard_document(tables: Tables, season_text: str | None = None) -> DataFr
 
 
 def metric_series(
-    tables: Tables, season_text: str | None, metric: str | None, cumulative: bool = True
+    tables: Tables,
+    season_text: str | None,
+    metric: str | None,
+    cumulative: bool = True,
+    scored: DataFrame | None = None,
 ) -> DataFrame:
     """A season's rounds, ascending, with one column per model.
 
@@ -57,8 +66,9 @@ def metric_series(
     year = parse_integer_prefix(season_text)
     if year is None or metric not in METRICS:
         return tables.match.select("roundNumber").limit(0)
+    predictions = score_predictions(tables, year) if scored is None else of_round(scored, year)
     # Both the column names and the values come from these few rows.
-    totals = settle(round_totals(score_predictions(tables, year)))
+    totals = settle(round_totals(predictions))
     predicted = tables.ml_model.join(
         totals.select(F.col("mlModelId").alias("id")).distinct(), "id", "left_semi"
     )
@@ -68,12 +78,16 @@ def metric_series(
 
 
 def prediction_list(
-    tables: Tables, season_text: str | None, round_text: str | None
+    tables: Tables,
+    season_text: str | None,
+    round_text: str | None,
+    scored: DataFrame | None = None,
 ) -> DataFrame:
     """A round's tips in match order; no rows for a missing or unreadable parameter."""
     year, round_number = parse_integer_prefix(season_text), parse_integer_prefix(round_text)
-    readable = year is not None and round_number is not None
-    tips = round_predictions(tables, year, round_number).orderBy("matchId").select(
+    predictions = scored if scored is not None else score_predictions(tables, year, in_use_only=True)
+    in_round = of_round(predictions, year, round_number)
+    tips = round_predictions(in_round, tables.ml_model_season, tables.team).orderBy("matchId").select(
         "predictedWinnerName", "predictedMargin", "predictedWinProbability", "isCorrect"
     )
-    return tips if readable else tips.limit(0)
+    return tips.limit(0) if year is None or round_number is None else tips
