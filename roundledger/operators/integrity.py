@@ -22,50 +22,47 @@ def _without(df: DataFrame, column: str, keys: DataFrame) -> DataFrame:
     return df.join(keys, df[column] == keys["deletedId"], "left_anti")
 
 
-def delete_cascade(tables: Tables, parent: str, deleted: DataFrame) -> Tables:
-    """Remove rows (by ``id``) and everything that belongs to them."""
+def _emptied(df: DataFrame, column: str, keys: DataFrame) -> DataFrame:
+    kept = F.when(F.col("deletedId").isNull(), F.col(column))
+    joined = df.join(keys, df[column] == keys["deletedId"], "left")
+    return _with_reference(joined, df.columns, column, kept)
+
+
+_RULES = {"cascade": _without, "set null": _emptied}
+
+
+def _delete(tables: Tables, parent: str, deleted: DataFrame, rules: tuple[str, ...]) -> Tables:
     keys = _keys(deleted)
     changed = {parent: _without(tables[parent], "id", keys)}
     for reference in REFERENCES:
-        if reference.parent == parent and reference.on_delete == "cascade":
+        if reference.parent == parent and reference.on_delete in rules:
             child = changed.get(reference.child, tables[reference.child])
-            changed[reference.child] = _without(child, reference.column, keys)
+            changed[reference.child] = _RULES[reference.on_delete](child, reference.column, keys)
     return tables.swap(**changed)
 
 
+def delete_cascade(tables: Tables, parent: str, deleted: DataFrame) -> Tables:
+    """Remove rows (by ``id``) and everything that belongs to them."""
+    return _delete(tables, parent, deleted, ("cascade",))
+
+
 def delete_set_null(tables: Tables, parent: str, deleted: DataFrame) -> Tables:
     """Remove rows (by ``id``) and empty the optional references to them."""
-    keys = _keys(deleted)
-    changed = {parent: _without(tables[parent], "id", keys)}
-    for reference in REFERENCES:
-        if reference.parent == parent and reference.on_delete == "set null":
-            child = changed.get(reference.child, tables[reference.child])
-            kept = F.when(F.col("deletedId").isNull(), F.col(reference.column))
-            changed[reference.child] = _with_reference(
-                child.join(keys, child[reference.column] == keys["deletedId"], "left"),
-                child.columns,
-                reference.column,
-                kept,
-            )
-    return tables.swap(**changed)
+    return _delete(tables, parent, deleted, ("set null",))
 
 
 def restricting_references(tables: Tables, parent: str, deleted: DataFrame) -> DataFrame:
     """(relation, key, rows) that forbid the deletion of rows (by ``id``)."""
-    restricting = tuple(
-        r for r in REFERENCES if r.parent == parent and r.on_delete == "restrict"
-    )
+    restricting = [r for r in REFERENCES if r.parent == parent and r.on_delete == "restrict"]
     held = references_held(tables, restricting)
     keys = _keys(deleted)
-    return held.join(keys, held["key"] == keys["deletedId"], "left_semi").select(
-        "relation", "key", "rows"
-    )
+    return held.join(keys, held["key"] == keys["deletedId"], "left_semi")
 
 
 def delete_rows(tables: Tables, parent: str, deleted: DataFrame) -> Tables:
     """Delete rows by all three rules; fails while a required reference holds one."""
     require_empty(restricting_references(tables, parent, deleted), f"{parent} still in use")
-    return delete_set_null(delete_cascade(tables, parent, deleted), parent, deleted)
+    return _delete(tables, parent, deleted, ("cascade", "set null"))
 
 
 def remap_keys(tables: Tables, parent: str, key_map: DataFrame) -> Tables:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from roundledger.schemas import (
@@ -81,59 +81,65 @@ def missing_required(tables: Tables) -> DataFrame:
     return _union(parts)
 
 
-def _reference_values(tables: Tables, only: Sequence[Reference]) -> DataFrame:
-    """(relation, parent, key) of every reference that is set, one scan per child."""
-    parts = []
-    for child in dict.fromkeys(reference.child for reference in only):
-        values = [
-            F.struct(
-                F.lit(r.label).alias("relation"),
-                F.lit(r.parent).alias("parent"),
-                F.col(r.column).cast("bigint").alias("key"),
-            )
-            for r in only
-            if r.child == child
-        ]
-        parts.append(tables[child].select(F.inline(F.array(*values))))
-    return _union(parts).filter(F.col("key").isNotNull())
+def _held_keys(tables: Tables, reference: Reference) -> DataFrame:
+    """(key) of every reference that is set."""
+    key = F.col(reference.column).cast("bigint").alias("key")
+    return tables[reference.child].select(key).filter(F.col("key").isNotNull())
 
 
 def references_held(tables: Tables, only: Sequence[Reference] = REFERENCES) -> DataFrame:
     """(relation, key, rows): how often each foreign key value occurs."""
-    values = _reference_values(tables, only)
-    return values.groupBy("relation", "key").agg(F.count("*").alias("rows"))
+    counts = [
+        _held_keys(tables, reference)
+        .groupBy("key")
+        .agg(F.count("*").alias("rows"))
+        .select(F.lit(reference.label).alias("relation"), "key", "rows")
+        for reference in only
+    ]
+    nothing = tables.match.sparkSession.createDataFrame([], "relation string, key bigint, rows bigint")
+    return _union(counts) if counts else nothing
 
 
 def orphan_references(tables: Tables) -> DataFrame:
-    """(relation, key, rows) of the references to rows that do not exist.
+    """(relation, key, rows) of the references to rows that do not exist."""
+    parents = dict.fromkeys(reference.parent for reference in REFERENCES)
+    return _union([_orphans_of(tables, parent) for parent in parents])
 
-    References are counted per parent key first, one counter per relation:
-    that leaves one row per key, however many rows share it, already laid out
-    for the join with the parents.
+
+def _orphans_of(tables: Tables, parent: str) -> DataFrame:
+    """Orphans among all references to one parent table.
+
+    They are counted per key first, one counter per relation. That leaves one
+    row per key, however many rows share it, already laid out for the join
+    with the parent.
     """
-    counters = [
-        F.count(F.when(F.col("relation") == r.label, 1)).alias(f"relation{i}")
-        for i, r in enumerate(REFERENCES)
-    ]
-    held = _reference_values(tables, REFERENCES).groupBy("parent", "key").agg(*counters)
-    parents = _union(
-        [
-            tables[parent].select(
-                F.lit(parent).alias("parent"), F.col("id").cast("bigint").alias("key")
-            )
-            for parent in dict.fromkeys(r.parent for r in REFERENCES)
-        ]
+    references = [r for r in REFERENCES if r.parent == parent]
+    held = _union(
+        [_held_keys(tables, r).withColumn("relation", F.lit(i)) for i, r in enumerate(references)]
     )
-    counts = F.array(
+    counted = held.groupBy("key").agg(
         *(
-            F.struct(F.lit(r.label).alias("relation"), "key", F.col(f"relation{i}").alias("rows"))
-            for i, r in enumerate(REFERENCES)
+            F.count(F.when(F.col("relation") == i, 1)).alias(r.label)
+            for i, r in enumerate(references)
         )
     )
+    existing = tables[parent].select(F.col("id").cast("bigint").alias("key"))
+    labels = [r.label for r in references]
     return (
-        held.join(parents, ["parent", "key"], "left_anti")
-        .select(F.inline(counts))
+        counted.join(existing, "key", "left_anti")
+        .select("key", F.inline(_labelled(labels)))
         .filter("rows > 0")
+        .select("relation", "key", "rows")
+    )
+
+
+def _labelled(labels: Sequence[str]) -> Column:
+    """The counter columns named ``labels`` as an array of (relation, rows)."""
+    return F.array(
+        *(
+            F.struct(F.lit(label).alias("relation"), F.col(f"`{label}`").alias("rows"))
+            for label in labels
+        )
     )
 
 

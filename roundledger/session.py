@@ -16,6 +16,8 @@ SETTINGS = {
     # Split a hot match even where the split costs the following aggregate one
     # more exchange; the exchange is only added when skew is seen.
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
+    # Skip the sort of a join whose shuffled partitions all turn out this small.
+    "spark.sql.adaptive.maxShuffledHashJoinLocalMapThreshold": "64MB",
 }
 
 

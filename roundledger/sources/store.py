@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -11,29 +13,44 @@ from roundledger.schemas import SCHEMAS, TABLE_NAMES, Tables
 from roundledger.sources.evolve import fill_defaults
 from roundledger.sources.tables import load_tables
 
-# Columns the stored tables are split by, so that a season reads its own files.
-PARTITIONS = {"match": ["seasonId"]}
 
+class Layout(NamedTuple):
+    """How a stored table is laid out: folders, then files, then rows in a file."""
+
+    folders: tuple[str, ...] = ()
+    gathered: tuple[str, ...] = ()
+    sorted: tuple[str, ...] = ()
+
+
+# A season reads its own folders and a round its own files. Facts are gathered
+# by match, so that counting per match shrinks them before any shuffle.
+LAYOUTS = {
+    "match": Layout(("seasonId",), ("seasonId", "roundNumber"), ("seasonId", "roundNumber", "id")),
+    "prediction": Layout((), ("matchId",), ("matchId",)),
+    "team_match": Layout((), ("matchId",), ("matchId",)),
+}
+SCORED_LAYOUT = Layout(("year",), ("year", "roundNumber"), ("year", "roundNumber", "matchId"))
 
-def _balanced(df: DataFrame, partitions: list[str]) -> DataFrame:
-    """Gather a partition's rows into few files, splitting the very large ones."""
-    return df.hint("rebalance", *map(F.col, partitions)) if partitions else df.hint("rebalance")
 
+def _arranged(df: DataFrame, layout: Layout) -> DataFrame:
+    """Rows gathered into even files; a value too frequent for one file gets several."""
+    arranged = df.hint("rebalance", *map(F.col, layout.gathered))
+    return arranged.sortWithinPartitions(*layout.sorted) if layout.sorted else arranged
 
-def save_parquet(df: DataFrame, path: str, partitions: list[str] | None = None) -> None:
-    partitions = partitions or []
-    _balanced(df, partitions).write.mode("overwrite").partitionBy(*partitions).parquet(path)
+
+def save_parquet(df: DataFrame, path: str, layout: Layout = Layout()) -> None:
+    _arranged(df, layout).write.mode("overwrite").partitionBy(*layout.folders).parquet(path)
 
 
 def save_tables(tables: Tables, root: str) -> None:
     """Write all seven tables under ``root``."""
     for table, df in tables.items():
-        save_parquet(df, f"{root}/{TABLE_NAMES[table]}", PARTITIONS.get(table))
+        save_parquet(df, f"{root}/{TABLE_NAMES[table]}", LAYOUTS.get(table, Layout()))
 
 
 def save_scored(scored: DataFrame, path: str) -> None:
     """Store scored predictions by year: later metrics need no join of facts."""
-    save_parquet(scored, path, ["year"])
+    save_parquet(scored, path, SCORED_LAYOUT)
 
 
 def load_scored(spark: SparkSession, path: str, year: int | None = None) -> DataFrame:
@@ -45,10 +62,9 @@ def load_database(spark: SparkSession, files_root: str, database: str) -> None:
     """Reload a whole catalog database from per-table files."""
     spark.sql(f"CREATE DATABASE IF NOT EXISTS `{database}`")
     for table, df in load_tables(spark, files_root).items():
-        partitions = PARTITIONS.get(table, [])
-        _balanced(df, partitions).write.mode("overwrite").partitionBy(*partitions).saveAsTable(
-            f"`{database}`.`{TABLE_NAMES[table]}`"
-        )
+        layout = LAYOUTS.get(table, Layout())
+        writer = _arranged(df, layout).write.mode("overwrite").partitionBy(*layout.folders)
+        writer.saveAsTable(f"`{database}`.`{TABLE_NAMES[table]}`")
 
 
 def prepare_rows(df: DataFrame, table: str) -> DataFrame:
@@ -69,11 +85,9 @@ def prepare_rows(df: DataFrame, table: str) -> DataFrame:
 
 def append_rows(df: DataFrame, table: str, root: str) -> None:
     """Bulk insert into a stored table."""
-    partitions = PARTITIONS.get(table, [])
-    rows = prepare_rows(df, table)
-    _balanced(rows, partitions).write.mode("append").partitionBy(*partitions).parquet(
-        f"{root}/{TABLE_NAMES[table]}"
-    )
+    layout = LAYOUTS.get(table, Layout())
+    rows = _arranged(prepare_rows(df, table), layout)
+    rows.write.mode("append").partitionBy(*layout.folders).parquet(f"{root}/{TABLE_NAMES[table]}")
 
 
 def publish(
@@ -88,7 +102,7 @@ def publish(
     spark.sql(f"CREATE DATABASE IF NOT EXISTS `{database}`")
     paths = {table: f"{root}/{run}/{TABLE_NAMES[table]}" for table in changed}
     for table, df in changed.items():
-        save_parquet(df, paths[table], PARTITIONS.get(table))
+        save_parquet(df, paths[table], LAYOUTS.get(table, Layout()))
     for table, path in paths.items():
         spark.sql(
             f"CREATE OR REPLACE VIEW `{database}`.`{TABLE_NAMES[table]}` "
