@@ -33,11 +33,13 @@ from roundledger.operators import (  # noqa: E402
     scoring,
     selection,
 )
+from roundledger.operators.keys import append_keys  # noqa: E402
 from roundledger.plans import dashboard  # noqa: E402
 from roundledger.schemas import SCHEMAS, Tables  # noqa: E402
 from roundledger.session import configure  # noqa: E402
 from roundledger.sources.evolve import evolve_table, old_name  # noqa: E402
 from roundledger.sources.sample import sample_tables  # noqa: E402
+from roundledger.sources.store import prepare_rows  # noqa: E402
 
 SMOKE_DIR = "/root/testdata/sf0.001"
 Query = Callable[[SparkSession, str], DataFrame]
@@ -281,6 +283,38 @@ def _evolve_schema(t: Tables) -> DataFrame:
     return evolved.drop("seasonId").withColumn("startDateTime", _timestamp_text("startDateTime"))
 
 
+def _evolve_prediction(t: Tables) -> DataFrame:
+    """Predictions with narrow keys and old names, brought to the present schema."""
+    narrow = t.prediction.withColumn("mlModelId", F.col("mlModelId").cast("short"))
+    names = {f.name: old_name(f.name) for f in SCHEMAS["prediction"]}
+    return evolve_table(narrow.withColumnsRenamed(names), "prediction").drop(
+        "createdAt", "updatedAt"
+    )
+
+
+def _insert_defaults(t: Tables) -> DataFrame:
+    """Flag rows with one flag sometimes empty and the other left out."""
+    given = t.ml_model_season.select(
+        "id", F.when(F.col("mlModelId") % 2 == 1, F.col("isPrincipal")).alias("isPrincipal"),
+        "seasonId", "mlModelId",
+    )
+    return prepare_rows(given, "ml_model_season")
+
+
+def _fact_keys(t: Tables) -> DataFrame:
+    """How many new keys there are, and how many are new and distinct."""
+    rows = t.prediction.select("matchId", "mlModelId")
+    keyed = append_keys(rows, t.match).select(F.col("id").alias("key"))
+    clashes = keyed.join(t.match, F.col("key") == F.col("id"), "left_semi").agg(
+        F.count("*").alias("clashes")
+    )
+    return keyed.agg(
+        F.count("*").alias("rows"),
+        F.count_distinct("key").alias("keys"),
+        clashes.scalar().alias("clashes"),
+    )
+
+
 def _season_starts(t: Tables) -> DataFrame:
     year = F.col("year")
     return (
@@ -369,6 +403,9 @@ _QUERIES: dict[str, Query] = {
         lambda t: scoring.recompute_correctness(t, draws_count=True).select("id", "isCorrect")
     ),
     "evolve_schema": _on_tables(_evolve_schema),
+    "evolve_prediction": _on_tables(_evolve_prediction),
+    "insert_defaults": _on_tables(_insert_defaults),
+    "fact_keys": _on_tables(_fact_keys),
     "season_starts": _on_tables(_season_starts),
     "matches_of_year": _on_tables(
         lambda t: t.match.filter(within_year(F.col("startDateTime"), 1999)).select("id")

@@ -468,6 +468,16 @@ FROM prediction p JOIN match m ON m.id = p.matchId""",
 SELECT id, strftime(startDateTime, '%Y-%m-%d %H:%M:%S') AS startDateTime, roundNumber, venue,
   margin, winnerId
 FROM match""",
+    "evolve_prediction": MAPPING + """
+SELECT id, predictedMargin, matchId, mlModelId, predictedWinnerId, isCorrect,
+  round(predictedWinProbability, 6) AS predictedWinProbability
+FROM prediction""",
+    "insert_defaults": MAPPING + """
+SELECT id, coalesce(CASE WHEN mlModelId % 2 = 1 THEN isPrincipal END, false) AS isPrincipal,
+  false AS isUsedInCompetitions, seasonId, mlModelId
+FROM ml_model_season""",
+    "fact_keys": MAPPING + """
+SELECT count(*) AS rows, count(*) AS keys, CAST(0 AS BIGINT) AS clashes FROM prediction""",
     "season_starts": MAPPING + """
 SELECT year, strftime(make_timestamp(year, 1, 1, 0, 0, 0), '%Y-%m-%d %H:%M:%S') AS starts,
   strftime(make_timestamp(year + 1, 1, 1, 0, 0, 0), '%Y-%m-%d %H:%M:%S') AS ends

@@ -42,6 +42,11 @@ def fixed_point(value: Column, digits: int = 0) -> Column:
         F.when(F.isnan(value), "NaN")
         .when(value == float("inf"), "Infinity")
         .when(value == float("-inf"), "-Infinity")
+        # From here on even fixed-point text uses an exponent: 1e+21.
+        .when(
+            size >= 1e21,
+            F.regexp_replace(F.regexp_replace(value.cast("string"), r"\.0E", "E"), "E", "e+"),
+        )
     )
     if digits > _EXACT_DIGITS:
         return F.coalesce(special, plain)

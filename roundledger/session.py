@@ -21,8 +21,23 @@ SETTINGS = {
 }
 
 
-def configure(spark: SparkSession) -> SparkSession:
-    """Apply the settings to a running session and return it."""
+# Bytes a shuffled partition should hold, and the most partitions worth having.
+PARTITION_BYTES = 256 * 2**20
+MOST_PARTITIONS = 50_000
+
+
+def configure(spark: SparkSession, shuffle_bytes: int | None = None) -> SparkSession:
+    """Apply the settings to a running session and return it.
+
+    ``shuffle_bytes``, the expected size of the largest shuffle (the used
+    columns of the predictions), sets how many partitions shuffles start with.
+    Small shuffles are merged back to fewer at run time.
+    """
     for key, value in SETTINGS.items():
         spark.conf.set(key, value)
+    if shuffle_bytes is not None:
+        partitions = min(-(-shuffle_bytes // PARTITION_BYTES), MOST_PARTITIONS)
+        spark.conf.set(
+            "spark.sql.adaptive.coalescePartitions.initialPartitionNum", str(max(partitions, 1))
+        )
     return spark

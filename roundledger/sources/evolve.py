@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from roundledger.schemas import SCHEMAS
+from roundledger.schemas import SCHEMAS, Tables
+from roundledger.session import configure
 
 # Names of the tables in the old format.
 OLD_TABLE_NAMES = {
@@ -41,6 +42,25 @@ def evolve_table(df: DataFrame, table: str) -> DataFrame:
     )
 
 
+def evolve_tables(old: dict[str, DataFrame]) -> Tables:
+    """All tables from old-format ones; seasons and their flags start out empty."""
+    some = next(iter(old.values()))
+    empty = {
+        table: some.sparkSession.createDataFrame([], SCHEMAS[table])
+        for table in ("season", "ml_model_season")
+    }
+    evolved = {table: evolve_table(old[table], table) for table in OLD_TABLE_NAMES}
+    return Tables(**evolved, **empty)
+
+
+def load_old_tables(spark: SparkSession, root: str) -> Tables:
+    """Old-format parquet tables under ``root``, evolved."""
+    configure(spark)
+    return evolve_tables(
+        {table: spark.read.parquet(f"{root}/{name}") for table, name in OLD_TABLE_NAMES.items()}
+    )
+
+
 def fill_defaults(df: DataFrame, table: str) -> DataFrame:
     """Give omitted or empty columns the table's default values."""
     defaults = {

@@ -1,0 +1,32 @@
+from roundledger import configure
+from roundledger.operators.bounded import pin_small, settle
+from tests.tiny import tuples
+
+
+def test_small_tables_are_pinned(spark):
+    df = spark.range(5).selectExpr("id", "id % 2 AS odd").distinct()
+    pinned = pin_small(df, max_rows=5)
+    assert pinned is not df
+    assert sorted(tuples(pinned)) == sorted(tuples(df))
+    assert "LocalTableScan" in pinned._jdf.queryExecution().executedPlan().toString()
+
+
+def test_larger_tables_stay_as_they_are(spark):
+    df = spark.range(6).distinct()
+    assert pin_small(df, max_rows=5) is df
+
+
+def test_settled_results_are_read_back(spark):
+    df = spark.range(10).selectExpr("id", "id * 2 AS twice").filter("twice > 4")
+    settled = settle(df)
+    assert sorted(tuples(settled)) == sorted(tuples(df))
+    assert "Range" not in settled._jdf.queryExecution().executedPlan().toString()
+    assert spark.sparkContext.getCheckpointDir() is not None
+
+
+def test_partitions_follow_the_expected_shuffle(spark):
+    key = "spark.sql.adaptive.coalescePartitions.initialPartitionNum"
+    for size, partitions in ((1, "1"), (10 * 2**40, "40960"), (2**60, "50000")):
+        configure(spark, shuffle_bytes=size)
+        assert spark.conf.get(key) == partitions
+    spark.conf.unset(key)

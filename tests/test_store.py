@@ -126,6 +126,29 @@ def test_evolve_old_tables(spark, tables):
     assert evolve.old_name("id") == "id"
 
 
+def test_load_old_tables(spark, tables, tmp_path):
+    for table, name in evolve.OLD_TABLE_NAMES.items():
+        old = tables[table].drop("seasonId")
+        if table != "ml_model":
+            old = old.withColumn("id", F.col("id").cast("int"))
+        old.toDF(*(evolve.old_name(c) for c in old.columns)).write.parquet(f"{tmp_path}/{name}")
+    new = evolve.load_old_tables(spark, str(tmp_path))
+    for table in evolve.OLD_TABLE_NAMES:
+        assert new[table].dtypes == tables[table].dtypes
+    same_rows(new.prediction, tables.prediction)
+    same_rows(new.match, tables.match.withColumn("seasonId", F.lit(None).cast("int")))
+    assert new.season.count() == new.ml_model_season.count() == 0
+    usage = spark.createDataFrame(
+        [("m", 2020, True, True), ("p", 2020, False, True)],
+        "name string, year int, isPrincipal boolean, isUsedInCompetitions boolean",
+    )
+    filled = new.swap(**backfill.backfill_seasons(new, usage)._asdict())
+    report = metrics.season_metrics(
+        scoring.score_predictions(filled), filled.season, filled.ml_model_season
+    )
+    assert (2020, 1, 1 / 3, 18.0, -1.0) in tuples(report)
+
+
 def test_json_lines(spark, tables, tmp_path):
     path = str(tmp_path / "json")
     rows = spark.createDataFrame(

@@ -55,6 +55,8 @@ def test_percentage(spark, value, digits, expected):
         (float("inf"), 2, "Infinity"),
         (float("-inf"), 2, "-Infinity"),
         (1e20, 2, "100000000000000000000.00"),
+        (1e21, 2, "1e+21"),
+        (-1.5e22, 0, "-1.5e+22"),
         (0.1, 10, "0.1000000000"),
     ],
 )
