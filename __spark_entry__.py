@@ -369,6 +369,9 @@ _QUERIES: dict[str, Query] = {
     "latest_rounds": _on_tables(
         lambda t: selection.latest_rounds(selection.predicted_rounds(t))
     ),
+    "report_titles": _on_tables(
+        lambda t: reports.report_titles(selection.latest_rounds(selection.predicted_rounds(t)))
+    ),
     "current_season_default": _on_tables(lambda t: selection.current_value(t.season, "year")),
     "current_season_requested": _on_tables(
         lambda t: selection.current_value(t.season, "year", 1997)

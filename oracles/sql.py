@@ -334,6 +334,11 @@ FROM match m JOIN prediction p ON p.matchId = m.id JOIN season s ON s.id = m.sea
     "latest_rounds": MAPPING + """
 SELECT s.year, max(m.roundNumber) AS roundNumber
 FROM match m JOIN prediction p ON p.matchId = m.id JOIN season s ON s.id = m.seasonId
+GROUP BY s.year""",
+    "report_titles": MAPPING + """
+SELECT s.year, concat('Model performance for ', s.year) AS seasonTitle,
+  concat('Predictions for Round ', max(m.roundNumber), ', ', s.year) AS roundTitle
+FROM match m JOIN prediction p ON p.matchId = m.id JOIN season s ON s.id = m.seasonId
 GROUP BY s.year""",
     "current_season_default": MAPPING + _CURRENT + "\nSELECT year FROM latest",
     "current_season_requested": MAPPING + _CURRENT + """

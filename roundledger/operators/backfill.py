@@ -12,6 +12,10 @@ from roundledger.operators.keys import pair_keys
 from roundledger.schemas import Tables
 
 
+# Years a timestamp can fall in: 0001 to 9999.
+MOST_YEARS = 9_999
+
+
 class Backfill(NamedTuple):
     season: DataFrame
     match: DataFrame
@@ -58,7 +62,7 @@ def assign_seasons(match: DataFrame, season: DataFrame) -> DataFrame:
     # One row per year of the timestamp range: at most 9,999 rows, whatever
     # the season table holds, so the broadcast has a fixed bound.
     by_year = (
-        season.filter(F.col("year").between(1, 9999))
+        season.filter(F.col("year").between(1, MOST_YEARS))
         .groupBy("year")
         .agg(F.min("id").alias("newSeasonId"))
     )
@@ -74,11 +78,15 @@ def assign_seasons(match: DataFrame, season: DataFrame) -> DataFrame:
 def seasons_by_models(season: DataFrame, ml_model: DataFrame) -> DataFrame:
     """Every season with every model: the pairs the flags table must hold.
 
-    Each model row is expanded by the list of seasons (one per year, so at
-    most 9,999), which keeps the work spread over the models.
+    Each model row is expanded by the list of seasons, which keeps the work
+    spread over the models. There is one season per calendar year, so the list
+    has a fixed bound; a season table beyond it is refused.
     """
     by_year = season.groupBy("year").agg(F.min("id").alias("seasonId"))
-    seasons = by_year.agg(F.collect_list(F.struct("seasonId", "year")).alias("seasons")).scalar()
+    listed = F.when(F.count("*") <= MOST_YEARS, F.collect_list(F.struct("seasonId", "year")))
+    seasons = by_year.agg(
+        listed.otherwise(F.raise_error(F.lit("more seasons than calendar years"))).alias("seasons")
+    ).scalar()
     return ml_model.select(
         F.inline(seasons), F.col("id").alias("mlModelId"), F.col("name").alias("name")
     )

@@ -53,6 +53,15 @@ def round_report(predictions: DataFrame) -> DataFrame:
     )
 
 
+def report_titles(latest: DataFrame) -> DataFrame:
+    """(year, seasonTitle, roundTitle) for each season and its latest round."""
+    return latest.select(
+        "year",
+        F.format_string("Model performance for %d", "year").alias("seasonTitle"),
+        F.format_string("Predictions for Round %d, %d", "roundNumber", "year").alias("roundTitle"),
+    )
+
+
 def series_colours(long: DataFrame) -> DataFrame:
     """(year, series, name, colour): a season's models in binary name order.
 

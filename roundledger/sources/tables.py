@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from roundledger.schemas import SCHEMAS, TABLE_NAMES, Tables
 from roundledger.session import configure
@@ -70,4 +69,6 @@ def jdbc_options(table: str, low: int | None, high: int | None, partitions: int)
 
 def conform(df: DataFrame, table: str) -> DataFrame:
     """The table's columns in order and of the declared types."""
-    return df.select(*(F.col(f.name).cast(f.dataType).alias(f.name) for f in SCHEMAS[table]))
+    return df.selectExpr(
+        *(f"CAST({f.name} AS {f.dataType.simpleString()}) AS {f.name}" for f in SCHEMAS[table])
+    )

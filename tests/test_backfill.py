@@ -63,6 +63,16 @@ def test_new_rows_are_keyed_after_existing_ones(spark, usage):
     assert (5, True, False, 7, 1) in [tuple(r) for r in rows]
 
 
+def test_too_many_seasons_are_refused(spark):
+    t = tiny_tables(spark)
+    season = spark.range(1, 10_002).selectExpr("int(id) AS id", "int(id) AS year")
+    with pytest.raises(Exception, match="more seasons than calendar years"):
+        backfill.seasons_by_models(season, t.ml_model).count()
+    within = season.filter("year < 10000")
+    pairs = backfill.seasons_by_models(within, t.ml_model)
+    assert pairs.select("seasonId", "mlModelId").distinct().count() == 9_999 * 3
+
+
 def test_selection(spark):
     t = tiny_tables(spark)
     assert tuples(selection.seasons(t.season)) == [(2020,), (2021,)]

@@ -42,6 +42,13 @@ def test_round_report(spark):
     ]
 
 
+def test_titles(spark):
+    latest = spark.createDataFrame([(2020, 12)], "year int, roundNumber int")
+    assert tuples(reports.report_titles(latest)) == [
+        (2020, "Model performance for 2020", "Predictions for Round 12, 2020")
+    ]
+
+
 def test_series_colours_in_binary_name_order(spark):
     names = ["b", "B", "a_", "aA", "é", "c", "d", "e"]
     long = spark.createDataFrame([(2020, r, n, 1.0) for n in names for r in (1, 2)], LONG)
