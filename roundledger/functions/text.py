@@ -20,61 +20,48 @@ METRICS = tuple(METRIC_LABELS)
 MISSING = "NA"
 CORRECT, WRONG, UNKNOWN = "yeah", "nah", "dunno"
 
+# Multiplying by this splits a double into halves of at most 26 bits each, whose
+# products with a power of ten up to the eighth are exact.
 _SPLITTER = float(2**27 + 1)
 _EXACT_DIGITS = 8
-_EXACT_BELOW = float(2**51)
+# Below this the last bits of a scaled value are far smaller than a quarter.
+_EXACT_BELOW = float(2**45)
+
+
+def _just_below_tie(size: Column, digits: int) -> Column:
+    """Whether ``size * 10**digits`` lies between a quarter and, strictly, a half.
+
+    Where the product comes out as exactly a half, its rounding error decides.
+    """
+    scale = float(10**digits)
+    product = size * scale
+    fraction = product % 1.0
+    high = size * _SPLITTER - (size * _SPLITTER - size)
+    error = (high * scale - product) + (size - high) * scale
+    below_half = (fraction < 0.5) | ((fraction == 0.5) & (error < 0))
+    return (fraction > 0.25) & below_half & (product < _EXACT_BELOW)
 
 
 def fixed_point(value: Column, digits: int = 0) -> Column:
     """``value`` with a fixed number of decimals, rounded on its exact value.
 
-    ``format_string`` rounds the shortest decimal text of a double instead, so
-    it turns 1.005 (stored a little below) into 1.01. Here the rounding error
-    of ``value * 10**digits`` is recovered by splitting the value into two
-    halves, and decides the cases that look like ties. True ties go away from
-    zero. Numbers too large to have such ties, and more than eight digits, are
-    left to ``format_string``.
+    ``format_string`` rounds the shortest decimal text of a double, so it turns
+    1.005 (stored a little below) into 1.01. Values just below a tie are moved
+    down by one step first, which changes that text but never the result. True
+    ties go away from zero. The expression is kept small on purpose: several of
+    them must fit one generated method that Java still compiles. Numbers that
+    reach 2**45 when scaled, and more than eight digits, are not corrected.
     """
     value = value.cast("double")
     size = F.abs(value)
-    plain = F.format_string(f"%.{digits}f", F.when(value == 0, F.lit(0.0)).otherwise(value))
-    special = (
-        F.when(F.isnan(value), "NaN")
-        .when(value == float("inf"), "Infinity")
-        .when(value == float("-inf"), "-Infinity")
-        # From here on even fixed-point text uses an exponent: 1e+21.
-        .when(
-            size >= 1e21,
-            F.regexp_replace(F.regexp_replace(value.cast("string"), r"\.0E", "E"), "E", "e+"),
-        )
+    exact = F.when(value == 0, F.lit(0.0)).otherwise(value)
+    if digits <= _EXACT_DIGITS:
+        exact = F.when(_just_below_tie(size, digits), value * (1 - 2.0**-52)).otherwise(exact)
+    # From 1e21 on even fixed-point text uses an exponent: 1e+21.
+    exponent = F.regexp_replace(
+        F.regexp_replace(value.cast("string"), r"\.0E", "E"), "E", "e+"
     )
-    if digits > _EXACT_DIGITS:
-        return F.coalesce(special, plain)
-
-    scale = float(10**digits)
-    product = size * scale
-    high = size * _SPLITTER - (size * _SPLITTER - size)
-    error = (high * scale - product) + (size - high) * scale
-    # The bound keeps the unused branch for large numbers inside bigint.
-    bounded = F.least(product, F.lit(_EXACT_BELOW))
-    whole = F.floor(bounded)
-    past_half = bounded - whole - 0.5
-    rounded = whole + F.when(
-        (past_half > 0) | ((past_half == 0) & (error >= 0)), F.lit(1)
-    ).otherwise(F.lit(0))
-    unit = 10**digits
-    sign = F.when(value < 0, "-").otherwise("")
-    if digits == 0:
-        exact = F.concat(sign, rounded.cast("string"))
-    else:
-        decimals = rounded % unit
-        exact = F.concat(
-            sign,
-            F.call_function("div", rounded - decimals, F.lit(unit)).cast("string"),
-            F.lit("."),
-            F.lpad(decimals.cast("string"), digits, "0"),
-        )
-    return F.coalesce(special, F.when(product < _EXACT_BELOW, exact).otherwise(plain))
+    return F.when(size >= 1e21, exponent).otherwise(F.format_string(f"%.{digits}f", exact))
 
 
 def present_number(value: Column, digits: int = 0) -> Column:
@@ -92,11 +79,12 @@ def present_metric(metric: Column, value: Column, digits: int) -> Column:
 
     Charts use 0 digits on the axis and 2 in the tooltip.
     """
-    return (
-        F.when(metric == "totalTips", present_number(value))
-        .when(metric == "accuracy", present_percentage(value, digits))
-        .when(metric.isin("mae", "bits"), present_number(value, digits))
-    )
+    is_fraction = metric == "accuracy"
+    text = fixed_point(F.when(is_fraction, value * 100).otherwise(value), digits)
+    if digits > 0:
+        text = F.when(metric == "totalTips", fixed_point(value)).otherwise(text)
+    text = F.concat(text, F.when(is_fraction, "%").otherwise(""))
+    return F.when(is_metric(metric), F.when(value.isNull(), MISSING).otherwise(text))
 
 
 def metric_label(metric: Column) -> Column:

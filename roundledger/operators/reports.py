@@ -25,6 +25,10 @@ PALETTE = (
     "#F0E442",
 )
 
+# Title formats.
+SEASON_TITLE = "Model performance for %d"
+ROUND_TITLE = "Predictions for Round %d, %d"
+
 
 def season_report(metrics: DataFrame) -> DataFrame:
     """(year, position, label, text): four rows per season."""
@@ -57,8 +61,8 @@ def report_titles(latest: DataFrame) -> DataFrame:
     """(year, seasonTitle, roundTitle) for each season and its latest round."""
     return latest.select(
         "year",
-        F.format_string("Model performance for %d", "year").alias("seasonTitle"),
-        F.format_string("Predictions for Round %d, %d", "roundNumber", "year").alias("roundTitle"),
+        F.format_string(SEASON_TITLE, "year").alias("seasonTitle"),
+        F.format_string(ROUND_TITLE, "roundNumber", "year").alias("roundTitle"),
     )
 
 

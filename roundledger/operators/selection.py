@@ -10,6 +10,10 @@ from roundledger.operators.scoring import matches_of_seasons
 from roundledger.schemas import Tables
 
 
+# Fixed value: the message when there is no season or round to show.
+NOTHING_TO_SHOW = "Required data not found"
+
+
 def seasons(season: DataFrame) -> DataFrame:
     """Season years, ascending."""
     return season.select("year").orderBy("year")
@@ -42,6 +46,6 @@ def current_value(values: DataFrame, column: str, requested: int | None = None)
     wanted = F.max(F.when(value == requested, value)) if requested is not None else F.lit(None)
     return values.agg(
         F.coalesce(
-            wanted, F.max(value), F.raise_error(F.lit("Required data not found"))
+            wanted, F.max(value), F.raise_error(F.lit(NOTHING_TO_SHOW))
         ).alias(column)
     )
