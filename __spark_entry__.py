@@ -41,6 +41,15 @@ from roundledger.sources.evolve import evolve_table, old_name  # noqa: E402
 from roundledger.sources.sample import sample_tables  # noqa: E402
 from roundledger.sources.store import prepare_rows  # noqa: E402
 
+# The text operators are optional: the rest works without them.
+try:
+    import corpus_pipeline
+    from roundledger.llm import queries as llm_queries
+except ModuleNotFoundError as missing:
+    if missing.name not in ("corpus_pipeline", "roundledger.llm"):
+        raise
+    corpus_pipeline = llm_queries = None
+
 SMOKE_DIR = "/root/testdata/sf0.001"
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -51,11 +60,19 @@ def entry(spark: SparkSession) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {name: _rounded(query) for name, query in _QUERIES.items()}
+    found = {name: _rounded(query) for name, query in _QUERIES.items()}
+    if llm_queries is not None:
+        found |= llm_queries.QUERIES | {"pipeline": corpus_pipeline.run}
+    return found
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(ORACLES)
+    found = dict(ORACLES)
+    if llm_queries is not None:
+        found |= llm_queries.ORACLES
+        if corpus_pipeline.ORACLE_SQL is not None:
+            found["pipeline"] = corpus_pipeline.ORACLE_SQL
+    return found
 
 
 def _rounded(query: Query) -> Query:
