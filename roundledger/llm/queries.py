@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from roundledger.llm import exact_dedup, mixing, packing, quality_rules
+from roundledger.llm import exact_dedup, mixing, near_dedup, packing, quality_rules
 from roundledger.llm.shared import stored
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -29,6 +29,10 @@ def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(documents(spark, sf_dir))
 
 
+def op2_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_dedup(documents(spark, sf_dir))
+
+
 def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(documents(spark, sf_dir))
 
@@ -47,6 +51,7 @@ QUERIES: dict[str, Query] = {
     query.__name__: query
     for query in (
         op1_exact_dedup,
+        op2_minhash_near_dedup,
         op4_mix_sources,
         op5_quality_rules,
         op9_packing,
@@ -66,5 +71,36 @@ SELECT doc_id,
        doc_id = max(doc_id) OVER (PARTITION BY t) AS kept,
        sha256(t) AS text_sha256
 FROM d
+""",
+    # Sets of word windows, pairs that share one, and paths over the links.
+    "op2_minhash_near_dedup": r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x20\x09-\x0D]+') AS words
+  FROM documents
+), s AS (
+  SELECT doc_id, unnest(list_distinct(CASE
+    WHEN len(words) = 0 THEN []
+    WHEN len(words) < 5 THEN [array_to_string(words, ' ')]
+    ELSE list_transform(range(1, len(words) - 3),
+                        lambda i: array_to_string(words[i:i + 4], ' ')) END)) AS shingle
+  FROM w
+), sized AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+links AS (
+  SELECT p.a, p.b
+  FROM (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS common
+        FROM s x JOIN s y ON x.shingle = y.shingle AND x.doc_id <> y.doc_id
+        GROUP BY 1, 2) p
+  JOIN sized m ON m.doc_id = p.a JOIN sized k ON k.doc_id = p.b
+  WHERE 100 * p.common >= 85 * (m.n + k.n - p.common)
+), reach AS (
+  SELECT doc_id AS node, doc_id AS seen FROM documents
+  UNION
+  SELECT r.node, l.b FROM reach r JOIN links l ON l.a = r.seen
+), least AS (SELECT node, min(seen) AS component_id FROM reach GROUP BY node)
+SELECT d.doc_id, coalesce(z.n, 0) AS n_shingles, l.component_id,
+       d.doc_id = l.component_id AS kept
+FROM documents d JOIN least l ON l.node = d.doc_id LEFT JOIN sized z ON z.doc_id = d.doc_id
 """,
 }
