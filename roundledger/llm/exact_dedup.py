@@ -140,7 +140,9 @@ def exact_dedup(
         )
         .select(F.explode("_rows").alias("_salt_row"), "_best", "group_size")
     )
-    by_salt = salted.select(
+    # The condition, always true, keeps both uses of the salted groups alike, so
+    # that Spark shuffles the contents once for both.
+    by_salt = salted.where("_size > 0").select(
         F.explode("_rows").alias("_winner"), F.col("_best._row").alias("_salt_row")
     )
     links = by_salt.join(overall, "_salt_row").select("_winner", "_best", "group_size")

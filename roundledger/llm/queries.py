@@ -7,7 +7,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from roundledger.llm import exact_dedup, mixing, near_dedup, packing, quality_rules
+from roundledger.llm import (
+    exact_dedup,
+    html_extract,
+    mixing,
+    near_dedup,
+    packing,
+    quality_rules,
+    url_filter,
+)
 from roundledger.llm.shared import stored
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -41,6 +49,14 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_rules(documents(spark, sf_dir))
 
 
+def op7_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract_pages(pages(spark, sf_dir))
+
+
+def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge_urls(pages(spark, sf_dir))
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = packing.token_pieces(documents(spark, sf_dir))
     digests = stored(pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids"), "pieces")
@@ -54,6 +70,8 @@ QUERIES: dict[str, Query] = {
         op2_minhash_near_dedup,
         op4_mix_sources,
         op5_quality_rules,
+        op7_html_extraction,
+        op8_url_filter,
         op9_packing,
     )
 }
