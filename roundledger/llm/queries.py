@@ -13,6 +13,8 @@ from roundledger.llm import (
     mixing,
     near_dedup,
     packing,
+    passages,
+    quality_classifier,
     quality_rules,
     url_filter,
 )
@@ -49,6 +51,10 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_rules(documents(spark, sf_dir))
 
 
+def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_classifier.classify(documents(spark, sf_dir), labels(spark, sf_dir))
+
+
 def op7_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.extract_pages(pages(spark, sf_dir))
 
@@ -63,6 +69,10 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(digests, order=("doc_id", "start", "doc_tokens", "ids_crc32"))
 
 
+def op10_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passages.repeated_passages(documents(spark, sf_dir))
+
+
 QUERIES: dict[str, Query] = {
     query.__name__: query
     for query in (
@@ -70,9 +80,11 @@ QUERIES: dict[str, Query] = {
         op2_minhash_near_dedup,
         op4_mix_sources,
         op5_quality_rules,
+        op6_quality_classifier,
         op7_html_extraction,
         op8_url_filter,
         op9_packing,
+        op10_repeated_passages,
     )
 }
 
