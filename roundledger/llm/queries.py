@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from roundledger.llm import (
     exact_dedup,
     html_extract,
+    lm_score,
     mixing,
     near_dedup,
     packing,
@@ -43,6 +44,10 @@ def op2_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_dedup(documents(spark, sf_dir))
 
 
+def op3_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_score.score_documents(documents(spark, sf_dir))
+
+
 def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(documents(spark, sf_dir))
 
@@ -78,6 +83,7 @@ QUERIES: dict[str, Query] = {
     for query in (
         op1_exact_dedup,
         op2_minhash_near_dedup,
+        op3_lm_score,
         op4_mix_sources,
         op5_quality_rules,
         op6_quality_classifier,
