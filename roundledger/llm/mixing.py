@@ -172,10 +172,10 @@ def mix_sources(
 
 def first_words(text, count):
     """The text up to the end of its ``count``-th word."""
-    pattern = F.concat(
-        F.lit(r"^((?:[\x20\x09-\x0D]*[^\x20\x09-\x0D]+){"), count.cast("string"), F.lit("})")
+    pieces = F.regexp_extract_all(
+        text, F.lit(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"), F.lit(0)
     )
-    return F.regexp_extract(text, pattern, 1)
+    return F.array_join(F.slice(pieces, 1, count.cast("int")), "")
 
 
 def repeated(docs: DataFrame, **options) -> DataFrame:
