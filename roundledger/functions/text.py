@@ -20,48 +20,71 @@ METRICS = tuple(METRIC_LABELS)
 MISSING = "NA"
 CORRECT, WRONG, UNKNOWN = "yeah", "nah", "dunno"
 
-# Multiplying by this splits a double into halves of at most 26 bits each, whose
-# products with a power of ten up to the eighth are exact.
+# Multiplying by this splits a double into halves of at most 26 bits each.
 _SPLITTER = float(2**27 + 1)
-_EXACT_DIGITS = 8
-# Below this the last bits of a scaled value are far smaller than a quarter.
-_EXACT_BELOW = float(2**45)
+MOST_DIGITS = 15
+_WHOLE_FROM = float(2**53)  # doubles from here on have no fraction
+_LONG_BELOW = float(2**63)
 
 
-def _just_below_tie(size: Column, digits: int) -> Column:
-    """Whether ``size * 10**digits`` lies between a quarter and, strictly, a half.
+def _halves(number: float) -> tuple[float, float]:
+    high = number * _SPLITTER - (number * _SPLITTER - number)
+    return high, number - high
 
-    Where the product comes out as exactly a half, its rounding error decides.
+
+def _rounded_fraction(fraction: Column, digits: int) -> Column:
+    """``fraction * 10**digits`` rounded half up on the exact product.
+
+    The product is below 10**15, so its own fraction is a multiple of an
+    eighth or finer, and only where it comes out as exactly a half does the
+    rounding error of the product decide.
     """
     scale = float(10**digits)
-    product = size * scale
-    fraction = product % 1.0
-    high = size * _SPLITTER - (size * _SPLITTER - size)
-    error = (high * scale - product) + (size - high) * scale
-    below_half = (fraction < 0.5) | ((fraction == 0.5) & (error < 0))
-    return (fraction > 0.25) & below_half & (product < _EXACT_BELOW)
+    product = fraction * scale
+    rest = product - F.floor(product)
+    high = fraction * _SPLITTER - (fraction * _SPLITTER - fraction)
+    low = fraction - high
+    scale_high, scale_low = _halves(scale)
+    error = (
+        (high * scale_high - product) + high * scale_low + low * scale_high
+    ) + low * scale_low
+    up = (rest > 0.5) | ((rest == 0.5) & (error >= 0))
+    return F.floor(product) + up.cast("bigint")
 
 
 def fixed_point(value: Column, digits: int = 0) -> Column:
     """``value`` with a fixed number of decimals, rounded on its exact value.
 
-    ``format_string`` rounds the shortest decimal text of a double, so it turns
-    1.005 (stored a little below) into 1.01. Values just below a tie are moved
-    down by one step first, which changes that text but never the result. True
-    ties go away from zero. The expression is kept small on purpose: several of
-    them must fit one generated method that Java still compiles. Numbers that
-    reach 2**45 when scaled, and more than eight digits, are not corrected.
+    True ties go away from zero. The whole part is taken off first, which is
+    exact, so only the fraction is scaled and no magnitude is beyond reach.
+    Up to 15 digits; more are refused.
     """
+    if not 0 <= digits <= MOST_DIGITS:
+        raise ValueError(f"digits must be 0 to {MOST_DIGITS}: {digits}")
     value = value.cast("double")
     size = F.abs(value)
-    exact = F.when(value == 0, F.lit(0.0)).otherwise(value)
-    if digits <= _EXACT_DIGITS:
-        exact = F.when(_just_below_tie(size, digits), value * (1 - 2.0**-52)).otherwise(exact)
+    small = F.when(size < _WHOLE_FROM, size)
+    whole = F.floor(small)
+    scaled = _rounded_fraction(small - whole, digits)
+    carry = (scaled >= 10**digits).cast("bigint")
+    text = (whole + carry).cast("string")
+    if digits:
+        kept = scaled - carry * 10**digits
+        text = F.concat(text, F.lit("."), F.lpad(kept.cast("string"), digits, "0"))
+    # Beyond long a double is a multiple of 1024.
+    large = F.when(size < _LONG_BELOW, size.try_cast("bigint").cast("decimal(38,0)")).otherwise(
+        (size / 1024).try_cast("bigint").cast("decimal(28,0)") * F.lit(1024)
+    )
+    large_text = F.concat(large.cast("string"), F.lit("." + "0" * digits if digits else ""))
     # From 1e21 on even fixed-point text uses an exponent: 1e+21.
-    exponent = F.regexp_replace(
-        F.regexp_replace(value.cast("string"), r"\.0E", "E"), "E", "e+"
+    exponent = F.regexp_replace(F.regexp_replace(size.cast("string"), r"\.0E", "E"), "E", "e+")
+    shown = (
+        F.when(F.isnan(value), F.lit("NaN"))
+        .when(size >= 1e21, exponent)
+        .when(size >= _WHOLE_FROM, large_text)
+        .otherwise(text)
     )
-    return F.when(size >= 1e21, exponent).otherwise(F.format_string(f"%.{digits}f", exact))
+    return F.concat(F.when(value < 0, F.lit("-")).otherwise(F.lit("")), shown)
 
 
 def present_number(value: Column, digits: int = 0) -> Column:
@@ -106,19 +129,37 @@ def finite(value: Column) -> Column:
     return F.when(size < float("inf"), value)
 
 
-# Fixed pattern: the whole number a text starts with.
-_INTEGER_PREFIX = r"^\s*([+-]?[0-9]+)"
+# What counts as blank before a number.
+BLANKS = "\t\n\x0b\x0c\r \xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\ufeff"
+# Fixed pattern: the whole number a text starts with, decimal or hexadecimal.
+_INTEGER_PREFIX = rf"^[{BLANKS}]*([+-]?)(?:0[xX]([0-9a-fA-F]*)|([0-9]+))"
 
 
 def integer_prefix(text: Column) -> Column:
-    """The whole number ``text`` starts with; NULL without digits or beyond int."""
-    return F.regexp_extract(text, _INTEGER_PREFIX, 1).try_cast("int")
+    """The whole number ``text`` starts with; NULL without digits or beyond 64 bits.
+
+    Digits after ``0x`` are hexadecimal; ``0x`` without any is no number.
+    """
+    sign, hexadecimal, decimal = (F.regexp_extract(text, _INTEGER_PREFIX, i) for i in (1, 2, 3))
+    short = F.regexp_replace(hexadecimal, "^0+(?=.)", "")
+    number = (
+        F.when(decimal != "", F.concat(sign, decimal))
+        .when(F.length(short).between(1, 16), F.concat(sign, F.conv(short, 16, 10)))
+    )
+    return number.try_cast("bigint")
 
 
 def parse_integer_prefix(text: str | None) -> int | None:
     """``integer_prefix`` for a request parameter."""
     found = re.match(_INTEGER_PREFIX, text or "")
-    return int(found.group(1)) if found else None
+    if found is None:
+        return None
+    sign, hexadecimal, decimal = found.groups()
+    digits = (decimal or hexadecimal or "").lstrip("0") or (decimal or hexadecimal or "")[:1]
+    if not digits or len(digits) > 20:
+        return None
+    number = int(sign + digits, 10 if decimal else 16)
+    return number if -(2**63) <= number < 2**63 else None
 
 
 def year_start(year: Column) -> Column:
