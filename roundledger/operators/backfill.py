@@ -7,13 +7,12 @@ from typing import NamedTuple
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from roundledger.operators.bounded import pin_small
 from roundledger.operators.keys import pair_keys
 from roundledger.schemas import Tables
 
 
-# Years a timestamp can fall in: 0001 to 9999.
-MOST_YEARS = 9_999
+# Tasks the pairs of seasons and models are spread over.
+PAIR_SALTS = 64
 
 
 class Backfill(NamedTuple):
@@ -46,7 +45,7 @@ def add_seasons(season: DataFrame, years: DataFrame) -> DataFrame:
     """Existing seasons plus one for every further year, keyed after the last."""
     new = years.select("year").distinct().join(season, "year", "left_anti")
     last = season.agg(F.coalesce(F.max("id"), F.lit(0)).alias("last")).scalar()
-    # At most 9,999 years exist, so numbering them in one task is safe.
+    # A timestamp's type has fewer than 600,000 years, so one task can number them.
     numbered = new.select(
         (F.row_number().over(Window.orderBy("year")) + last).cast("int").alias("id"), "year"
     )
@@ -59,17 +58,11 @@ def assign_seasons(match: DataFrame, season: DataFrame) -> DataFrame:
     Equal years stand for "season start <= start time < next season start",
     which turns an interval join into a hash join.
     """
-    # One row per year of the timestamp range: at most 9,999 rows, whatever
-    # the season table holds, so the broadcast has a fixed bound.
-    by_year = (
-        season.filter(F.col("year").between(1, MOST_YEARS))
-        .groupBy("year")
-        .agg(F.min("id").alias("newSeasonId"))
-    )
+    by_year = season.groupBy("year").agg(F.min("id").alias("newSeasonId"))
     columns = [F.col(c) for c in match.columns if c != "seasonId"]
     return (
         match.withColumn("year", F.year("startDateTime"))
-        .join(F.broadcast(by_year), "year", "left")
+        .join(by_year, "year", "left")
         .select(*columns, F.coalesce("newSeasonId", "seasonId").alias("seasonId"))
         .select(*match.columns)
     )
@@ -78,18 +71,19 @@ def assign_seasons(match: DataFrame, season: DataFrame) -> DataFrame:
 def seasons_by_models(season: DataFrame, ml_model: DataFrame) -> DataFrame:
     """Every season with every model: the pairs the flags table must hold.
 
-    Each model row is expanded by the list of seasons, which keeps the work
-    spread over the models. There is one season per calendar year, so the list
-    has a fixed bound; a season table beyond it is refused.
+    Models are dealt over salts and seasons repeated for each, so that the
+    pairs come out of an equal-key join over many tasks, whatever the numbers
+    of seasons and models.
     """
-    by_year = season.groupBy("year").agg(F.min("id").alias("seasonId"))
-    listed = F.when(F.count("*") <= MOST_YEARS, F.collect_list(F.struct("seasonId", "year")))
-    seasons = by_year.agg(
-        listed.otherwise(F.raise_error(F.lit("more seasons than calendar years"))).alias("seasons")
-    ).scalar()
-    return ml_model.select(
-        F.inline(seasons), F.col("id").alias("mlModelId"), F.col("name").alias("name")
+    seasons = (
+        season.groupBy("year")
+        .agg(F.min("id").alias("seasonId"))
+        .withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(PAIR_SALTS - 1))))
+    )
+    models = ml_model.select(
+        F.col("id").alias("mlModelId"), "name", F.pmod("id", F.lit(PAIR_SALTS)).alias("salt")
     )
+    return models.join(seasons, "salt").select("seasonId", "year", "mlModelId", "name")
 
 
 def add_model_seasons(
@@ -120,11 +114,15 @@ def add_model_seasons(
 def backfill_seasons(tables: Tables, usage: DataFrame) -> Backfill:
     """The three tables after a backfill; a second run changes nothing.
 
-    The years, at most 9,999, are found first, so that the join of the two
-    facts is not repeated for each of the three results.
+    ``plans.jobs.backfill_job`` stores the seasons first, so that the join of
+    the two facts is not repeated for each of the three results.
     """
-    years = pin_small(predicted_years(tables.match, tables.prediction))
-    season = add_seasons(tables.season, years)
+    season = add_seasons(tables.season, predicted_years(tables.match, tables.prediction))
+    return backfill_from(tables, season, usage)
+
+
+def backfill_from(tables: Tables, season: DataFrame, usage: DataFrame) -> Backfill:
+    """The three tables once the seasons are known."""
     return Backfill(
         season=season,
         match=assign_seasons(tables.match, season),

@@ -15,7 +15,6 @@ from roundledger.functions.text import METRICS
 from roundledger.operators.scoring import model_roles
 
 _SCORES = {"tip": "Tip", "absError": "AbsError", "bits": "Bits"}
-MAX_MODELS = 10_000
 
 
 def round_totals(scored: DataFrame) -> DataFrame:
@@ -83,7 +82,8 @@ def round_scores(totals: DataFrame, ml_model: DataFrame, cumulative: bool = True
     """(year, roundNumber, name, totalTips, accuracy, mae, bits) per round and model.
 
     Cumulative values run from the first round of the season; averages divide
-    running sums by running counts.
+    running sums by running counts. Scores of a model without a row keep a NULL
+    name; the broken reference is a check's to report.
     """
     total = F.col
     if cumulative:
@@ -99,7 +99,7 @@ def round_scores(totals: DataFrame, ml_model: DataFrame, cumulative: bool = True
     names = ml_model.select(F.col("id").alias("mlModelId"), "name")
     return (
         totals.select("year", "roundNumber", "mlModelId", *_metrics_from(total))
-        .join(names, "mlModelId")
+        .join(names, "mlModelId", "left")
         .select("year", "roundNumber", "name", *METRICS)
     )
 
@@ -116,11 +116,23 @@ def round_metrics(
 
 
 def model_names(ml_model: DataFrame) -> list[str]:
-    """Names in binary order, to become columns."""
-    rows = ml_model.select("name").distinct().orderBy("name").limit(MAX_MODELS + 1).collect()
-    if len(rows) > MAX_MODELS:
-        raise ValueError(f"more than {MAX_MODELS} models cannot become columns")
-    return [row.name for row in rows]
+    """Names in binary order, to become columns: a job that reads the models.
+
+    ``map_models`` needs no names and suits any number of models.
+    """
+    return [row.name for row in ml_model.select("name").distinct().orderBy("name").collect()]
+
+
+def map_models(long: DataFrame, index: Sequence[str] = ("year", "roundNumber")) -> DataFrame:
+    """One row per round with ``series``, a map from each model's name to its value.
+
+    A row gathers one value per model of its round.
+    """
+    pairs = F.sort_array(F.collect_list(F.struct("name", "value")))
+    named = long.filter(F.col("name").isNotNull()).groupBy(*index, "name").agg(
+        F.max("value").alias("value")
+    )
+    return named.groupBy(*index).agg(F.map_from_entries(pairs).alias("series"))
 
 
 def pivot_models(

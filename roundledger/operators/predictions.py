@@ -58,13 +58,14 @@ def round_predictions(scored: DataFrame, ml_model_season: DataFrame, team: DataF
     """(year, roundNumber, matchId, predictedWinnerName, predictedMargin,
     predictedWinProbability, isCorrect), one row per match with a tip.
 
-    ``scored`` may hold all seasons or one round (``of_round``).
+    ``scored`` may hold all seasons or one round (``of_round``). A winner
+    without a team row keeps a NULL name.
     """
     picks = scored.join(model_roles(ml_model_season), ["seasonId", "mlModelId"])
     teams = team.select(
         F.col("id").alias("predictedWinnerId"), F.col("name").alias("predictedWinnerName")
     )
-    return combine_picks(picks).join(teams, "predictedWinnerId").select(
+    return combine_picks(picks).join(teams, "predictedWinnerId", "left").select(
         "year",
         "roundNumber",
         "matchId",

@@ -176,3 +176,38 @@ def require_empty(violations: DataFrame, what: str) -> None:
     found = violations.take(1)
     if found:
         raise ValueError(f"{what}: {found[0].asDict()}")
+
+
+def require_sound(tables: Tables) -> None:
+    """Fail unless keys, required values, references and margins hold.
+
+    One job per kind of rule; the first rule broken is reported.
+    """
+    require_empty(
+        primary_key_violations(tables).filter("repeatedKeys > 0 OR nullKeys > 0"), "primary keys"
+    )
+    require_empty(unique_violations(tables).filter("repeatedKeys > 0"), "unique keys")
+    require_empty(missing_required(tables).filter("nulls > 0"), "required values")
+    require_empty(orphan_references(tables), "references")
+    require_empty(negative_margins(tables.match), "margins")
+
+
+def require_rows_fit(rows: DataFrame, table: str, tables: Tables) -> None:
+    """Fail unless new ``rows`` of a table have the parents and keys they need.
+
+    Their keys must be new, among themselves and to the table; what they refer
+    to must exist. Only the new rows are counted, so an append stays small.
+    """
+    existing = tables[table]
+    for keys in (("id",), UNIQUE_KEYS.get(table)):
+        if keys:
+            require_empty(repeated_keys(rows, *keys), f"{TABLE_NAMES[table]} rows repeat {keys}")
+            known = existing.select(*keys).join(rows.select(*keys), list(keys), "left_semi")
+            require_empty(known, f"{TABLE_NAMES[table]} has {keys}")
+    for reference in REFERENCES:
+        if reference.child == table:
+            held = _held_keys(tables.swap(**{table: rows}), reference).distinct()
+            parents = tables[reference.parent].select(F.col("id").cast("bigint").alias("key"))
+            require_empty(held.join(parents, "key", "left_anti"), f"{reference.label} without a row")
+    if table == "match":
+        require_empty(negative_margins(rows), "margins")

@@ -26,28 +26,17 @@ def matches_of_seasons(match: DataFrame, season: DataFrame, year: int | None = N
     return match.withColumnRenamed("id", "matchId").join(seasons, "seasonId")
 
 
-def score_predictions(
-    tables: Tables, year: int | None = None, in_use_only: bool = False
-) -> DataFrame:
+def score_predictions(tables: Tables, year: int | None = None) -> DataFrame:
     """One row per prediction of a season's match, with its three scores.
 
     This holds the only join between the two large tables. Every metric and
     report is an aggregate of this result, so it pays to store it
-    (``save_scored``) when several are needed. With ``in_use_only`` the
-    predictions of models that no season (of that year) uses are dropped before
-    the join.
+    (``save_scored``) when several are needed.
     """
-    prediction = tables.prediction
-    if in_use_only:
-        roles = model_roles(tables.ml_model_season)
-        if year is not None:
-            chosen = tables.season.filter(F.col("year") == year)
-            roles = roles.join(chosen.select(F.col("id").alias("seasonId")), "seasonId", "left_semi")
-        prediction = prediction.join(roles.select("mlModelId").distinct(), "mlModelId", "left_semi")
     matches = matches_of_seasons(tables.match, tables.season, year).select(
         "matchId", "year", "seasonId", "roundNumber", "margin", "winnerId"
     )
-    return prediction.join(matches, "matchId").select(
+    return tables.prediction.join(matches, "matchId").select(
         "year",
         "seasonId",
         "roundNumber",
@@ -77,10 +66,10 @@ def of_round(scored: DataFrame, year: int | None = None, round_number: int | Non
 
 
 def recompute_correctness(tables: Tables, draws_count: bool = False) -> DataFrame:
-    """Predictions with ``isCorrect`` worked out from the results."""
+    """Predictions with ``isCorrect`` worked out from the results, NULL without a match."""
     results = tables.match.select(F.col("id").alias("matchId"), "margin", "winnerId")
     return (
-        tables.prediction.join(results, "matchId")
+        tables.prediction.join(results, "matchId", "left")
         .withColumn("isCorrect", recomputed_correctness(draws_count))
         .select(*tables.prediction.columns)
     )

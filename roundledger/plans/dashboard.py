@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from roundledger.functions.text import METRICS, finite, parse_integer_prefix
-from roundledger.operators.bounded import settle
 from roundledger.operators.metrics import (
-    model_names,
+    map_models,
     pivot_models,
     round_metrics,
     round_totals,
@@ -57,24 +58,26 @@ def metric_series(
     metric: str | None,
     cumulative: bool = True,
     scored: DataFrame | None = None,
+    names: Sequence[str] | None = None,
 ) -> DataFrame:
-    """A season's rounds, ascending, with one column per model.
+    """A season's rounds, ascending, each with the values of all models.
 
-    A missing season or an unknown metric gives no rows; so does a season text
-    without a number.
+    They come as ``series``, a map by model name; with ``names`` given as one
+    column for each of those. A missing season or an unknown metric gives no
+    rows; so does a season text without a number.
     """
     year = parse_integer_prefix(season_text)
-    if year is None or metric not in METRICS:
-        return tables.match.select("roundNumber").limit(0)
-    predictions = score_predictions(tables, year) if scored is None else of_round(scored, year)
-    # Both the column names and the values come from these few rows.
-    totals = settle(round_totals(predictions))
-    predicted = tables.ml_model.join(
-        totals.select(F.col("mlModelId").alias("id")).distinct(), "id", "left_semi"
+    wanted = year is not None and metric in METRICS
+    if scored is not None:
+        predictions = of_round(scored, year)
+    else:
+        predictions = score_predictions(tables, year)
+    long = round_metrics(
+        round_totals(predictions), tables.ml_model, metric if wanted else METRICS[0], cumulative
     )
-    long = round_metrics(totals, tables.ml_model, metric, cumulative)
-    wide = pivot_models(long, model_names(predicted), index=("roundNumber",))
-    return wide.orderBy("roundNumber")
+    index = ("roundNumber",)
+    rounds = map_models(long, index) if names is None else pivot_models(long, names, index)
+    return rounds.orderBy("roundNumber") if wanted else rounds.limit(0)
 
 
 def prediction_list(
@@ -85,7 +88,7 @@ def prediction_list(
 ) -> DataFrame:
     """A round's tips in match order; no rows for a missing or unreadable parameter."""
     year, round_number = parse_integer_prefix(season_text), parse_integer_prefix(round_text)
-    predictions = scored if scored is not None else score_predictions(tables, year, in_use_only=True)
+    predictions = scored if scored is not None else score_predictions(tables, year)
     in_round = of_round(predictions, year, round_number)
     tips = round_predictions(in_round, tables.ml_model_season, tables.team).orderBy("matchId").select(
         "predictedWinnerName", "predictedMargin", "predictedWinProbability", "isCorrect"

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import SparkSession
 
 # Only settings that change results or keep a plan whole under skew belong
@@ -21,9 +24,8 @@ SETTINGS = {
 }
 
 
-# Bytes a shuffled partition should hold, and the most partitions worth having.
+# Bytes a shuffled partition should hold.
 PARTITION_BYTES = 256 * 2**20
-MOST_PARTITIONS = 50_000
 
 
 def configure(spark: SparkSession, shuffle_bytes: int | None = None) -> SparkSession:
@@ -36,8 +38,22 @@ def configure(spark: SparkSession, shuffle_bytes: int | None = None) -> SparkSes
     for key, value in SETTINGS.items():
         spark.conf.set(key, value)
     if shuffle_bytes is not None:
-        partitions = min(-(-shuffle_bytes // PARTITION_BYTES), MOST_PARTITIONS)
+        partitions = -(-shuffle_bytes // PARTITION_BYTES)
         spark.conf.set(
             "spark.sql.adaptive.coalescePartitions.initialPartitionNum", str(max(partitions, 1))
         )
     return spark
+
+
+def working_folder(spark: SparkSession, label: str) -> str:
+    """A new folder that all executors share, for results used several times.
+
+    It lies in ``spark.checkpoint.dir``; only a local session without one gets a
+    folder of its own.
+    """
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder all executors share")
+        folder = tempfile.mkdtemp(prefix="roundledger-")
+    return f"{folder.rstrip('/')}/{label}-{uuid.uuid4().hex}"

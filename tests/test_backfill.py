@@ -1,4 +1,5 @@
 import pytest
+from pyspark.sql import functions as F
 
 from roundledger.operators import backfill, selection
 from tests.tiny import ROWS, at, tiny_tables, tuples
@@ -63,14 +64,21 @@ def test_new_rows_are_keyed_after_existing_ones(spark, usage):
     assert (5, True, False, 7, 1) in [tuple(r) for r in rows]
 
 
-def test_too_many_seasons_are_refused(spark):
+def test_any_number_of_seasons(spark):
     t = tiny_tables(spark)
-    season = spark.range(1, 10_002).selectExpr("int(id) AS id", "int(id) AS year")
-    with pytest.raises(Exception, match="more seasons than calendar years"):
-        backfill.seasons_by_models(season, t.ml_model).count()
-    within = season.filter("year < 10000")
-    pairs = backfill.seasons_by_models(within, t.ml_model)
-    assert pairs.select("seasonId", "mlModelId").distinct().count() == 9_999 * 3
+    season = spark.range(1, 12_001).selectExpr("int(id) AS id", "int(id) AS year")
+    pairs = backfill.seasons_by_models(season, t.ml_model)
+    assert pairs.select("seasonId", "mlModelId").distinct().count() == 12_000 * 3
+    plan = pairs._jdf.queryExecution().executedPlan().toString()
+    assert "Cartesian" not in plan and "NestedLoop" not in plan
+
+
+def test_years_beyond_four_digits(spark):
+    t = tiny_tables(spark)
+    match = t.match.limit(1).withColumn("startDateTime", F.expr("timestamp'+10000-06-01 00:00:00'"))
+    season = spark.createDataFrame([(5, 10_000)], "id int, year int")
+    assigned = backfill.assign_seasons(match, season)
+    assert assigned.select("seasonId").first().seasonId == 5
 
 
 def test_selection(spark):

@@ -79,13 +79,6 @@ def test_season_metrics(tables, scored):
     ]
 
 
-def test_in_use_only_leaves_the_metrics_alone(tables):
-    scored = scoring.score_predictions(tables, in_use_only=True)
-    assert 13 not in by_id(scored)
-    result = metrics.season_metrics(scored, tables.season, tables.ml_model_season)
-    assert (2020, 1, 1 / 3, 18.0, -1.0) in tuples(result)
-
-
 def test_one_year(tables):
     assert scoring.score_predictions(tables, 2021, in_use_only=True).count() == 0
     assert scoring.score_predictions(tables, 2020).count() == 8
