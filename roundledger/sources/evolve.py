@@ -7,6 +7,7 @@ import re
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from roundledger.operators.quality import overlong_text, require_empty
 from roundledger.schemas import SCHEMAS, Tables
 from roundledger.session import configure
 
@@ -20,6 +21,12 @@ OLD_TABLE_NAMES = {
 }
 
 
+# The texts the old format limits.
+LIMITED_TEXTS = {"match": ("venue",), "team": ("name",), "ml_model": ("name",)}
+# Columns the old format never had.
+ADDED_COLUMNS = {"match": ("seasonId",)}
+
+
 def old_name(column: str) -> str:
     """``camelCase`` as the old format writes it."""
     return re.sub(r"(?<=[a-z])([A-Z])", r"_\1", column).lower()
@@ -28,15 +35,18 @@ def old_name(column: str) -> str:
 def evolve_table(df: DataFrame, table: str) -> DataFrame:
     """Rename, widen and complete an old-format table.
 
-    Columns the old format lacks are added empty. Everything is one
-    projection, so it costs nothing beyond the scan.
+    The columns the old format never had are added empty; any other that is
+    missing is an error. Everything is one projection, so it costs nothing
+    beyond the scan.
     """
     by_old_name = {old_name(field.name): field.name for field in SCHEMAS[table]}
     renamed = df.withColumnsRenamed(by_old_name)
-    present = set(renamed.columns)
+    absent = {f.name for f in SCHEMAS[table]} - set(renamed.columns)
+    if unknown := absent - set(ADDED_COLUMNS.get(table, ())):
+        raise ValueError(f"{OLD_TABLE_NAMES[table]} lacks {sorted(map(old_name, unknown))}")
     return renamed.select(
         *(
-            (F.col(f.name) if f.name in present else F.lit(None)).cast(f.dataType).alias(f.name)
+            (F.lit(None) if f.name in absent else F.col(f.name)).cast(f.dataType).alias(f.name)
             for f in SCHEMAS[table]
         )
     )
@@ -54,11 +64,17 @@ def evolve_tables(old: dict[str, DataFrame]) -> Tables:
 
 
 def load_old_tables(spark: SparkSession, root: str) -> Tables:
-    """Old-format parquet tables under ``root``, evolved."""
+    """Old-format parquet tables under ``root``, evolved.
+
+    Texts longer than the old format holds fail the load.
+    """
     configure(spark)
-    return evolve_tables(
+    tables = evolve_tables(
         {table: spark.read.parquet(f"{root}/{name}") for table, name in OLD_TABLE_NAMES.items()}
     )
+    for table, columns in LIMITED_TEXTS.items():
+        require_empty(overlong_text(tables[table], *columns), f"{table} holds too long a text")
+    return tables
 
 
 def fill_defaults(df: DataFrame, table: str) -> DataFrame:

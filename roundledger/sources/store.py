@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from roundledger.functions.text import finite
+from roundledger.operators.quality import require_rows_fit
 from roundledger.schemas import SCHEMAS, TABLE_NAMES, Tables
 from roundledger.sources.evolve import fill_defaults
 from roundledger.sources.tables import load_tables
@@ -29,6 +30,11 @@ LAYOUTS = {
     "prediction": Layout((), ("matchId",), ("matchId",)),
     "team_match": Layout((), ("matchId",), ("matchId",)),
 }
+SCORED_SCHEMA = (
+    "year int, seasonId int, roundNumber int, matchId bigint, id bigint, mlModelId int, "
+    "predictedWinnerId int, predictedMargin double, predictedWinProbability double, "
+    "isCorrect boolean, tip int, absError double, bits double"
+)
 SCORED_LAYOUT = Layout(("year",), ("year", "roundNumber"), ("year", "roundNumber", "matchId"))
 
 
@@ -38,8 +44,12 @@ def _arranged(df: DataFrame, layout: Layout) -> DataFrame:
     return arranged.sortWithinPartitions(*layout.sorted) if layout.sorted else arranged
 
 
-def save_parquet(df: DataFrame, path: str, layout: Layout = Layout()) -> None:
-    _arranged(df, layout).write.mode("overwrite").partitionBy(*layout.folders).parquet(path)
+def save_parquet(
+    df: DataFrame, path: str, layout: Layout = Layout(), mode: str = "static"
+) -> None:
+    """Write a table; mode ``dynamic`` replaces only the folders present in ``df``."""
+    writer = _arranged(df, layout).write.mode("overwrite").option("partitionOverwriteMode", mode)
+    writer.partitionBy(*layout.folders).parquet(path)
 
 
 def save_tables(tables: Tables, root: str) -> None:
@@ -48,19 +58,29 @@ def save_tables(tables: Tables, root: str) -> None:
         save_parquet(df, f"{root}/{TABLE_NAMES[table]}", LAYOUTS.get(table, Layout()))
 
 
-def save_scored(scored: DataFrame, path: str) -> None:
-    """Store scored predictions by year: later metrics need no join of facts."""
-    save_parquet(scored, path, SCORED_LAYOUT)
+def save_scored(scored: DataFrame, path: str, replace: bool = False) -> None:
+    """Store scored predictions by year: later metrics need no join of facts.
+
+    The years present replace those stored, the others stay; ``replace`` drops
+    all that was stored before.
+    """
+    save_parquet(scored, path, SCORED_LAYOUT, "static" if replace else "dynamic")
 
 
 def load_scored(spark: SparkSession, path: str, year: int | None = None) -> DataFrame:
-    scored = spark.read.parquet(path)
+    scored = spark.read.schema(SCORED_SCHEMA).parquet(path)
     return scored if year is None else scored.filter(F.col("year") == year)
 
 
-def load_database(spark: SparkSession, files_root: str, database: str) -> None:
-    """Reload a whole catalog database from per-table files."""
-    spark.sql(f"CREATE DATABASE IF NOT EXISTS `{database}`")
+def load_database(
+    spark: SparkSession, files_root: str, database: str, location: str | None = None
+) -> None:
+    """Reload a whole catalog database from per-table files.
+
+    A new database is made in ``location`` if that is given, else in the warehouse.
+    """
+    where = f"LOCATION '{location}'" if location else ""
+    spark.sql(f"CREATE DATABASE IF NOT EXISTS `{database}` {where}")
     for table, df in load_tables(spark, files_root).items():
         layout = LAYOUTS.get(table, Layout())
         writer = _arranged(df, layout).write.mode("overwrite").partitionBy(*layout.folders)
@@ -84,9 +104,16 @@ def prepare_rows(df: DataFrame, table: str) -> DataFrame:
 
 
 def append_rows(df: DataFrame, table: str, root: str) -> None:
-    """Bulk insert into a stored table."""
+    """Bulk insert into a stored table.
+
+    Fails, with nothing written, where a key is taken or a reference has no row.
+    Stored scores do not follow by themselves: ``plans.jobs.append_predictions``
+    appends and refreshes them.
+    """
     layout = LAYOUTS.get(table, Layout())
-    rows = _arranged(prepare_rows(df, table), layout)
+    prepared = prepare_rows(df, table)
+    require_rows_fit(prepared, table, load_tables(df.sparkSession, root))
+    rows = _arranged(prepared, layout)
     rows.write.mode("append").partitionBy(*layout.folders).parquet(f"{root}/{TABLE_NAMES[table]}")
 
 
@@ -97,16 +124,27 @@ def publish(
 
     Each run writes to its own folder, so readers keep the old rows until all
     new ones are complete, a failed run changes nothing, and the source of a
-    rewrite is never overwritten while it is read.
+    rewrite is never overwritten while it is read. The views stand on tables
+    with declared columns, which can be read without any file. ``run`` must be
+    new and fit a table's name.
     """
     spark.sql(f"CREATE DATABASE IF NOT EXISTS `{database}`")
-    paths = {table: f"{root}/{run}/{TABLE_NAMES[table]}" for table in changed}
+    views = {}
     for table, df in changed.items():
-        save_parquet(df, paths[table], LAYOUTS.get(table, Layout()))
-    for table, path in paths.items():
+        name, layout = TABLE_NAMES[table], LAYOUTS.get(table, Layout())
+        path, stored = f"{root}/{run}/{name}", f"`{database}`.`{name}_{run}`"
+        save_parquet(df, path, layout)
+        columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in SCHEMAS[table])
+        folders = f"PARTITIONED BY ({', '.join(layout.folders)})" if layout.folders else ""
+        spark.sql(f"CREATE TABLE {stored} ({columns}) USING parquet {folders} LOCATION '{path}'")
+        if layout.folders:
+            spark.sql(f"ALTER TABLE {stored} RECOVER PARTITIONS")
+        views[name] = stored, ", ".join(f"`{f.name}`" for f in SCHEMAS[table])
+    for stored, columns in views.values():
+        spark.sql(f"SELECT {columns} FROM {stored} LIMIT 0").collect()
+    for name, (stored, columns) in views.items():
         spark.sql(
-            f"CREATE OR REPLACE VIEW `{database}`.`{TABLE_NAMES[table]}` "
-            f"AS SELECT * FROM parquet.`{path}`"
+            f"CREATE OR REPLACE VIEW `{database}`.`{name}` AS SELECT {columns} FROM {stored}"
         )
 
 

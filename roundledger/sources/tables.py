@@ -8,9 +8,13 @@ from roundledger.schemas import SCHEMAS, TABLE_NAMES, Tables
 from roundledger.session import configure
 
 
-def load_tables(spark: SparkSession, root: str) -> Tables:
-    """Parquet tables under ``root``, one folder each, with the declared schemas."""
-    configure(spark)
+def load_tables(spark: SparkSession, root: str, shuffle_bytes: int | None = None) -> Tables:
+    """Parquet tables under ``root``, one folder each, with the declared schemas.
+
+    Like every loader this sets the session's time zone, ANSI and adaptive
+    settings (``configure``), and its shuffle width if ``shuffle_bytes`` is given.
+    """
+    configure(spark, shuffle_bytes)
     return Tables(
         **{
             table: spark.read.schema(SCHEMAS[table]).parquet(f"{root}/{name}")

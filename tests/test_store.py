@@ -75,6 +75,8 @@ def test_append_fills_defaults(spark, tmp_path):
     picks = spark.createDataFrame(
         [(99, 5, 1, 3)], "id int, matchId int, mlModelId int, predictedWinnerId int"
     )
+    with pytest.raises(ValueError, match="Prediction rows repeat|without a row"):
+        store.append_rows(picks.withColumn("matchId", F.lit(77)), "prediction", str(tmp_path))
     store.append_rows(picks, "prediction", str(tmp_path))
     loaded = load_tables(spark, str(tmp_path))
     assert (9, False, False, 2, 2) in tuples(loaded.ml_model_season)
@@ -83,6 +85,7 @@ def test_append_fills_defaults(spark, tmp_path):
 
 
 def test_append_refuses_missing_values(spark, tmp_path):
+    store.save_tables(tiny_tables(spark), str(tmp_path))
     rows = spark.createDataFrame([(9,)], "id int")
     with pytest.raises(Exception, match="Season.year is required"):
         store.append_rows(rows, "season", str(tmp_path))
@@ -193,10 +196,11 @@ def test_dashboard_document(tables):
 
 
 def test_metric_series(tables):
-    series = dashboard.metric_series(tables, "2020", "totalTips")
+    names = metrics.model_names(tables.ml_model)
+    series = dashboard.metric_series(tables, "2020", "totalTips", names=names)
     assert series.columns == ["roundNumber", "X", "m", "p"]
     assert tuples(series) == [(1, 1.0, 1.0, 0.0), (2, None, 1.0, 1.0)]
-    single = dashboard.metric_series(tables, "2020", "totalTips", cumulative=False)
+    single = dashboard.metric_series(tables, "2020", "totalTips", cumulative=False, names=names)
     assert tuples(single) == [(1, 1.0, 1.0, 0.0), (2, None, 0.0, 1.0)]
 
 
