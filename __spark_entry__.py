@@ -15,6 +15,7 @@ sys.path.insert(0, str(Path(__file__).resolve().parent))
 from oracles.sql import ORACLES, USAGE  # noqa: E402
 from roundledger.functions.text import (  # noqa: E402
     integer_prefix,
+    is_metric,
     metric_label,
     present_metric,
     present_number,
@@ -34,12 +35,14 @@ from roundledger.operators import (  # noqa: E402
     selection,
 )
 from roundledger.operators.keys import append_keys  # noqa: E402
-from roundledger.plans import dashboard  # noqa: E402
-from roundledger.schemas import SCHEMAS, Tables  # noqa: E402
-from roundledger.session import configure  # noqa: E402
+from roundledger.plans import dashboard, jobs  # noqa: E402
+from roundledger.schemas import SCHEMAS, TABLE_NAMES, Tables  # noqa: E402
+from roundledger.session import configure, working_folder  # noqa: E402
 from roundledger.sources.evolve import evolve_table, old_name  # noqa: E402
 from roundledger.sources.sample import sample_tables  # noqa: E402
+from roundledger.sources import store  # noqa: E402
 from roundledger.sources.store import prepare_rows  # noqa: E402
+from roundledger.sources.tables import database_tables, load_tables  # noqa: E402
 
 # The text operators are optional: the rest works without them.
 try:
@@ -51,6 +54,8 @@ except ModuleNotFoundError as missing:
     corpus_pipeline = llm_queries = None
 
 SMOKE_DIR = "/root/testdata/sf0.001"
+# The test data has seven line numbers, which stand in for models.
+MODEL_NAMES = [f"model_{n}" for n in range(1, 8)]
 Query = Callable[[SparkSession, str], DataFrame]
 
 
@@ -105,12 +110,12 @@ def _round_metric(metric: str, cumulative: bool = True) -> Query:
 
 
 def _season_metrics(t: Tables) -> DataFrame:
-    scored = scoring.score_predictions(t, in_use_only=True)
+    scored = scoring.score_predictions(t)
     return metrics.season_metrics(scored, t.season, t.ml_model_season)
 
 
 def _round_predictions(t: Tables) -> DataFrame:
-    scored = scoring.score_predictions(t, in_use_only=True)
+    scored = scoring.score_predictions(t)
     return predictions.round_predictions(scored, t.ml_model_season, t.team)
 
 
@@ -122,7 +127,7 @@ def _scored_predictions(t: Tables) -> DataFrame:
 
 def _round_metrics_wide(t: Tables) -> DataFrame:
     long = metrics.round_metrics(_totals(t), t.ml_model, "totalTips")
-    return metrics.pivot_models(long, metrics.model_names(t.ml_model))
+    return metrics.pivot_models(long, MODEL_NAMES)
 
 
 def _prediction_texts(t: Tables) -> DataFrame:
@@ -206,10 +211,7 @@ def _nations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _orphan_refs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orphans once the teams of one region are gone."""
-    t = sample_tables(spark, sf_dir)
-    kept = _nations(spark, sf_dir).filter("n_regionkey <> 2")
-    teams = t.team.join(kept, t.team.id == kept.n_nationkey, "left_semi")
-    return quality.orphan_references(t.swap(team=teams))
+    return quality.orphan_references(_without_region(spark, sf_dir))
 
 
 def _references_held(t: Tables) -> DataFrame:
@@ -343,6 +345,114 @@ def _season_starts(t: Tables) -> DataFrame:
     )
 
 
+def _without_region(spark: SparkSession, sf_dir: str) -> Tables:
+    """The tables once the teams of one region are gone."""
+    t = sample_tables(spark, sf_dir)
+    kept = _nations(spark, sf_dir).filter("n_regionkey <> 2")
+    return t.swap(team=t.team.join(kept, t.team.id == kept.n_nationkey, "left_semi"))
+
+
+def _round_predictions_orphans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _round_predictions(_without_region(spark, sf_dir))
+
+
+def _recomputed_orphans(t: Tables) -> DataFrame:
+    """Correctness once the matches without a venue are gone."""
+    bare = t.swap(match=t.match.filter("venue IS NOT NULL"))
+    return scoring.recompute_correctness(bare, draws_count=True).select("id", "isCorrect")
+
+
+def _metric_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names that are a metric and names that are not, for each nation."""
+    names = [F.lit(n) for n in ("accuracy", "Accuracy", "bits", "totalTips", "mae ", "")]
+    nation = _nations(spark, sf_dir)
+    name = F.col("name")
+    return nation.select(
+        "n_nationkey", F.explode(F.array(*names, F.lower("n_name"))).alias("name")
+    ).select("n_nationkey", "name", is_metric(name).alias("isMetric"))
+
+
+def _parameter_rows(t: Tables) -> DataFrame:
+    """How many tips a request shows, by its season and round as text."""
+    requests = (("1999", "5"), (" 1999x", "5."), (None, "5"), ("soon", "5"), ("1999", ""), ("2050", "1"))
+    counted = [
+        dashboard.prediction_list(t, season, round_).agg(F.count("*").alias("tips")).select(
+            F.lit(i).alias("request"), "tips"
+        )
+        for i, (season, round_) in enumerate(requests)
+    ]
+    result = counted[0]
+    for part in counted[1:]:
+        result = result.unionByName(part)
+    return result
+
+
+def _json_series(t: Tables) -> DataFrame:
+    """A season's series written as JSON lines and taken apart again."""
+    spark = t.match.sparkSession
+    path = working_folder(spark, "json")
+    store.save_json(dashboard.metric_series(t, "1999", "bits", names=MODEL_NAMES), path)
+    fields = ", ".join(f"`{name}` double" for name in MODEL_NAMES)
+    lines = spark.read.text(path).select(F.from_json("value", f"roundNumber int, {fields}").alias("r"))
+    return lines.select("r.*")
+
+
+def _table_rows(tables: Tables) -> DataFrame:
+    parts = [
+        df.agg(F.count("*").alias("rows")).select(F.lit(TABLE_NAMES[table]).alias("tableName"), "rows")
+        for table, df in tables.items()
+    ]
+    result = parts[0]
+    for part in parts[1:]:
+        result = result.unionByName(part)
+    return result
+
+
+def _stored_rows(t: Tables) -> DataFrame:
+    """Rows per table after all were written to files and read back."""
+    spark = t.match.sparkSession
+    root = working_folder(spark, "stored")
+    store.save_tables(t, root)
+    return _table_rows(load_tables(spark, root))
+
+
+def _database_rows(t: Tables) -> DataFrame:
+    """Rows per table of a database reloaded from files."""
+    spark = t.match.sparkSession
+    root = working_folder(spark, "database")
+    database = root.rsplit("/", 1)[-1].replace("-", "_")
+    store.save_tables(t, root)
+    store.load_database(spark, root, database, f"{root}/tables")
+    return _table_rows(database_tables(spark, database))
+
+
+def _refreshed_scores(t: Tables) -> DataFrame:
+    """Stored scores by year after some predictions came in and some results late."""
+    spark = t.match.sparkSession
+    root = working_folder(spark, "refreshed")
+    late = F.col("id") % 7 == 0
+    unplayed = t.match.withColumns(
+        {c: F.when(~late, F.col(c)) for c in ("margin", "winnerId")}
+    )
+    early = t.prediction.filter("matchId % 5 <> 0").withColumn(
+        "isCorrect", F.when(F.col("matchId") % 7 != 0, F.col("isCorrect"))
+    )
+    store.save_tables(t.swap(match=unplayed, prediction=early), root)
+    store.save_scored(scoring.score_predictions(load_tables(spark, root)), f"{root}/Scored")
+    new = t.prediction.filter("matchId % 5 = 0").withColumn(
+        "isCorrect", F.when(F.col("matchId") % 7 != 0, F.col("isCorrect"))
+    ).drop("id")
+    jobs.append_predictions(spark, new, root)
+    played = t.match.filter(late & F.col("margin").isNotNull())
+    jobs.late_results(spark, played.select("id", "margin", "winnerId"), root)
+    return store.load_scored(spark, f"{root}/Scored").groupBy("year").agg(
+        F.count("*").alias("predictions"),
+        F.sum("tip").alias("totalTips"),
+        F.sum("absError").alias("absError"),
+        F.sum("bits").alias("bits"),
+    )
+
+
 def _integer_prefixes(spark: SparkSession, sf_dir: str) -> DataFrame:
     configure(spark)
     return spark.read.parquet(f"{sf_dir}/orders.parquet").select(
@@ -374,7 +484,7 @@ _QUERIES: dict[str, Query] = {
     "round_mae_per_round": _round_metric("mae", cumulative=False),
     "round_bits_per_round": _round_metric("bits", cumulative=False),
     "round_metrics_wide": _on_tables(_round_metrics_wide),
-    "metric_series": _on_tables(lambda t: dashboard.metric_series(t, "1999", "mae")),
+    "metric_series": _on_tables(lambda t: dashboard.metric_series(t, "1999", "mae", names=MODEL_NAMES)),
     "round_predictions": _on_tables(_round_predictions),
     "prediction_list": _on_tables(lambda t: dashboard.prediction_list(t, "1999", "5")),
     "round_report": _on_tables(lambda t: reports.round_report(_round_predictions(t))),
@@ -431,5 +541,13 @@ _QUERIES: dict[str, Query] = {
         lambda t: t.match.filter(within_year(F.col("startDateTime"), 1999)).select("id")
     ),
     "integer_prefixes": _integer_prefixes,
+    "round_predictions_orphans": _round_predictions_orphans,
+    "recomputed_correctness_orphans": _on_tables(_recomputed_orphans),
+    "metric_flags": _metric_flags,
+    "parameter_rows": _on_tables(_parameter_rows),
+    "json_series": _on_tables(_json_series),
+    "stored_rows": _on_tables(_stored_rows),
+    "database_rows": _on_tables(_database_rows),
+    "refreshed_scores": _on_tables(_refreshed_scores),
     "dashboard_document": _on_tables(_dashboard_document),
 }

@@ -87,7 +87,7 @@ scored AS (
   FROM prediction p
   JOIN match m ON m.id = p.matchId
   JOIN season s ON s.id = m.seasonId
-  JOIN ml_model l ON l.id = p.mlModelId
+  LEFT JOIN ml_model l ON l.id = p.mlModelId
   JOIN ml_model_season f ON f.seasonId = m.seasonId AND f.mlModelId = p.mlModelId
 )"""
 
@@ -149,7 +149,7 @@ round_predictions AS (
     a.isCorrect
   FROM principal a
   LEFT JOIN secondary b ON b.matchId = a.matchId
-  JOIN team t ON t.id = a.predictedWinnerId
+  LEFT JOIN team t ON t.id = a.predictedWinnerId
 )"""
 
 PREDICTED_YEARS = """,
@@ -274,6 +274,15 @@ _PRIMARY_SQL = "\nUNION ALL ".join(
 _CURRENT = """,
 latest AS (SELECT max(year) AS year FROM season)"""
 
+_TABLE_ROWS = "\n" + "\nUNION ALL ".join(
+    f"SELECT '{label}' AS tableName, count(*) AS rows FROM {table}"
+    for table, label in (
+        ("match", "Match"), ("prediction", "Prediction"), ("team_match", "TeamMatch"),
+        ("season", "Season"), ("team", "Team"), ("ml_model", "MlModel"),
+        ("ml_model_season", "MlModelSeason"),
+    )
+)
+
 ORACLES: dict[str, str] = {
     "season_metrics": MAPPING + SCORED + SEASON_METRICS + """
 SELECT year, totalTips, round(accuracy, 6) AS accuracy, round(mae, 6) AS mae,
@@ -468,7 +477,7 @@ WHERE h.atHome""",
     "recomputed_correctness": MAPPING + """
 SELECT p.id, CASE WHEN m.margin IS NULL THEN NULL WHEN m.winnerId IS NULL THEN true
                   ELSE m.winnerId = p.predictedWinnerId END AS isCorrect
-FROM prediction p JOIN match m ON m.id = p.matchId""",
+FROM prediction p LEFT JOIN match m ON m.id = p.matchId""",
     "evolve_schema": MAPPING + """
 SELECT id, strftime(startDateTime, '%Y-%m-%d %H:%M:%S') AS startDateTime, roundNumber, venue,
   margin, winnerId
@@ -490,7 +499,7 @@ FROM season""",
     "matches_of_year": MAPPING + """
 SELECT id FROM match WHERE year(startDateTime) = 1999""",
     "integer_prefixes": """
-SELECT o_orderkey, CAST(regexp_extract(o_orderpriority, '^[0-9]+') AS INT) AS number
+SELECT o_orderkey, CAST(regexp_extract(o_orderpriority, '^[0-9]+') AS BIGINT) AS number
 FROM orders""",
     "dashboard_document": MAPPING + SCORED + SEASON_METRICS + """,
 parts AS (
@@ -506,4 +515,37 @@ SELECT concat('[', rounds, ']') AS roundNumbers, totalTips, 1999 AS currentSeaso
   (SELECT round(mae, 6) FROM season_metrics WHERE year = 1999) AS mae,
   (SELECT round(bits, 6) FROM season_metrics WHERE year = 1999) AS bits
 FROM parts""",
+    "round_predictions_orphans": MAPPING + COMBINED.replace(
+        "LEFT JOIN team t ON t.id = a.predictedWinnerId",
+        "LEFT JOIN (SELECT n_nationkey AS id, n_name AS name FROM nation WHERE n_regionkey <> 2) t "
+        "ON t.id = a.predictedWinnerId",
+    ) + """
+SELECT year, roundNumber, matchId, predictedWinnerName,
+  round(predictedMargin, 6) AS predictedMargin,
+  round(predictedWinProbability, 6) AS predictedWinProbability, isCorrect
+FROM round_predictions""",
+    "recomputed_correctness_orphans": MAPPING + """
+SELECT p.id, CASE WHEN m.margin IS NULL THEN NULL WHEN m.winnerId IS NULL THEN true
+                  ELSE m.winnerId = p.predictedWinnerId END AS isCorrect
+FROM prediction p LEFT JOIN match m ON m.id = p.matchId AND m.venue IS NOT NULL""",
+    "metric_flags": """
+SELECT n_nationkey, name, name IN ('totalTips', 'accuracy', 'mae', 'bits') AS isMetric
+FROM (SELECT n_nationkey, unnest(['accuracy', 'Accuracy', 'bits', 'totalTips', 'mae ', '',
+                                  lower(n_name)]) AS name FROM nation) n""",
+    "parameter_rows": MAPPING + COMBINED + """,
+shown AS (SELECT count(*) AS tips FROM round_predictions WHERE year = 1999 AND roundNumber = 5)
+SELECT r.request, CASE WHEN r.request < 2 THEN shown.tips ELSE 0 END AS tips
+FROM (SELECT CAST(unnest(range(6)) AS INT) AS request) r, shown""",
+    "json_series": MAPPING + SCORED + CUMULATIVE + """
+SELECT roundNumber,
+  """ + ",\n  ".join(
+        f"round(max(bits) FILTER (WHERE name = 'model_{n}'), 6) AS model_{n}" for n in range(1, 8)
+    ) + """
+FROM round_scores WHERE year = 1999 GROUP BY roundNumber""",
+    "stored_rows": MAPPING + _TABLE_ROWS,
+    "database_rows": MAPPING + _TABLE_ROWS,
+    "refreshed_scores": MAPPING + SCORED + """
+SELECT year, count(*) AS predictions, CAST(sum(tip) AS BIGINT) AS totalTips,
+  round(sum(absError), 6) AS absError, round(sum(bits), 6) AS bits
+FROM scored GROUP BY year""",
 }
