@@ -14,11 +14,15 @@ verified, as a bucket may hold a third of all documents; only what decides the
 components is, and that exactly:
 
 - every class is compared with the first of its bucket (one partner each);
-- then, while a bucket holds several components, all its members outside its
-  largest one become pivots in growing numbers and are compared with every
-  member of another component. A pair inside one component needs no comparing,
-  and every pair across components has such a pivot at one end. So two classes
-  that share a bucket and are similar enough always end up in one component.
+- each class outside its bucket's largest component is compared with one drawn
+  from it, a few times over: that brings nearly all classes of a group together
+  for a few comparisons each;
+- then, where a bucket still holds several components, all its members outside
+  its largest one are compared with every member of another component, in blocks
+  of bounded size that give out links only. A pair inside one component needs
+  no comparing, and every pair across components has such a member at one end.
+  So two classes that share a bucket and are similar enough always end up in
+  one component.
 """
 
 from __future__ import annotations
@@ -29,7 +33,7 @@ import math
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -45,6 +49,11 @@ BANDS, ROWS = 32, 8
 LINK_PERCENT = 85
 # A pair is dropped unverified only this many standard errors below the threshold.
 ERRORS = 6.0
+# How often classes draw a partner before they are compared with all others.
+DRAWS = 2
+# Rows of a bucket in a block, and up to which size buckets share blocks.
+BLOCK_ROWS = 1024
+SMALL_BUCKET = 64
 
 
 def word_hashes() -> WordMemo:
@@ -112,7 +121,11 @@ def collision_rate(n_a: int, n_b: int) -> float:
 
 def estimated_jaccard(a: np.ndarray, b: np.ndarray, n_a: int, n_b: int) -> float:
     """Jaccard similarity from registers, corrected for chance collisions."""
-    agreeing = float((a == b).mean())
+    return corrected(float((a == b).mean()), n_a, n_b)
+
+
+def corrected(agreeing: float, n_a: int, n_b: int) -> float:
+    """The similarity that a share of agreeing registers stands for."""
     chance = collision_rate(n_a, n_b)
     return max(0.0, (agreeing - chance) / (1 - chance))
 
@@ -123,6 +136,12 @@ def least_estimate(size: int, link_percent: int) -> float:
     return j - ERRORS * math.sqrt(j * (1 - j) / max(1, min(size, REGISTERS)))
 
 
+def linked(a: np.ndarray, b: np.ndarray, link_percent: int) -> bool:
+    """Whether two full sets are similar enough."""
+    common = len(np.intersect1d(a, b, assume_unique=True))
+    return 100 * common >= link_percent * (len(a) + len(b) - common)
+
+
 def signatures(docs: DataFrame, text: str, doc_id: str, key: str = "_key") -> DataFrame:
     """id, key, ``n_shingles``, ``digest`` of the set and its ``registers``."""
     schema = (
@@ -180,9 +199,7 @@ def _verified(pairs: DataFrame, link_percent: int) -> DataFrame:
                     continue
                 if last[0] != a:
                     last = (a, shingle_set(left[i], memo))
-                x, y = last[1], shingle_set(right[i], memo)
-                common = len(np.intersect1d(x, y, assume_unique=True))
-                if 100 * common >= link_percent * (len(x) + len(y) - common):
+                if linked(last[1], shingle_set(right[i], memo), link_percent):
                     keep.append(ids[i])
             yield pa.RecordBatch.from_arrays(
                 [pa.array([k[i] for k in keep], pa.int64()) for i in range(2)], ["a", "b"]
@@ -210,12 +227,124 @@ def _links(pairs: DataFrame, classes: DataFrame, link_percent: int) -> DataFrame
     return _verified(full, link_percent)
 
 
+def _split_buckets(buckets: DataFrame, roots: DataFrame) -> DataFrame:
+    """Members of buckets with several components.
+
+    ``bucket``, ``band``, ``class``, ``root``, the bucket's largest component ``top`` and
+    how many members that has (``n_top``).
+    """
+    member = buckets.join(roots.toDF("class", "root"), "class", "left").select(
+        "bucket", "band", "class", F.coalesce("root", "class").alias("root")
+    )
+    parts = member.groupBy("bucket", "root").agg(F.count("*").alias("n"))
+    top = (
+        parts.groupBy("bucket")
+        .agg(F.max(F.struct("n", "root")).alias("top"), F.count("*").alias("parts"))
+        .where("parts > 1")
+        .select("bucket", F.col("top.root").alias("top"), F.col("top.n").alias("n_top"))
+    )
+    return stored(member.join(top, "bucket"), "near-split")
+
+
+def _drawn_pairs(split: DataFrame, round_: int) -> DataFrame:
+    """Each member outside its bucket's largest component with about one drawn from it."""
+    place = lambda *by: F.pmod(F.xxhash64(F.lit(round_), *by), F.col("n_top"))
+    inside = split.where("root = top").select(
+        "bucket", place("class").alias("place"), F.col("class").alias("a")
+    )
+    outside = split.where("root != top").select(
+        "bucket", place("class", "bucket").alias("place"), F.col("class").alias("b")
+    )
+    return inside.join(outside, ["bucket", "place"]).select("a", "b").distinct()
+
+
+def _blocks(split: DataFrame) -> DataFrame:
+    """Pairs of a split bucket's members and its open ones, dealt out in blocks.
+
+    Open are the members outside the largest component. Members and open ones
+    of a large bucket are cut into shards of bounded size, with a block for
+    each pair of shards; many small buckets share a block.
+    """
+    sizes = split.groupBy("bucket").agg(
+        F.count("*").alias("n"), F.sum((F.col("root") != F.col("top")).cast("long")).alias("n_open")
+    )
+    shards = lambda column: F.ceil(F.col(column) / F.lit(BLOCK_ROWS))
+    shard = lambda of: F.pmod(F.xxhash64("class"), F.col(of))
+    each = lambda of: F.explode(F.sequence(F.lit(0).cast("long"), F.col(of) - 1))
+    small = max(1, -(-split.count() // BLOCK_ROWS))
+    rows = split.join(sizes, "bucket").select(
+        "bucket", "band", "class", "root", "top", (F.col("n") <= SMALL_BUCKET).alias("small"),
+        shards("n").alias("shards"), shards("n_open").alias("open_shards"),
+    )
+    members = rows.select(
+        "*", F.lit(False).alias("pivot"), shard("shards").alias("m"), each("open_shards").alias("p")
+    )
+    pivots = rows.where("root != top").select(
+        "*", F.lit(True).alias("pivot"), each("shards").alias("m"), shard("open_shards").alias("p")
+    )
+    block = F.when(F.col("small"), F.pmod(F.xxhash64("bucket"), F.lit(small))).otherwise(
+        F.xxhash64("bucket", "m", "p")
+    )
+    return members.unionByName(pivots).select(
+        block.alias("block"), "bucket", "band", "class", "root", "pivot"
+    )
+
+
+def _block_links(split: DataFrame, classes: DataFrame, link_percent: int) -> DataFrame:
+    """All links between components that share a bucket, as edges ``a``, ``b``.
+
+    A pair is looked at in the first band it shares only. The registers are
+    compared first, the full sets where they leave a chance.
+    """
+
+    def run(table):
+        memo = word_hashes()
+        bucket, band, class_, root, n = (
+            table[c].to_numpy() for c in ("bucket", "band", "class", "root", "n_shingles")
+        )
+        pivot = np.array(table["pivot"].to_pylist(), bool)
+        registers = np.frombuffer(b"".join(table["registers"].to_pylist()), np.uint16)
+        registers = registers.reshape(-1, REGISTERS)
+        texts, sets = table["text"], {}
+
+        def set_of(row: int) -> np.ndarray:
+            found = sets.get(class_[row])
+            if found is None:
+                found = shingle_set((texts[row].as_py() or "").encode(), memo)
+                sets[class_[row]] = found
+            return found
+
+        edges = []
+        order = np.argsort(bucket, kind="stable")
+        for rows in np.split(order, np.flatnonzero(np.diff(bucket[order])) + 1):
+            members = rows[~pivot[rows]]
+            for i in rows[pivot[rows]]:
+                alike = (100 * np.minimum(n[members], n[i]) >= link_percent * np.maximum(
+                    n[members], n[i]
+                )) & (root[members] != root[i])
+                near = members[alike]
+                same = registers[near] == registers[i]
+                bands = same.reshape(len(near), BANDS, ROWS).all(axis=2)
+                first = bands.argmax(axis=1) == band[i]
+                for j, agreeing in zip(near[first], same[first].mean(axis=1)):
+                    estimate = corrected(float(agreeing), int(n[i]), int(n[j]))
+                    if estimate >= least_estimate(int(min(n[i], n[j])), link_percent) and linked(
+                        set_of(i), set_of(j), link_percent
+                    ):
+                        edges.append((class_[i], class_[j]))
+        return pa.table({c: pa.array([e[k] for e in edges], pa.int64()) for k, c in enumerate("ab")})
+
+    return (
+        _blocks(split).join(classes, "class").groupBy("block").applyInArrow(run, "a long, b long")
+    )
+
+
 def class_components(
-    buckets: DataFrame, classes: DataFrame, link_percent: int, first_pivots: int = 4
+    buckets: DataFrame, classes: DataFrame, link_percent: int, draws: int = DRAWS
 ) -> DataFrame:
     """``node``, ``root`` of the classes that have links.
 
-    ``buckets`` (``bucket``, ``class``) holds buckets of two classes or more.
+    ``buckets`` (``bucket``, ``band``, ``class``) holds buckets of two or more.
     """
     # The smallest bucket mate over all bands: one partner for each class.
     first = buckets.groupBy("bucket").agg(F.min("class").alias("a"))
@@ -225,53 +354,20 @@ def class_components(
         .groupBy(F.col("class").alias("b"))
         .agg(F.min("a").alias("a"))
     )
-    pairs = stored(pairs, "near-pairs")
-    tried = pairs.select("a", "b").union(pairs.select("b", "a"))
     edges = stored(_links(pairs, classes, link_percent), "near-links")
     roots = stored(components(edges), "near-roots")
-    done = None
-    pivots = first_pivots
-    while True:
-        member = buckets.join(roots.toDF("class", "root"), "class", "left").select(
-            "bucket", "class", F.coalesce("root", "class").alias("root")
-        )
-        # A bucket's components by size; the largest needs no pivots.
-        parts = member.groupBy("bucket", "root").agg(F.count("*").alias("n"))
-        most = (
-            parts.groupBy("bucket")
-            .agg(F.max(F.struct("n", "root")).alias("top"), F.count("*").alias("parts"))
-            .where("parts > 1")
-            .select("bucket", F.col("top.root").alias("top"))
-        )
-        split = stored(member.join(most, "bucket"), "near-split")
-        open_ = split.where("root != top").select("bucket", "class", "root")
-        if done is not None:
-            open_ = open_.join(done, ["bucket", "class"], "left_anti")
-        # Members of the largest component are never numbered.
-        numbered = open_.withColumn(
-            "at", F.row_number().over(Window.partitionBy("bucket").orderBy("class"))
-        )
-        chosen = stored(
-            numbered.where(F.col("at") <= pivots).select("bucket", "class", "root"),
-            "near-pivots",
-        )
-        if chosen.isEmpty():
-            return roots
-        pairs = (
-            split.select("bucket", F.col("class").alias("b"), F.col("root").alias("b_root"))
-            .join(chosen.toDF("bucket", "a", "a_root"), "bucket")
-            .where("a_root != b_root")
-            .select("a", "b")
-            .distinct()
-            .join(tried, ["a", "b"], "left_anti")
-        )
-        found = stored(_links(pairs, classes, link_percent), "near-links")
-        seen = chosen.select("bucket", "class")
-        done = stored(seen if done is None else done.union(seen), "near-done")
-        if not found.isEmpty():
-            edges = edges.union(found)
-            roots = stored(components(edges), "near-roots")
-        pivots *= 4
+    split = _split_buckets(buckets, roots)
+    for draw in range(draws):
+        found = stored(_links(_drawn_pairs(split, draw), classes, link_percent), "near-links")
+        if found.isEmpty():
+            break
+        edges = edges.union(found)
+        roots = stored(components(edges), "near-roots")
+        split = _split_buckets(buckets, roots)
+    found = stored(_block_links(split, classes, link_percent), "near-links")
+    if found.isEmpty():
+        return roots
+    return stored(components(edges.union(found)), "near-roots")
 
 
 def near_dedup(
@@ -323,9 +419,9 @@ def _marked(
             for band in range(BANDS)
         )
     )
-    banded = copies.select("class", F.explode(bands).alias("bucket"))
+    banded = copies.select("class", F.posexplode(bands).alias("band", "bucket"))
     shared = banded.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
-    buckets = stored(banded.join(shared, "bucket").select("bucket", "class"), "near-buckets")
+    buckets = stored(banded.join(shared, "bucket").select("bucket", "band", "class"), "near-buckets")
     wanted = buckets.select("class").distinct()
     # Texts of the classes with bucket mates; equal keys are equal rows.
     texts = (
