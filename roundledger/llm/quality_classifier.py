@@ -142,7 +142,10 @@ def train(
         weight = F.when(F.col("_label") == value, 1.0 / part).otherwise(weight)
     drawn = F.xxhash64("_id")
     chosen = usable.where(F.pmod(drawn, F.lit(scale)) < share).withColumn("_weight", weight)
-    sample = docs.select(F.col(doc_id).alias("_id"), F.col(text).alias("_text")).join(chosen, "_id")
+    # About twice ``sample_texts`` small rows at most, so texts are not shuffled.
+    sample = docs.select(F.col(doc_id).alias("_id"), F.col(text).alias("_text")).join(
+        F.broadcast(chosen), "_id"
+    )
     schema = "good binary, bad binary, weights array<double>"
 
     def run(batches):
