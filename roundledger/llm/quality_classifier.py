@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from roundledger.llm.shared import texts_of
+from roundledger.llm.shared import fold, texts_of
 
 # About so many labelled texts of a class are used for fitting, drawn by hash,
 # and at most so many bytes of pieces go into one dictionary.
@@ -30,12 +30,6 @@ FOLDS = 5
 LEAST_SCORE = 0.3
 
 
-def fold(doc_id: str, folds: int):
-    """crc32 of the id as text, NULL as empty, modulo ``folds``."""
-    text = F.coalesce(F.col(doc_id).cast("string"), F.lit(""))
-    return F.pmod(F.crc32(text.cast("binary")), F.lit(folds))
-
-
 def build_dictionary(texts: list[bytes]) -> bytes:
     """A dictionary from pieces of the texts, plain content if there are too few."""
     pieces, size = [], 0

@@ -57,6 +57,12 @@ def text_key(*columns: str) -> Column:
     return F.xxhash64(*(c for name in columns for c in (F.col(name).isNull(), F.col(name))))
 
 
+def fold(doc_id: str, folds: int) -> Column:
+    """crc32 of the id as text, NULL as empty, modulo ``folds``."""
+    text = F.coalesce(F.col(doc_id).cast("string"), F.lit(""))
+    return F.pmod(F.crc32(text.cast("binary")), F.lit(folds))
+
+
 def texts_of(column: pa.Array | pa.ChunkedArray) -> list[bytes]:
     """UTF-8 bytes of each value, NULL as empty."""
     binary = column.cast(pa.binary()) if not pa.types.is_binary(column.type) else column
