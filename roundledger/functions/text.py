@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -32,6 +33,15 @@ def _halves(number: float) -> tuple[float, float]:
     return high, number - high
 
 
+def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with ``value`` worked out once.
+
+    Written out wherever it is used, the formatting grows to methods of 50,000
+    bytes, which Java does not compile.
+    """
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def _rounded_fraction(fraction: Column, digits: int) -> Column:
     """``fraction * 10**digits`` rounded half up on the exact product.
 
@@ -40,16 +50,50 @@ def _rounded_fraction(fraction: Column, digits: int) -> Column:
     rounding error of the product decide.
     """
     scale = float(10**digits)
-    product = fraction * scale
-    rest = product - F.floor(product)
-    high = fraction * _SPLITTER - (fraction * _SPLITTER - fraction)
-    low = fraction - high
     scale_high, scale_low = _halves(scale)
-    error = (
-        (high * scale_high - product) + high * scale_low + low * scale_high
-    ) + low * scale_low
-    up = (rest > 0.5) | ((rest == 0.5) & (error >= 0))
-    return F.floor(product) + up.cast("bigint")
+
+    def rounded(parts: Column) -> Column:
+        product, high, low = parts["product"], parts["high"], parts["low"]
+        rest = product - F.floor(product)
+        error = (
+            (high * scale_high - product) + high * scale_low + low * scale_high
+        ) + low * scale_low
+        up = (rest > 0.5) | ((rest == 0.5) & (error >= 0))
+        return F.floor(product) + up.cast("bigint")
+
+    high = fraction * _SPLITTER - (fraction * _SPLITTER - fraction)
+    parts = F.struct(
+        (fraction * scale).alias("product"), high.alias("high"), (fraction - high).alias("low")
+    )
+    return _let(parts, rounded)
+
+
+def _small_text(size: Column, digits: int) -> Column:
+    """Text of a size below 2**53."""
+
+    def joined(parts: Column) -> Column:
+        carry = (parts["scaled"] >= 10**digits).cast("bigint")
+        text = (parts["whole"] + carry).cast("string")
+        if digits:
+            kept = (parts["scaled"] - carry * 10**digits).cast("string")
+            text = F.concat(text, F.lit("."), F.lpad(kept, digits, "0"))
+        return text
+
+    whole = F.floor(size)
+    scaled = _let(size - whole, lambda fraction: _rounded_fraction(fraction, digits))
+    return _let(F.struct(whole.alias("whole"), scaled.alias("scaled")), joined)
+
+
+def _large_text(size: Column, digits: int) -> Column:
+    """Text of a size from 2**53 on, which has no fraction."""
+    # Beyond long a double is a multiple of 1024.
+    whole = F.when(size < _LONG_BELOW, size.try_cast("bigint").cast("decimal(38,0)")).otherwise(
+        (size / 1024).try_cast("bigint").cast("decimal(28,0)") * F.lit(1024)
+    )
+    fixed = F.concat(whole.cast("string"), F.lit("." + "0" * digits if digits else ""))
+    # From 1e21 on even fixed-point text uses an exponent: 1e+21.
+    exponent = F.regexp_replace(F.regexp_replace(size.cast("string"), r"\.0E", "E"), "E", "e+")
+    return F.when(size >= 1e21, exponent).otherwise(fixed)
 
 
 def fixed_point(value: Column, digits: int = 0) -> Column:
@@ -61,30 +105,17 @@ def fixed_point(value: Column, digits: int = 0) -> Column:
     """
     if not 0 <= digits <= MOST_DIGITS:
         raise ValueError(f"digits must be 0 to {MOST_DIGITS}: {digits}")
-    value = value.cast("double")
-    size = F.abs(value)
-    small = F.when(size < _WHOLE_FROM, size)
-    whole = F.floor(small)
-    scaled = _rounded_fraction(small - whole, digits)
-    carry = (scaled >= 10**digits).cast("bigint")
-    text = (whole + carry).cast("string")
-    if digits:
-        kept = scaled - carry * 10**digits
-        text = F.concat(text, F.lit("."), F.lpad(kept.cast("string"), digits, "0"))
-    # Beyond long a double is a multiple of 1024.
-    large = F.when(size < _LONG_BELOW, size.try_cast("bigint").cast("decimal(38,0)")).otherwise(
-        (size / 1024).try_cast("bigint").cast("decimal(28,0)") * F.lit(1024)
-    )
-    large_text = F.concat(large.cast("string"), F.lit("." + "0" * digits if digits else ""))
-    # From 1e21 on even fixed-point text uses an exponent: 1e+21.
-    exponent = F.regexp_replace(F.regexp_replace(size.cast("string"), r"\.0E", "E"), "E", "e+")
-    shown = (
-        F.when(F.isnan(value), F.lit("NaN"))
-        .when(size >= 1e21, exponent)
-        .when(size >= _WHOLE_FROM, large_text)
-        .otherwise(text)
-    )
-    return F.concat(F.when(value < 0, F.lit("-")).otherwise(F.lit("")), shown)
+
+    def shown(number: Column) -> Column:
+        size = F.abs(number)
+        text = (
+            F.when(F.isnan(number), F.lit("NaN"))
+            .when(size < _WHOLE_FROM, _small_text(size, digits))
+            .otherwise(_large_text(size, digits))
+        )
+        return F.concat(F.when(number < 0, F.lit("-")).otherwise(F.lit("")), text)
+
+    return _let(value.cast("double"), shown)
 
 
 def present_number(value: Column, digits: int = 0) -> Column:

@@ -97,6 +97,17 @@ def test_no_magnitude_is_beyond_reach(spark, value, digits, expected):
     assert shown(spark, text.present_number, value, digits) == expected
 
 
+def test_formatting_stays_small_enough_to_be_compiled(spark):
+    """Java compiles methods of up to 8,000 bytes."""
+    n = F.col("id") / 3
+    df = spark.range(5).select(
+        text.present_number(n, 2).alias("a"), text.present_percentage(n).alias("b"),
+        text.present_metric(F.lit("mae"), n, 2).alias("c"),
+    )
+    stages = df._jdf.queryExecution().debug().codegenToSeq()
+    assert 0 < max(stages.apply(i)._3().maxMethodCodeSize() for i in range(stages.size())) < 8000
+
+
 def test_more_digits_are_refused():
     with pytest.raises(ValueError, match="digits"):
         text.fixed_point(F.lit(1.0), 16)
