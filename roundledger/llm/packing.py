@@ -9,6 +9,7 @@ the most room below them.
 
 from __future__ import annotations
 
+import struct
 from collections.abc import Iterable
 
 import numpy as np
@@ -24,6 +25,11 @@ from roundledger.llm.shared import WordMemo, stored, texts_of
 SEQUENCE = 4096
 TOKENIZER = "word_bpe_49k.json"
 END_ID = 2
+# Lower-case letters that normalisation leaves alone.
+LATIN = "abcdefghijklmnopqrstuvwxyzßàáâãäåæçèéêëìíîïðñòóôõöøùúûüýþÿ"
+STOPS = (b".", b",", b"!", b"?", b";", b":")
+# Words a task keeps the ids of, about 200 bytes each.
+MEMO_WORDS = 1_000_000
 # Pieces a group holds on average; a group's work and memory follow it.
 GROUP_PIECES = 8192
 
@@ -55,6 +61,44 @@ def first_fit(lengths: Iterable[int], capacity: int) -> list[tuple[int, int]]:
     return placed
 
 
+def byte_letters() -> dict[int, str]:
+    """The letter that stands for each byte inside the tokenizer.
+
+    Fixed rule of byte-level tokenizers: printable Latin-1 characters stand for
+    themselves, the other bytes for the letters from 256 on, in order.
+    """
+    own = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    others = [b for b in range(256) if b not in own]
+    return {b: chr(b) for b in own} | {b: chr(256 + i) for i, b in enumerate(others)}
+
+
+class WordIds(WordMemo):
+    """Token ids of words in lower case, little-endian, by word.
+
+    The tokenizer always parts a letter from a stop that follows it, so words
+    with and without one share their ids. A word of lower-case Latin letters
+    alone is one unit to the tokenizer and normalised already, so its model is
+    asked directly; all other words take the whole way.
+    """
+
+    def __init__(self, coder: Tokenizer, most: int):
+        super().__init__(self.ids, most)
+        self.coder, self.model = coder, coder.model
+        letters = byte_letters()
+        self.letters = {c: "".join(letters[b] for b in c.encode()) for c in LATIN}
+
+    def ids(self, word: bytes) -> bytes:
+        if len(word) > 1 and word[-1:] in STOPS and word[-2:-1].isalpha():
+            return self[word[:-1]] + self[word[-1:]]
+        text = word.decode()
+        units = list(map(self.letters.get, text))
+        if None in units:
+            ids = self.coder.encode(text, add_special_tokens=False).ids
+        else:
+            ids = [token.id for token in self.model.tokenize("".join(units))]
+        return struct.pack(f"<{len(ids)}I", *ids)
+
+
 def token_pieces(
     docs: DataFrame,
     text: str = "text",
@@ -67,7 +111,8 @@ def token_pieces(
     """Pieces of all documents: id, ``start``, ``length``, ``doc_tokens``, ``ids``.
 
     ``ids`` are little-endian unsigned 32-bit token ids. The tokenizer drops
-    white space and merges within words only, so ids are found once per word;
+    white space, lower-cases, and merges within words only, so ids are found
+    once per word;
     strings that look like special tokens are ordinary text. NULL counts as
     empty: one piece with the end id. Each row is its own document, also where
     rows or ids repeat.
@@ -84,17 +129,13 @@ def token_pieces(
     def run(batches):
         coder = Tokenizer.from_file(public_tokenizers.path(tokenizer))
         coder.encode_special_tokens = True
-        memo = WordMemo(
-            lambda word: np.array(
-                coder.encode(word.decode(), add_special_tokens=False).ids, "<u4"
-            ).tobytes()
-        )
+        memo = WordIds(coder, MEMO_WORDS)
         end = np.array([end_id], "<u4").tobytes()
         for batch in batches:
             rows, size = ([], [], [], [], []), 0
             column = batch.column(doc_id)
             for i, content in enumerate(texts_of(batch.column(text))):
-                ids = b"".join(map(memo.__getitem__, content.split())) + end
+                ids = b"".join(map(memo.__getitem__, content.lower().split())) + end
                 total = len(ids) // 4
                 for start in range(0, total, most):
                     length = min(most, total - start)

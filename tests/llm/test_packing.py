@@ -6,9 +6,9 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
-from roundledger.llm.packing import TOKENIZER, first_fit, ids_of_word, pack, pack_documents
+from roundledger.llm.packing import TOKENIZER, WordIds, first_fit, pack, pack_documents
 from roundledger.llm.packing import token_pieces
-from roundledger.llm.shared import WordMemo, stored
+from roundledger.llm.shared import stored
 from tests.llm.tables import awkward, docs, empty
 
 CODER = Tokenizer.from_file(public_tokenizers.path(TOKENIZER))
@@ -41,7 +41,7 @@ def test_tournament_equals_plain_first_fit(lengths):
 @settings(max_examples=300)
 @given(st.text(alphabet=st.characters(codec="utf-8") | st.sampled_from(" .,!'stÉéÉß"), max_size=30))
 def test_words_give_the_ids_of_whole_texts(text):
-    memo = WordMemo(lambda word: ids_of_word(CODER, memo, word))
+    memo = WordIds(CODER, 1000)
     joined = b"".join(memo[w] for w in text.encode().lower().split())
     assert np.frombuffer(joined, "<u4").tolist() == whole_ids(text)[:-1]
 
