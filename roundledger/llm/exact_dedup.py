@@ -28,6 +28,7 @@ from pyspark.sql import types as T
 from roundledger.llm.shared import buffered, stored, texts_of
 
 BUFFER_BYTES = 16 * 2**20
+LEVEL = 6
 
 
 def local_groups(
@@ -50,7 +51,7 @@ def local_groups(
     )
 
     def run(batches):
-        compress = zstandard.ZstdCompressor(level=1).compress
+        compress = zstandard.ZstdCompressor(level=LEVEL).compress
         partition = TaskContext.get().partitionId()
         row, buffer = partition << 33, partition << 20
         for table in buffered(batches, text, buffer_bytes):
