@@ -178,20 +178,39 @@ def first_words(text, count):
     return F.array_join(F.slice(pieces, 1, count.cast("int")), "")
 
 
-def repeated(docs: DataFrame, **options) -> DataFrame:
+def repeated(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", **options) -> DataFrame:
     """The mix itself: rows of ``docs`` as often as taken, with the same columns.
 
     A row taken in part comes once more, cut after its last word taken, with
-    ``n_chars`` to match where there is such a column.
+    ``n_chars`` to match where there is such a column. What is taken is worked
+    out without the texts, which are then shuffled once. Rows equal in id and
+    text are taken together, with the other columns of one of them.
     """
-    mixed = mix_sources(docs, carry=tuple(docs.columns), **options)
-    left = F.col("taken") % F.greatest(F.col("size"), F.lit(1))
-    copies = F.when(F.col("size") > 0, F.floor(F.col("taken") / F.col("size"))).otherwise(0)
-    whole = mixed.select(
-        *docs.columns, F.explode(F.array_repeat(F.lit(0), copies.cast("int"))).alias("_copy")
-    ).drop("_copy")
-    cut = mixed.where(left > 0).withColumn("text", first_words(F.col("text"), left))
+    keyed = docs.withColumn("_key", text_key(doc_id, text))
+    mixed = mix_sources(keyed, text, doc_id, carry=("_key",), **options)
+    size = F.greatest(F.col("size"), F.lit(1))
+    left = F.col("taken") % size
+    # At most one row of a source is cut; NULL stands for a whole copy.
+    taken = (
+        mixed.where("taken > 0")
+        .groupBy("_key")
+        .agg(
+            F.sum(F.floor(F.col("taken") / size)).cast("int").alias("_whole"),
+            F.collect_list(F.when(left > 0, left)).alias("_cuts"),
+        )
+        .select(
+            "_key", F.concat(F.array_repeat(F.lit(None).cast("long"), F.col("_whole")), "_cuts")
+            .alias("_copies"),
+        )
+    )
+    copies = keyed.join(taken, "_key").dropDuplicates(["_key"]).withColumn(
+        "_cut", F.explode("_copies")
+    )
+    shown = F.when(F.col("_cut").isNull(), F.col(text)).otherwise(
+        first_words(F.col(text), F.coalesce("_cut", F.lit(0)))
+    )
+    changed = {text: shown}
     if "n_chars" in docs.columns:
-        kind = docs.schema["n_chars"].dataType
-        cut = cut.withColumn("n_chars", F.length("text").cast(kind))
-    return whole.unionByName(cut.select(*docs.columns))
+        length = F.length(shown).cast(docs.schema["n_chars"].dataType)
+        changed["n_chars"] = F.when(F.col("_cut").isNull(), F.col("n_chars")).otherwise(length)
+    return copies.withColumns(changed).select(*docs.columns)
