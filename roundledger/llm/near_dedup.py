@@ -50,7 +50,7 @@ LINK_PERCENT = 85
 # A pair is dropped unverified only this many standard errors below the threshold.
 ERRORS = 6.0
 # How often classes draw a partner before they are compared with all others.
-DRAWS = 2
+DRAWS = 1
 # Rows of a bucket in a block, and up to which size buckets share blocks.
 BLOCK_ROWS = 1024
 SMALL_BUCKET = 64
