@@ -25,6 +25,11 @@ SKIPPED = frozenset(
     "script style noscript template svg math iframe object select textarea button head canvas "
     "audio video datalist option".split()
 )
+# Their content is no markup; without an end tag it runs to the end of the page.
+RAW = frozenset("script style iframe textarea".split())
+# A start of the same kind, or for the head of any element of the body, ends these.
+UNNESTED = frozenset("noscript select button head option".split())
+IN_HEAD = frozenset("base link meta noscript script style template title".split())
 VOID = frozenset(
     "area base br col embed hr img input link meta param source track wbr".split()
 )
@@ -38,6 +43,12 @@ CLOSES = {"p": ("p",), "li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "o
 # An open paragraph ends where a block starts; others stay open across these.
 SCOPES = frozenset("article aside body div footer form header main nav section table ul ol".split())
 
+# Where the page goes on after an element that should have ended before.
+BLOCKS = SCOPES | frozenset(
+    "address blockquote center details dialog dl fieldset figure h1 h2 h3 h4 h5 h6 hr li menu p "
+    "pre search summary tbody td tfoot th thead tr".split()
+)
+
 BAD_TAGS = frozenset("nav footer aside form menu dialog fieldset".split())
 GOOD_TAGS = frozenset("article main".split())
 BAD_ROLES = frozenset(
@@ -110,6 +121,63 @@ def _marks(tag: str, attributes: str, parent: Element) -> tuple[bool, bool]:
     return parent.good or good, parent.bad or bad
 
 
+def _raw_end(page: str, tag: str, at: int) -> int:
+    close = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*>", re.I).search(page, at)
+    return close.end() if close else len(page)
+
+
+def _skipped_end(page: str, tag: str, at: int, around: set[str], closes: dict[str, int]) -> int:
+    """Where the text goes on after the start tag, ending at ``at``, of a skipped element.
+
+    After its own end tag. If that is missing (an element around it, another of
+    its kind or the page ends first), at the first block inside, and for want
+    of one at that place; at the end of the page nothing is skipped. A head
+    without end tag ends where the body starts. ``closes`` keeps the place of
+    the last end tag of a kind.
+    """
+    if tag in RAW:
+        return _raw_end(page, tag, at)
+    if tag not in closes:
+        closes[tag] = max((m.start() for m in re.finditer(rf"</{tag}(?=[\s/>])", page, re.I)), default=-1)
+    ended = closes[tag] >= at
+    block, depth, open_ = None, 1, {}
+    start = at
+    while (found := TOKEN.search(page, at)) is not None:
+        at = found.end()
+        end, name, attributes = found.group(1, 2, 3) if found.group(2) else found.group(4, 5, 6)
+        if not name:
+            continue
+        name = name.lower()
+        if end:
+            if name == tag:
+                depth -= 1
+                if not depth:
+                    return at
+            elif open_.get(name):
+                open_[name] -= 1
+            elif name in around and name not in INLINE:
+                return found.start() if block is None else block
+            continue
+        if tag == "head":
+            if name not in IN_HEAD:
+                return found.start()
+        elif name == tag and tag in UNNESTED:
+            return found.start() if block is None else block
+        elif block is None and name in BLOCKS:
+            block = found.start()
+            if not ended:
+                return block
+        if attributes.endswith("/") or name in VOID:
+            continue
+        if name in RAW:
+            at = _raw_end(page, name, at)
+        elif name == tag:
+            depth += 1
+        else:
+            open_[name] = open_.get(name, 0) + 1
+    return start if block is None else block
+
+
 def blocks_of(page: str) -> list[Block]:
     """The text blocks of a page in order; markup errors never lose text."""
     root = Element("", 0, False, False)
@@ -118,6 +186,7 @@ def blocks_of(page: str) -> list[Block]:
     runs: list[str] = []
     linked = total = 0
     anchors = numbers = 0
+    closes: dict[str, int] = {}
 
     def text(run: str) -> None:
         nonlocal linked, total
@@ -173,8 +242,7 @@ def blocks_of(page: str) -> list[Block]:
             if tag not in INLINE:
                 runs.append(" ")
             if not attributes.endswith("/"):
-                close = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*>", re.I).search(page, at)
-                at = close.end() if close else len(page)
+                at = _skipped_end(page, tag, at, {e.tag for e in stack}, closes)
             continue
         if tag not in INLINE:
             flush()

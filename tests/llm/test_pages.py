@@ -38,6 +38,32 @@ def test_broken_pages_do_not_fail(page):
     assert isinstance(main_text(page), str)
 
 
+LONG = "A paragraph that is long enough to be taken for the text of this page, whatever stands near it."
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        f"<html><head><title>T</title><meta charset=x><body><article><p>{LONG}</p></article></body></html>",
+        f"<head><script>a</script><title>T</title><article><p>{LONG}</p></article>",
+        f"<head><noscript><link></noscript><title>T</title></head><body><article><p>{LONG}</p></article>",
+        *(
+            page
+            for tag in ("button", "object", "canvas", "noscript", "svg", "select", "template", "video")
+            for page in (
+                f"<body><article><{tag}>Menu<p>{LONG}</p></article></body>",
+                f"<body><div><{tag}>Menu</div><article><p>{LONG}</p></article></body>",
+                f"<body><{tag}>Menu<article><p>{LONG}</p></article><{tag}>x</{tag}></body>",
+                f"<body><div><{tag}>Menu</div><article><p>{LONG}</p></article></{tag}></body>",
+                f"<body><article><p>{LONG}</p></article><{tag}><b>not</b><p>this</p></{tag}></body>",
+            )
+        ),
+    ],
+)
+def test_missing_end_tags_of_skipped_elements_lose_no_text(page):
+    assert main_text(page) == LONG
+
+
 @settings(max_examples=100)
 @given(st.text(alphabet="<>/pdiva \"'=!-&;x", max_size=60))
 def test_any_markup(page):
