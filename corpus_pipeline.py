@@ -15,6 +15,9 @@ from pyspark.sql import DataFrame, SparkSession
 from roundledger.llm import exact_dedup, mixing, near_dedup, packing, quality_classifier
 from roundledger.llm.shared import shared_folder
 
+# Near-duplicates share this much of their five-word shingles.
+NEAR_PERCENT = 80
+
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
@@ -29,8 +32,8 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates."""
-    return near_dedup.drop_near_copies(docs)
+    """One document of each group of near-duplicates, similar to 0.8 or more."""
+    return near_dedup.drop_near_copies(docs, link_percent=NEAR_PERCENT)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -82,6 +82,28 @@ def test_dedup_stages(outputs):
     assert {r.doc_id for r in outputs["near_dedup"].collect()} == roots | blank
 
 
+def test_near_stage_drops_copies_similar_to_four_fifths(spark, sf_dir):
+    """Two words changed of 100: 86 of 106 shingles shared at most, 0.81 and above; with three less."""
+    rng = random.Random(5)
+    rows, kept = [], set()
+    for i in range(60):
+        words = [f"w{rng.randrange(10**6)}" for _ in range(100)]
+        rows.append((4 * i, " ".join(words), "en", "a"))
+        for copy, places in ((1, (30, 60)), (2, (10, 36, 72))):
+            changed = list(words)
+            for place in places:
+                changed[place] = f"new{i}x{copy}x{place}"
+            rows.append((4 * i + copy, " ".join(changed), "en", "a"))
+        kept |= {4 * i, 4 * i + 2}
+    shingles = lambda text: {tuple(text.split()[j : j + 5]) for j in range(96)}
+    for first, near, far in zip(rows[::3], rows[1::3], rows[2::3]):
+        a, b, c = (shingles(r[1]) for r in (first, near, far))
+        assert 0.80 <= len(a & b) / len(a | b) < 0.85
+        assert max(len(x & c) / len(x | c) for x in (a, b)) < 0.80
+    got = corpus_pipeline.near(spark, docs(spark, rows), sf_dir).collect()
+    assert {r.doc_id for r in got} == kept
+
+
 def test_mix_meets_the_targets(outputs):
     size = lambda text: len(WORD.findall(text or ""))
     sizes, taken = Counter(), Counter()
