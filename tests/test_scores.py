@@ -80,7 +80,7 @@ def test_season_metrics(tables, scored):
 
 
 def test_one_year(tables):
-    assert scoring.score_predictions(tables, 2021, in_use_only=True).count() == 0
+    assert scoring.score_predictions(tables, 2021).count() == 0
     assert scoring.score_predictions(tables, 2020).count() == 8
 
 
