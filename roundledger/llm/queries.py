@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from roundledger.llm import (
+    embedding_dedup,
     exact_dedup,
     html_extract,
     lm_score,
@@ -17,6 +18,8 @@ from roundledger.llm import (
     passages,
     quality_classifier,
     quality_rules,
+    spelling,
+    structure_repair,
     url_filter,
 )
 from roundledger.llm.shared import stored
@@ -36,6 +39,14 @@ def labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/labels.parquet")
 
 
+def embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+
+
+def conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/conversations.parquet")
+
+
 def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(documents(spark, sf_dir))
 
@@ -78,6 +89,18 @@ def op10_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return passages.repeated_passages(documents(spark, sf_dir))
 
 
+def op11_structure_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return structure_repair.repair_damaged(conversations(spark, sf_dir))
+
+
+def op12_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.near_vectors(embeddings(spark, sf_dir))
+
+
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.group_spellings(documents(spark, sf_dir))
+
+
 QUERIES: dict[str, Query] = {
     query.__name__: query
     for query in (
@@ -91,6 +114,9 @@ QUERIES: dict[str, Query] = {
         op8_url_filter,
         op9_packing,
         op10_repeated_passages,
+        op11_structure_repair,
+        op12_embedding_near_dedup,
+        op13_spelling_variants,
     )
 }
 

@@ -24,6 +24,9 @@ COLUMNS = {
     "op8_url_filter": "page_id host path rule verdict",
     "op9_packing": "doc_id start length ids_crc32 doc_tokens sequence_id offset",
     "op10_repeated_passages": "doc_id start_word end_word source_id identity",
+    "op11_structure_repair": "conv_id gaps blank duplicate truncated illegal cost audit repaired_sha256",
+    "op12_embedding_near_dedup": "vec_id n_links component_id kept",
+    "op13_spelling_variants": "word form root n n_near form_n",
 }
 
 
