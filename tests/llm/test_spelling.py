@@ -3,6 +3,7 @@ import re
 import zlib
 from collections import Counter
 
+import numpy as np
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -82,6 +83,8 @@ def test_equals_all_pairs(spark):
 def test_blocks_change_nothing(spark, monkeypatch):
     rows = noisy_rows(4, 60)
     monkeypatch.setattr(spelling, "BLOCK", 2)
+    monkeypatch.setattr(spelling, "SEEKERS", 3)
+    monkeypatch.setattr(spelling, "WIDTH", 6)
     table = docs(spark, [(i, t, None, None) for i, t in rows])
     assert found(spelling.group_spellings(table)) == plain(rows)
 
@@ -97,16 +100,37 @@ WORDS = st.text("abcé", max_size=7)
 
 @settings(max_examples=400)
 @given(WORDS, WORDS)
-def test_one_edit_and_the_trie_agree_with_the_distance(a, b):
-    apart = plain_distance(a, b)
-    assert spelling.one_edit(a, b) == (apart == 1)
-    if a and apart <= 1:
-        # A trie never loses a near word, from any level on.
-        own, there = spelling.counts_of(b), spelling.counts_of(a)
-        for first in (0, 3):
-            left = spelling._spent(own[:first], there[:first])
-            assert there[:first] in {own[:first], *spelling.reachable(own[:first])}
-            assert list(spelling.Trie([a], first).near(own, *left)) == [0]
+def test_one_edit_agrees_with_the_distance(a, b):
+    near = plain_distance(a, b) == 1
+    assert spelling.one_edit(a, b) == near
+    short, long = sorted((a, b), key=len)
+    if len(long) - len(short) <= 1:
+        rows = [spelling.matrix_of([word], 9) for word in (short, long)]
+        assert spelling.one_edit_rows(*rows).tolist() == [near]
+
+
+@settings(max_examples=300)
+@given(st.lists(WORDS.filter(bool), min_size=1, max_size=25, unique=True))
+def test_the_trie_finds_each_near_pair_from_one_side(words):
+    wanted = {frozenset((a, b)) for a in words for b in words if plain_distance(a, b) == 1}
+    counts = spelling.counts_of(words)
+    trie = spelling.Trie(counts, spelling.PREFIX)
+    found = []
+    for i, word in enumerate(words):
+        own = tuple(counts[i, : spelling.PREFIX].tolist())
+        for place, spent in spelling.reachable(own):
+            for _, reached in trie.candidates(counts[i : i + 1], np.array([spent])):
+                found += [
+                    (word, words[j]) for j in reached
+                    if tuple(counts[j, : spelling.PREFIX].tolist()) == place
+                    and spelling.one_edit(word, words[j])
+                ]
+    pairs = {frozenset(pair) for pair in found}
+    assert pairs == wanted
+    # Only pairs with equal counts are met from both sides.
+    for a, b in found:
+        same = (counts[words.index(a)] == counts[words.index(b)]).all()
+        assert ((b, a) in found) == same
 
 
 def test_words_of_texts():
