@@ -338,7 +338,9 @@ def near_words(words: DataFrame) -> DataFrame:
         "key", "part", "member", "spent", "word", "n",
         F.explode(F.when(F.col("member"), spread("turns")).otherwise(chosen("turns"))).alias("turn"),
     )
-    found = blocks.groupBy("key", "part", "turn").applyInArrow(
+    # One name for a block: the three columns would stay where the join by key left them.
+    named = blocks.withColumn("block", F.concat_ws("/", "key", "part", "turn"))
+    found = named.groupBy("block").applyInArrow(
         _search, "word string, n_near long, most long, first string"
     )
     # Of the most frequent ones the first in code-point order.
