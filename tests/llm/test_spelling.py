@@ -98,7 +98,7 @@ def test_one_word_in_a_third_of_all_rows(spark):
 WORDS = st.text("abcé", max_size=7)
 
 
-@settings(max_examples=400)
+@settings(max_examples=400, deadline=None)
 @given(WORDS, WORDS)
 def test_one_edit_agrees_with_the_distance(a, b):
     near = plain_distance(a, b) == 1
@@ -109,7 +109,7 @@ def test_one_edit_agrees_with_the_distance(a, b):
         assert spelling.one_edit_rows(*rows).tolist() == [near]
 
 
-@settings(max_examples=300)
+@settings(max_examples=300, deadline=None)
 @given(st.lists(WORDS.filter(bool), min_size=1, max_size=25, unique=True))
 def test_the_trie_finds_each_near_pair_from_one_side(words):
     wanted = {frozenset((a, b)) for a in words for b in words if plain_distance(a, b) == 1}
