@@ -6,7 +6,7 @@ import sys
 from collections.abc import Callable
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -33,14 +33,16 @@ from roundledger.operators import (  # noqa: E402
     reports,
     scoring,
     selection,
+    totals,
 )
-from roundledger.operators.keys import append_keys  # noqa: E402
+from roundledger.operators.keys import append_keys, dense_keys, numbered_by_task  # noqa: E402
 from roundledger.plans import dashboard, jobs  # noqa: E402
 from roundledger.schemas import SCHEMAS, TABLE_NAMES, Tables  # noqa: E402
 from roundledger.session import configure, working_folder  # noqa: E402
 from roundledger.sources.evolve import evolve_table, old_name  # noqa: E402
 from roundledger.sources.sample import sample_tables  # noqa: E402
-from roundledger.sources import store  # noqa: E402
+from roundledger.sources import league, store  # noqa: E402
+from roundledger.sources.fingerprint import table_fingerprint  # noqa: E402
 from roundledger.sources.store import prepare_rows  # noqa: E402
 from roundledger.sources.tables import database_tables, load_tables  # noqa: E402
 
@@ -334,6 +336,21 @@ def _fact_keys(t: Tables) -> DataFrame:
     )
 
 
+def _dense_fact_keys(t: Tables) -> DataFrame:
+    """Bounds and number of the keys that follow the last match's without a gap."""
+    spark = t.match.sparkSession
+    path = working_folder(spark, "numbered")
+    numbered = numbered_by_task(t.prediction.select("matchId", "mlModelId"))
+    numbered.write.parquet(path)
+    keyed = dense_keys(spark.read.schema(numbered.schema).parquet(path), t.match)
+    return keyed.agg(
+        F.count("*").alias("rows"),
+        F.count_distinct("id").alias("keys"),
+        F.min("id").alias("firstKey"),
+        F.max("id").alias("lastKey"),
+    )
+
+
 def _season_starts(t: Tables) -> DataFrame:
     year = F.col("year")
     return (
@@ -363,13 +380,13 @@ def _recomputed_orphans(t: Tables) -> DataFrame:
 
 
 def _metric_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Names that are a metric and names that are not, for each nation."""
+    """Names that are a metric and names that are not, for each order."""
     names = [F.lit(n) for n in ("accuracy", "Accuracy", "bits", "totalTips", "mae ", "")]
-    nation = _nations(spark, sf_dir)
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
     name = F.col("name")
-    return nation.select(
-        "n_nationkey", F.explode(F.array(*names, F.lower("n_name"))).alias("name")
-    ).select("n_nationkey", "name", is_metric(name).alias("isMetric"))
+    return orders.select(
+        "o_orderkey", F.explode(F.array(*names, F.lower("o_orderpriority"))).alias("name")
+    ).select("o_orderkey", "name", is_metric(name).alias("isMetric"))
 
 
 def _parameter_rows(t: Tables) -> DataFrame:
@@ -397,9 +414,9 @@ def _json_series(t: Tables) -> DataFrame:
     return lines.select("r.*")
 
 
-def _table_rows(tables: Tables) -> DataFrame:
+def _fingerprints(tables: Tables) -> DataFrame:
     parts = [
-        df.agg(F.count("*").alias("rows")).select(F.lit(TABLE_NAMES[table]).alias("tableName"), "rows")
+        table_fingerprint(df, table).select(F.lit(TABLE_NAMES[table]).alias("tableName"), "rows", "checksum")
         for table, df in tables.items()
     ]
     result = parts[0]
@@ -409,43 +426,54 @@ def _table_rows(tables: Tables) -> DataFrame:
 
 
 def _stored_rows(t: Tables) -> DataFrame:
-    """Rows per table after all were written to files and read back."""
+    """Every table's fingerprint after all were written to files and read back."""
     spark = t.match.sparkSession
     root = working_folder(spark, "stored")
     store.save_tables(t, root)
-    return _table_rows(load_tables(spark, root))
+    return _fingerprints(load_tables(spark, root))
 
 
 def _database_rows(t: Tables) -> DataFrame:
-    """Rows per table of a database reloaded from files."""
+    """Every table's fingerprint in a database reloaded from files."""
     spark = t.match.sparkSession
     root = working_folder(spark, "database")
     database = root.rsplit("/", 1)[-1].replace("-", "_")
-    store.save_tables(t, root)
+    # The derived matches repeat some (start, venue), which a database refuses.
+    first = F.min("id").over(Window.partitionBy("startDateTime", "venue"))
+    kept = t.match.withColumn("first", F.when(F.col("venue").isNotNull(), first)).filter(
+        "first IS NULL OR first = id"
+    ).drop("first")
+    matched = {
+        table: t[table].join(kept.select(F.col("id").alias("matchId")), "matchId", "left_semi")
+        for table in ("prediction", "team_match")
+    }
+    store.save_tables(t.swap(match=kept, **matched), root)
     store.load_database(spark, root, database, f"{root}/tables")
-    return _table_rows(database_tables(spark, database))
+    return _fingerprints(database_tables(spark, database))
 
 
-def _refreshed_scores(t: Tables) -> DataFrame:
-    """Stored scores by year after some predictions came in and some results late."""
+def _changing_league(t: Tables) -> str:
+    """The folder of a league in which some predictions came in and some results late."""
     spark = t.match.sparkSession
-    root = working_folder(spark, "refreshed")
+    root = working_folder(spark, "league")
     late = F.col("id") % 7 == 0
     unplayed = t.match.withColumns(
         {c: F.when(~late, F.col(c)) for c in ("margin", "winnerId")}
     )
-    early = t.prediction.filter("matchId % 5 <> 0").withColumn(
+    unknown = t.prediction.withColumn(
         "isCorrect", F.when(F.col("matchId") % 7 != 0, F.col("isCorrect"))
     )
-    store.save_tables(t.swap(match=unplayed, prediction=early), root)
-    store.save_scored(scoring.score_predictions(load_tables(spark, root)), f"{root}/Scored")
-    new = t.prediction.filter("matchId % 5 = 0").withColumn(
-        "isCorrect", F.when(F.col("matchId") % 7 != 0, F.col("isCorrect"))
-    ).drop("id")
-    jobs.append_predictions(spark, new, root)
+    early = unknown.filter("matchId % 5 <> 0")
+    jobs.start_league(t.swap(match=unplayed, prediction=early), root, check_unique=False)
+    jobs.append_predictions(spark, unknown.filter("matchId % 5 = 0").drop("id"), root)
     played = t.match.filter(late & F.col("margin").isNotNull())
     jobs.late_results(spark, played.select("id", "margin", "winnerId"), root)
-    return store.load_scored(spark, f"{root}/Scored").groupBy("year").agg(
+    return root
+
+
+def _refreshed_scores(t: Tables) -> DataFrame:
+    """Stored scores by year after new predictions and late results."""
+    return league.read_result(t.match.sparkSession, _changing_league(t), "scored").groupBy("year").agg(
         F.count("*").alias("predictions"),
         F.sum("tip").alias("totalTips"),
         F.sum("absError").alias("absError"),
@@ -453,6 +481,58 @@ def _refreshed_scores(t: Tables) -> DataFrame:
     )
 
 
+def _merged_totals(t: Tables) -> DataFrame:
+    """Kept totals and running totals, merged with new predictions and late results."""
+    spark = t.match.sparkSession
+    root = _changing_league(t)
+    keys = ["year", "roundNumber", "mlModelId"]
+    kept = totals.as_round_totals(league.read_result(spark, root, "totals"))
+    running = totals.as_round_totals(league.read_result(spark, root, "running"))
+    sums = ("sumTip", "sumAbsError", "sumBits")
+    to_date = running.select(*keys, *(F.col(c).alias(f"{c}ToDate") for c in sums))
+    return kept.join(to_date, keys).select(
+        *keys, *sums, "nTip", "nAbsError", "nBits", *(f"{c}ToDate" for c in sums)
+    )
+
+
+def _season_documents(t: Tables) -> DataFrame:
+    """Every season's document, taken apart again for comparison."""
+    rounds = metrics.round_totals(scoring.score_predictions(t))
+    part = lambda path: F.get_json_object("document", f"$.{path}")
+    return dashboard.season_documents(rounds, t.season, t.ml_model_season).select(
+        "year",
+        part("roundNumbers").alias("roundNumbers"),
+        part("metrics.totalTips").cast("bigint").alias("totalTips"),
+        part("currentSeasonYear").cast("int").alias("currentSeasonYear"),
+        part("seasonYears").alias("seasonYears"),
+        *(part(f"metrics.{m}").cast("double").alias(m) for m in ("accuracy", "mae", "bits")),
+    )
+
+
+def _stored_delete(t: Tables) -> DataFrame:
+    """A league's scores and team rows by year once the drawn matches are deleted and teams renumbered."""
+    spark = t.match.sparkSession
+    root = working_folder(spark, "deleted")
+    jobs.start_league(t, root, check_unique=False)
+    jobs.delete_from_league(spark, root, "match", t.match.filter("margin = 0"))
+    moved = t.team.filter("id % 2 = 0").select(
+        F.col("id").alias("oldId"), (F.col("id") + 100).alias("newId")
+    )
+    jobs.remap_in_league(spark, root, "team", moved)
+    after = league.read_tables(spark, root)
+    sides = after.team_match.groupBy("seasonId").agg(
+        F.count("*").alias("teamRows"), F.sum("teamId").alias("teamIds")
+    )
+    years = after.season.select(F.col("id").alias("seasonId"), "year").join(sides, "seasonId")
+    scores = league.read_result(spark, root, "scored").groupBy("year").agg(
+        F.count("*").alias("predictions"),
+        F.sum("predictedWinnerId").alias("winners"),
+        F.sum("absError").alias("absError"),
+        F.sum("bits").alias("bits"),
+    )
+    return years.join(scores, "year").drop("seasonId")
+
+
 def _integer_prefixes(spark: SparkSession, sf_dir: str) -> DataFrame:
     configure(spark)
     return spark.read.parquet(f"{sf_dir}/orders.parquet").select(
@@ -536,6 +616,7 @@ _QUERIES: dict[str, Query] = {
     "evolve_prediction": _on_tables(_evolve_prediction),
     "insert_defaults": _on_tables(_insert_defaults),
     "fact_keys": _on_tables(_fact_keys),
+    "dense_fact_keys": _on_tables(_dense_fact_keys),
     "season_starts": _on_tables(_season_starts),
     "matches_of_year": _on_tables(
         lambda t: t.match.filter(within_year(F.col("startDateTime"), 1999)).select("id")
@@ -549,5 +630,8 @@ _QUERIES: dict[str, Query] = {
     "stored_rows": _on_tables(_stored_rows),
     "database_rows": _on_tables(_database_rows),
     "refreshed_scores": _on_tables(_refreshed_scores),
+    "merged_totals": _on_tables(_merged_totals),
+    "season_documents": _on_tables(_season_documents),
+    "stored_delete": _on_tables(_stored_delete),
     "dashboard_document": _on_tables(_dashboard_document),
 }

@@ -274,13 +274,54 @@ _PRIMARY_SQL = "\nUNION ALL ".join(
 _CURRENT = """,
 latest AS (SELECT max(year) AS year FROM season)"""
 
-_TABLE_ROWS = "\n" + "\nUNION ALL ".join(
-    f"SELECT '{label}' AS tableName, count(*) AS rows FROM {table}"
-    for table, label in (
-        ("match", "Match"), ("prediction", "Prediction"), ("team_match", "TeamMatch"),
-        ("season", "Season"), ("team", "Team"), ("ml_model", "MlModel"),
-        ("ml_model_season", "MlModelSeason"),
-    )
+# How a value is written for a fingerprint, by kind.
+_CANONICAL = {
+    "plain": "CAST({0} AS VARCHAR)",
+    "double": "CAST(CAST(round({0} * 1000000) AS DECIMAL(38, 0)) AS VARCHAR)",
+    "time": "CAST(epoch_us(CAST({0} AS TIMESTAMP)) AS VARCHAR)",
+    "text": "concat(strlen({0}), ':', {0})",
+}
+_FINGERPRINTED = {
+    "match": ("Match", "id startDateTime:time roundNumber venue:text margin winnerId seasonId"),
+    "prediction": (
+        "Prediction",
+        "id predictedMargin:double matchId mlModelId predictedWinnerId isCorrect "
+        "predictedWinProbability:double createdAt:time updatedAt:time",
+    ),
+    "team_match": ("TeamMatch", "id atHome score matchId teamId"),
+    "season": ("Season", "id year"),
+    "team": ("Team", "id name:text"),
+    "ml_model": ("MlModel", "id name:text NULL false predictionType:text false"),
+    "ml_model_season": ("MlModelSeason", "id isPrincipal isUsedInCompetitions seasonId mlModelId"),
+}
+
+
+def _fingerprint(table: str, source: str) -> str:
+    label, columns = _FINGERPRINTED[table]
+    texts = []
+    for column in columns.split():
+        name, _, kind = column.partition(":")
+        value = _CANONICAL[kind or "plain"].format(name)
+        texts.append(f"CASE WHEN {name} IS NULL THEN '-null-' ELSE {value} END")
+    text = f"concat_ws('|', {', '.join(texts)})"
+    return f"""SELECT '{label}' AS tableName, count(*) AS rows,
+  CAST(coalesce(sum(CAST('0x' || substr(md5({text}), 1, 16) AS UBIGINT)), 0) AS VARCHAR) AS checksum
+FROM {source}"""
+
+
+_FINGERPRINTS = "\n" + "\nUNION ALL ".join(_fingerprint(t, t) for t in _FINGERPRINTED)
+# A database holds one match per start and venue, and what belongs to those.
+_KEPT = """,
+kept_match AS (
+  SELECT * FROM match
+  QUALIFY venue IS NULL OR id = min(id) OVER (PARTITION BY startDateTime, venue)
+),
+kept_prediction AS (SELECT * FROM prediction WHERE matchId IN (SELECT id FROM kept_match)),
+kept_team_match AS (SELECT * FROM team_match WHERE matchId IN (SELECT id FROM kept_match))
+"""
+_KEPT_FINGERPRINTS = "\nUNION ALL ".join(
+    _fingerprint(t, f"kept_{t}" if t in ("match", "prediction", "team_match") else t)
+    for t in _FINGERPRINTED
 )
 
 ORACLES: dict[str, str] = {
@@ -529,9 +570,9 @@ SELECT p.id, CASE WHEN m.margin IS NULL THEN NULL WHEN m.winnerId IS NULL THEN t
                   ELSE m.winnerId = p.predictedWinnerId END AS isCorrect
 FROM prediction p LEFT JOIN match m ON m.id = p.matchId AND m.venue IS NOT NULL""",
     "metric_flags": """
-SELECT n_nationkey, name, name IN ('totalTips', 'accuracy', 'mae', 'bits') AS isMetric
-FROM (SELECT n_nationkey, unnest(['accuracy', 'Accuracy', 'bits', 'totalTips', 'mae ', '',
-                                  lower(n_name)]) AS name FROM nation) n""",
+SELECT o_orderkey, name, name IN ('totalTips', 'accuracy', 'mae', 'bits') AS isMetric
+FROM (SELECT o_orderkey, unnest(['accuracy', 'Accuracy', 'bits', 'totalTips', 'mae ', '',
+                                 lower(o_orderpriority)]) AS name FROM orders) o""",
     "parameter_rows": MAPPING + COMBINED + """,
 shown AS (SELECT count(*) AS tips FROM round_predictions WHERE year = 1999 AND roundNumber = 5)
 SELECT r.request, CASE WHEN r.request < 2 THEN shown.tips ELSE 0 END AS tips
@@ -542,8 +583,57 @@ SELECT roundNumber,
         f"round(max(bits) FILTER (WHERE name = 'model_{n}'), 6) AS model_{n}" for n in range(1, 8)
     ) + """
 FROM round_scores WHERE year = 1999 GROUP BY roundNumber""",
-    "stored_rows": MAPPING + _TABLE_ROWS,
-    "database_rows": MAPPING + _TABLE_ROWS,
+    "stored_rows": MAPPING + _FINGERPRINTS,
+    "database_rows": MAPPING + _KEPT + _KEPT_FINGERPRINTS,
+    "dense_fact_keys": MAPPING + """
+SELECT count(*) AS rows, count(*) AS keys, (SELECT max(id) FROM match) + 1 AS firstKey,
+  (SELECT max(id) FROM match) + count(*) AS lastKey
+FROM prediction""",
+    "merged_totals": MAPPING + SCORED + """,
+cells AS (
+  SELECT year, roundNumber, mlModelId, CAST(sum(tip) AS BIGINT) AS sumTip,
+    sum(absError) AS sumAbsError, sum(bits) AS sumBits,
+    count(tip) AS nTip, count(absError) AS nAbsError, count(bits) AS nBits
+  FROM scored GROUP BY ALL
+)
+SELECT year, roundNumber, mlModelId, sumTip, round(sumAbsError, 6) AS sumAbsError,
+  round(sumBits, 6) AS sumBits, nTip, nAbsError, nBits,
+  CAST(sum(sumTip) OVER to_date AS BIGINT) AS sumTipToDate,
+  round(sum(sumAbsError) OVER to_date, 6) AS sumAbsErrorToDate,
+  round(sum(sumBits) OVER to_date, 6) AS sumBitsToDate
+FROM cells
+WINDOW to_date AS (PARTITION BY year, mlModelId ORDER BY roundNumber
+                   ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)""",
+    "season_documents": MAPPING + SCORED + SEASON_METRICS + """,
+rounds AS (
+  SELECT year, concat('[', string_agg(CAST(roundNumber AS VARCHAR), ',' ORDER BY roundNumber), ']')
+    AS roundNumbers
+  FROM (SELECT DISTINCT year, roundNumber FROM scored) r GROUP BY year
+)
+SELECT s.year, coalesce(r.roundNumbers, '[]') AS roundNumbers, m.totalTips,
+  s.year AS currentSeasonYear,
+  (SELECT concat('[', string_agg(CAST(year AS VARCHAR), ',' ORDER BY year), ']') FROM season)
+    AS seasonYears,
+  round(m.accuracy, 6) AS accuracy, round(m.mae, 6) AS mae, round(m.bits, 6) AS bits
+FROM season s LEFT JOIN rounds r ON r.year = s.year LEFT JOIN season_metrics m ON m.year = s.year""",
+    "stored_delete": MAPPING + SCORED + """,
+gone AS (SELECT id FROM match WHERE margin = 0),
+sides AS (
+  SELECT m.seasonId, count(*) AS teamRows,
+    CAST(sum(t.teamId + CASE WHEN t.teamId % 2 = 0 THEN 100 ELSE 0 END) AS BIGINT) AS teamIds
+  FROM team_match t JOIN match m ON m.id = t.matchId
+  WHERE t.matchId NOT IN (SELECT id FROM gone) GROUP BY m.seasonId
+),
+scores AS (
+  SELECT s.year, s.seasonId, count(*) AS predictions,
+    CAST(sum(p.predictedWinnerId + CASE WHEN p.predictedWinnerId % 2 = 0 THEN 100 ELSE 0 END)
+         AS BIGINT) AS winners,
+    round(sum(s.absError), 6) AS absError, round(sum(s.bits), 6) AS bits
+  FROM scored s JOIN prediction p ON p.matchId = s.matchId AND p.mlModelId = s.mlModelId
+  WHERE s.matchId NOT IN (SELECT id FROM gone) GROUP BY s.year, s.seasonId
+)
+SELECT c.year, teamRows, teamIds, predictions, winners, absError, bits
+FROM scores c JOIN sides d ON d.seasonId = c.seasonId""",
     "refreshed_scores": MAPPING + SCORED + """
 SELECT year, count(*) AS predictions, CAST(sum(tip) AS BIGINT) AS totalTips,
   round(sum(absError), 6) AS absError, round(sum(bits), 6) AS bits

@@ -62,6 +62,11 @@ def restricting_references(tables: Tables, parent: str, deleted: DataFrame) -> D
 def delete_rows(tables: Tables, parent: str, deleted: DataFrame) -> Tables:
     """Delete rows by all three rules; fails while a required reference holds one."""
     require_empty(restricting_references(tables, parent, deleted), f"{parent} still in use")
+    return delete_unrestricted(tables, parent, deleted)
+
+
+def delete_unrestricted(tables: Tables, parent: str, deleted: DataFrame) -> Tables:
+    """Delete rows nothing requires: what belongs to them goes, other references are emptied."""
     return _delete(tables, parent, deleted, ("cascade", "set null"))
 
 

@@ -78,6 +78,30 @@ def season_summary(totals: DataFrame, ml_model_season: DataFrame) -> DataFrame:
     )
 
 
+def season_summaries(totals: DataFrame, season: DataFrame, ml_model_season: DataFrame) -> DataFrame:
+    """(year, roundNumbers, metrics) of every season, from one pass over ``round_totals``.
+
+    A season without predictions has an empty list and NULL metrics.
+    """
+    by_season = (
+        totals.join(model_roles(ml_model_season), ["seasonId", "mlModelId"], "left")
+        .groupBy("seasonId")
+        .agg(
+            F.sort_array(F.collect_set("roundNumber")).alias("roundNumbers"),
+            *_metrics_from(_total_in_use),
+        )
+    )
+    return (
+        season.select(F.col("id").alias("seasonId"), "year")
+        .join(by_season, "seasonId", "left")
+        .select(
+            "year",
+            F.coalesce("roundNumbers", F.array().cast("array<int>")).alias("roundNumbers"),
+            F.struct(*METRICS).alias("metrics"),
+        )
+    )
+
+
 def round_scores(totals: DataFrame, ml_model: DataFrame, cumulative: bool = True) -> DataFrame:
     """(year, roundNumber, name, totalTips, accuracy, mae, bits) per round and model.
 

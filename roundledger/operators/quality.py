@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Collection, Iterable, Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from roundledger.schemas import (
     REFERENCES,
+    SCHEMAS,
     TABLE_NAMES,
     UNIQUE_KEYS,
     Reference,
@@ -192,6 +193,56 @@ def require_sound(tables: Tables) -> None:
     require_empty(negative_margins(tables.match), "margins")
 
 
+def row_rules(table: str) -> dict[str, Column]:
+    """What no row of a table may break, as aggregates that count the rows that do."""
+    required = required_columns(table) if table in SCHEMAS else ()
+    rules = {f"{c} is required": F.col(c).isNull() for c in required}
+    if table == "match":
+        rules["margin is negative"] = F.col("margin") < 0
+    return {rule: F.count(F.when(broken, 1)).alias(rule) for rule, broken in rules.items()}
+
+
+def watched(df: DataFrame, table: str) -> tuple[DataFrame, Observation]:
+    """``df`` that counts its rows, and those that break a rule, as it is written.
+
+    No further pass is needed: the counts come with the write's own tasks.
+    """
+    observation = Observation()
+    rows = F.count("*").alias("rows")
+    return df.observe(observation, rows, *row_rules(table).values()), observation
+
+
+def require_watched(observation: Observation, table: str) -> int:
+    """The number of rows that were written; fails where one broke a rule."""
+    counts = dict(observation.get)
+    rows = counts.pop("rows")
+    for rule, broken in counts.items():
+        if broken:
+            raise ValueError(f"{TABLE_NAMES[table]}: {rule} ({broken} rows)")
+    return rows
+
+
+def require_unique(tables: Tables, changed: Iterable[str], natural: bool = True) -> None:
+    """Fail unless the keys of some tables are unique: a keyed aggregate for each.
+
+    Without ``natural`` only their ``id`` is looked at.
+    """
+    for table in changed:
+        for keys in (("id",), UNIQUE_KEYS.get(table) if natural else None):
+            if keys:
+                repeated = repeated_keys(tables[table], *keys)
+                require_empty(repeated, f"{TABLE_NAMES[table]} repeats {', '.join(keys)}")
+
+
+def require_references(tables: Tables, changed: Collection[str]) -> None:
+    """Fail unless references to and from some tables resolve: an aggregate for each parent."""
+    parents = dict.fromkeys(
+        r.parent for r in REFERENCES if r.parent in changed or r.child in changed
+    )
+    for parent in parents:
+        require_empty(_orphans_of(tables, parent), "references without a row")
+
+
 def require_rows_fit(rows: DataFrame, table: str, tables: Tables) -> None:
     """Fail unless new ``rows`` of a table have the parents and keys they need.
 

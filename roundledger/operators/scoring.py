@@ -31,12 +31,18 @@ def score_predictions(tables: Tables, year: int | None = None) -> DataFrame:
 
     This holds the only join between the two large tables. Every metric and
     report is an aggregate of this result, so it pays to store it
-    (``save_scored``) when several are needed.
+    (``save_scored``) when several are needed. Predictions stored by season
+    (``sources.league``) are read from the folders of the seasons wanted only.
     """
     matches = matches_of_seasons(tables.match, tables.season, year).select(
         "matchId", "year", "seasonId", "roundNumber", "margin", "winnerId"
     )
-    return tables.prediction.join(matches, "matchId").select(
+    prediction, keys = tables.prediction, ["matchId"]
+    if "seasonId" in prediction.columns:
+        wanted = tables.season if year is None else tables.season.filter(F.col("year") == year)
+        seasons = wanted.select(F.col("id").alias("seasonId"))
+        prediction, keys = prediction.join(seasons, "seasonId", "left_semi"), ["matchId", "seasonId"]
+    return prediction.join(matches, keys).select(
         "year",
         "seasonId",
         "roundNumber",

@@ -13,6 +13,7 @@ from roundledger.operators.metrics import (
     pivot_models,
     round_metrics,
     round_totals,
+    season_summaries,
     season_summary,
 )
 from roundledger.operators.predictions import round_predictions
@@ -52,6 +53,33 @@ def dashboard_document(
     return summary.select(F.to_json(document, {"ignoreNullFields": "false"}).alias("document"))
 
 
+def season_documents(
+    totals: DataFrame,
+    season: DataFrame,
+    ml_model_season: DataFrame,
+    all_seasons: DataFrame | None = None,
+) -> DataFrame:
+    """(year, document): the ``dashboard_document`` of every row of ``season``.
+
+    ``totals`` are ``round_totals``; one aggregate of them gives all documents.
+    ``all_seasons`` is what the documents list, ``season`` if not given.
+    """
+    listed = season if all_seasons is None else all_seasons
+    years = listed.agg(F.sort_array(F.collect_set("year")).alias("seasonYears"))
+    metrics = F.struct(
+        *(finite(F.col(f"metrics.{metric}")).alias(metric) for metric in METRICS)
+    )
+    document = F.struct(
+        "roundNumbers",
+        metrics.alias("metrics"),
+        F.col("year").alias("currentSeasonYear"),
+        years.scalar().alias("seasonYears"),
+    )
+    return season_summaries(totals, season, ml_model_season).select(
+        "year", F.to_json(document, {"ignoreNullFields": "false"}).alias("document")
+    )
+
+
 def metric_series(
     tables: Tables,
     season_text: str | None,

@@ -1,32 +1,39 @@
-"""Whole jobs on stored tables: backfill, new predictions, late results.
+"""Whole jobs: backfill, new predictions, late results, deletes and key changes.
 
-Each leaves the stored scores equal to a full rescore, touches only the
-seasons concerned, and changes nothing when run again.
+Those on a league (``sources.league``) leave its stored scores, round totals
+and documents equal to what a full recomputation gives, read and write only the
+seasons concerned, become visible as a whole, and change nothing when run again.
 """
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from roundledger.functions.scores import recomputed_correctness
+from roundledger.operators import integrity
 from roundledger.operators.backfill import add_seasons, backfill_from, predicted_years
-from roundledger.operators.keys import append_keys
-from roundledger.operators.quality import negative_margins, require_empty, require_sound
+from roundledger.operators.keys import dense_keys, numbered_by_task
+from roundledger.operators.quality import (
+    negative_margins,
+    require_empty,
+    require_rows_fit,
+    require_sound,
+)
 from roundledger.operators.scoring import score_predictions
-from roundledger.schemas import SCHEMAS, TABLE_NAMES, Tables
-from roundledger.sources.store import (
-    LAYOUTS,
-    Layout,
-    append_rows,
-    prepare_rows,
-    publish,
-    save_parquet,
-    save_scored,
+from roundledger.operators.totals import (
+    as_round_totals,
+    merge_totals,
+    mergeable_totals,
+    refresh_running,
+    running_totals,
+    taken_off,
 )
-from roundledger.sources.tables import database_tables, load_tables
+from roundledger.plans.dashboard import season_documents
+from roundledger.schemas import REFERENCES, SCHEMAS, TABLE_NAMES, Tables
+from roundledger.sources.league import BY_MATCH, PART, Change, in_parts, parts_of
+from roundledger.sources.store import prepare_rows, publish, save_parquet
+from roundledger.sources.tables import database_tables
 
 
 def backfill_job(
@@ -44,88 +51,232 @@ def backfill_job(
     publish(spark, database, filled._asdict(), root, run)
 
 
-def _staged(df: DataFrame, root: str, label: str) -> DataFrame:
-    """``df`` written beside the tables, so that it is computed once, and read back."""
-    path = f"{root}/_staging/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+def start_league(tables: Tables, root: str, check_unique: bool = True) -> None:
+    """Store all tables and their results as the first version of a league.
+
+    ``check_unique`` can be left out for tables whose natural keys repeat.
+    """
+    change = Change(tables.match.sparkSession, root, first=True)
+    for table in ("season", "team", "ml_model", "ml_model_season", "match", "prediction", "team_match"):
+        change.write(table, tables[table])
+    change.write("scored", score_predictions(change.tables()))
+    totals = mergeable_totals(change.read("scored"))
+    change.write("totals", totals)
+    change.write("running", running_totals(change.read("totals")))
+    _write_documents(change, None)
+    change.commit(unique=SCHEMAS if check_unique else (), references=SCHEMAS)
+
+
+def _years_of(change: Change, seasons: list[int | None]) -> list[int]:
+    """Years of seasons; matches without a season have no scores."""
+    season = change.read("season").filter(F.col("id").isin([s for s in seasons if s is not None]))
+    return sorted({row.year for row in season.select("year").collect()})
+
+
+def _write_documents(change: Change, years: list[int] | None) -> None:
+    """Documents of some years, or of all: they are one aggregate of the totals."""
+    tables, totals = change.tables(), change.read("totals")
+    season = tables.season
+    if years is not None:
+        totals = totals.filter(in_parts("totals", years))
+        season = season.filter(F.col("year").isin(years))
+    documents = season_documents(
+        as_round_totals(totals), season, tables.ml_model_season, tables.season
+    )
+    gone = {part for name, part, _ in change.version.runs if name == "documents"}
+    change.write("documents", documents, gone if years is None else years)
+
 
+def _refresh_totals(change: Change, delta: DataFrame, years: list[int]) -> None:
+    """Merge a change of the totals, and what follows from it, season by season.
 
-def refresh_scores(tables: Tables, touched: DataFrame, path: str) -> None:
-    """Score again the seasons of the matches in ``touched`` (``matchId``)."""
-    matches = tables.match.join(touched, tables.match.id == touched.matchId, "left_semi")
-    seasons = matches.select(F.col("seasonId").alias("id")).distinct()
-    season = tables.season.join(seasons, "id", "left_semi")
-    save_scored(score_predictions(tables.swap(season=season)), path)
+    Old predictions are not read: only the totals of the years are.
+    """
+    delta = change.staged(delta, "delta")
+    old = change.read("totals").filter(in_parts("totals", years))
+    merged = change.staged(merge_totals(old, delta), "totals")
+    running = change.read("running").filter(in_parts("running", years))
+    changed = delta.select("year", "roundNumber").distinct()
+    after = refresh_running(running, merged, changed)
+    change.write("totals", merged, years)
+    change.write("running", after, years)
+    _write_documents(change, years)
 
 
-def append_predictions(spark: SparkSession, rows: DataFrame, root: str) -> None:
-    """Add predictions (without ``id``) to the stored tables and refresh the scores.
+def append_predictions(spark: SparkSession, rows: DataFrame, root: str) -> int:
+    """Add predictions (without ``id``) to a league and bring its results up to date.
 
     A model's prediction of a match it has already predicted is left out, which
     makes a second run harmless. Rows without a match, model or team fail the
-    job before anything is written.
+    job with nothing changed. Keys follow the last one without a gap. The number
+    of predictions added is returned.
     """
-    tables = load_tables(spark, root)
+    change = Change(spark, root)
+    tables = change.tables()
     pair = ["matchId", "mlModelId"]
-    new = rows.join(tables.prediction.select(*pair), pair, "left_anti")
-    keyed = _staged(
-        prepare_rows(append_keys(new.dropDuplicates(pair), tables.prediction), "prediction"),
-        root,
-        "predictions",
+    given = change.staged(rows, "given")
+    held = given.join(tables.match, given.matchId == tables.match.id, "left")
+    seasons = parts_of(held, "match")
+    known = tables.prediction.filter(in_parts("prediction", seasons)).select(*pair)
+    new = given.join(known, pair, "left_anti").dropDuplicates(pair)
+    numbered = change.staged(numbered_by_task(new), "numbered")
+    keyed = change.staged(
+        prepare_rows(dense_keys(numbered, tables.prediction), "prediction"), "keyed"
     )
-    append_rows(keyed, "prediction", root)
-    after = load_tables(spark, root)
-    # By the rows given, not the new ones: a run that failed half-way is made good.
-    refresh_scores(after, rows.select("matchId").distinct(), f"{root}/Scored")
+    require_rows_fit(keyed, "prediction", tables)
+    match = tables.match.filter(in_parts("match", seasons))
+    count = change.write("prediction", keyed, matches=match)
+    if count:
+        scored = change.staged(score_predictions(tables.swap(match=match, prediction=keyed)), "scored")
+        years = _years_of(change, seasons)
+        change.write("scored", scored)
+        _refresh_totals(change, mergeable_totals(scored), years)
+        change.commit()
+    return count
 
 
 def late_results(spark: SparkSession, results: DataFrame, root: str) -> None:
     """Enter results (``id``, ``margin``, ``winnerId``) and all that follows from them.
 
-    The matches' seasons are written anew, ``isCorrect`` of their predictions is
-    worked out, and the seasons are scored again. A match that is not stored, or
-    a negative margin, fails the job before anything is written.
+    ``isCorrect`` of the matches' predictions is worked out and their scores
+    replaced; only their seasons are read and written. A match that is not
+    stored, or a negative margin, fails the job with nothing changed.
     """
-    tables = load_tables(spark, root)
+    change = Change(spark, root)
+    tables = change.tables()
     given = results.select(
         "id", F.col("margin").alias("newMargin"), F.col("winnerId").alias("newWinnerId")
     )
     require_empty(given.join(tables.match, "id", "left_anti"), "results without a match")
     require_empty(negative_margins(results), "margins")
+    seasons = parts_of(tables.match.join(given, "id", "left_semi"), "match")
+    if not seasons:
+        return
+    match = tables.match.filter(in_parts("match", seasons))
     entered = F.col("newMargin").isNotNull()
-    match = tables.match.join(given, "id", "left").select(
+    after = match.join(given, "id", "left").select(
         *(
             F.when(entered, F.col(f"new{c[0].upper()}{c[1:]}")).otherwise(F.col(c)).alias(c)
             if c in ("margin", "winnerId")
             else F.col(c)
-            for c in tables.match.columns
+            for c in match.columns
         )
     )
-    seasons = match.join(given, "id", "left_semi").select("seasonId").distinct()
-    same = F.col("seasonId").eqNullSafe(F.col("touchedId"))
-    changed = _staged(
-        match.join(seasons.toDF("touchedId"), same, "left_semi"), root, "matches"
-    )
-    outcome = changed.join(given, "id", "left_semi").select(
+    change.write("match", after, seasons)
+    match = change.read("match").filter(in_parts("match", seasons))
+    outcome = match.join(given, "id", "left_semi").select(
         F.col("id").alias("matchId"), "margin", "winnerId", F.lit(True).alias("entered")
     )
-    prediction = _staged(
-        tables.prediction.join(outcome, "matchId", "left")
-        .withColumn(
-            "isCorrect",
-            F.when(F.col("entered"), recomputed_correctness()).otherwise(F.col("isCorrect")),
-        )
-        .select(*tables.prediction.columns),
-        root,
-        "corrected",
+    old = tables.prediction.filter(in_parts("prediction", seasons))
+    corrected = old.join(outcome, "matchId", "left").withColumn(
+        "isCorrect",
+        F.when(F.col("entered"), recomputed_correctness()).otherwise(F.col("isCorrect")),
+    )
+    change.write("prediction", corrected, seasons, match)
+    _replace_scores(change, outcome.select("matchId"), seasons)
+    change.commit()
+
+
+def _replace_scores(change: Change, matches: DataFrame, seasons: list[int | None]) -> None:
+    """Score the predictions of some matches again; totals lose and gain their part."""
+    years = _years_of(change, seasons)
+    tables = change.tables()
+    stored = change.read("scored").filter(in_parts("scored", years))
+    gone = stored.join(matches, "matchId", "left_semi")
+    match = tables.match.filter(in_parts("match", seasons))
+    touched = match.join(matches, match.id == matches.matchId, "left_semi")
+    prediction = tables.prediction.filter(in_parts("prediction", seasons))
+    new = change.staged(
+        score_predictions(tables.swap(match=touched, prediction=prediction)), "rescored"
+    )
+    # Rounds that end as they were are changed too: the rows are not folded yet.
+    delta = taken_off(mergeable_totals(gone)).unionByName(mergeable_totals(new))
+    delta = change.staged(delta, "difference")
+    kept = stored.join(matches, "matchId", "left_anti")
+    change.write("scored", kept.unionByName(new.select(*kept.columns)), years)
+    _refresh_totals(change, delta, years)
+
+
+def _touched(tables: Tables, parent: str, keys: DataFrame) -> dict[str, list[int | None]]:
+    """The parts of each table that hold one of the keys (``id``), by a look at keys alone.
+
+    What belongs to a match lies in the match's own season.
+    """
+    wanted = keys.select(F.col("id").alias("_key")).distinct()
+
+    def holding(table: str, column: str) -> list[int | None]:
+        df = tables[table]
+        return parts_of(df.join(wanted, df[column] == wanted["_key"], "left_semi"), table)
+
+    found = {parent: holding(parent, "id")}
+    for reference in REFERENCES:
+        if reference.parent == parent:
+            same = parent == "match" and PART.get(reference.child) == PART["match"]
+            parts = found[parent] if same else holding(reference.child, reference.column)
+            found[reference.child] = sorted({*found.get(reference.child, ()), *parts}, key=str)
+    if parent == "season":
+        for table in ("prediction", "team_match"):
+            found[table] = found["match"]
+    return found
+
+
+def _rewrite(change: Change, parent: str, keys: DataFrame, rule) -> None:
+    """Apply a rule to the parts that the keys touch and leave the others unread."""
+    tables = change.tables()
+    touched = _touched(tables, parent, keys)
+    small = tables.swap(
+        **{
+            table: tables[table].filter(in_parts(table, parts))
+            for table, parts in touched.items()
+            if table in PART
+        }
+    )
+    after = rule(small)
+    old_years = _years_of(change, touched.get("match", []))
+    # Matches come first: their children take their season from them.
+    for table in TABLE_NAMES:
+        if touched.get(table):
+            matches = None
+            if parent == "season":
+                matches = after.match
+            elif table in BY_MATCH:
+                matches = change.read("match").filter(in_parts("match", touched[table]))
+            change.write(table, after[table], touched[table], matches)
+    seasons = sorted({p for t in ("match", "prediction") for p in touched.get(t, [])}, key=str)
+    _rescore(change, seasons, old_years)
+    # Only its ids may have changed.
+    change.commit(unique=[parent], natural=False)
+
+
+def _rescore(change: Change, seasons: list[int | None], old_years: list[int]) -> None:
+    """Scores and results of whole seasons, and none for years that are no more."""
+    tables = change.tables()
+    present = [s for s in seasons if s is not None]
+    years = _years_of(change, seasons)
+    season = tables.season.filter(F.col("id").isin(present) | F.col("year").isin(old_years))
+    years = sorted({*years, *old_years, *(r.year for r in season.collect())})
+    scored = change.staged(score_predictions(tables.swap(season=season)), "scored")
+    totals = change.staged(mergeable_totals(scored), "totals")
+    for result, rows in (("scored", scored), ("totals", totals), ("running", running_totals(totals))):
+        change.write(result, rows, years)
+    # The list of seasons or the models' flags may have changed, which all show.
+    _write_documents(change, None)
+
+
+def delete_from_league(spark: SparkSession, root: str, parent: str, keys: DataFrame) -> None:
+    """Delete rows (by ``id``) with all that belongs to them, and empty references.
+
+    Fails with nothing changed while a required reference holds a row.
+    """
+    change = Change(spark, root)
+    require_empty(
+        integrity.restricting_references(change.tables(), parent, keys), f"{parent} still in use"
     )
-    _overwrite(changed, "match", root)
-    _overwrite(prediction, "prediction", root)
-    refresh_scores(load_tables(spark, root), outcome.select("matchId"), f"{root}/Scored")
+    _rewrite(change, parent, keys, lambda t: integrity.delete_unrestricted(t, parent, keys))
 
 
-def _overwrite(df: DataFrame, table: str, root: str) -> None:
-    """Replace the folders present in ``df``, or the whole table if it has none."""
-    layout = LAYOUTS.get(table, Layout())
-    save_parquet(df, f"{root}/{TABLE_NAMES[table]}", layout, "dynamic" if layout.folders else "static")
+def remap_in_league(spark: SparkSession, root: str, parent: str, key_map: DataFrame) -> None:
+    """Change keys by ``key_map`` (oldId, newId) in the parent and in every child."""
+    change = Change(spark, root)
+    keys = key_map.select(F.col("oldId").alias("id"))
+    _rewrite(change, parent, keys, lambda t: integrity.remap_keys(t, parent, key_map))

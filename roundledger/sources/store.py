@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from typing import NamedTuple
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,10 +10,16 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from roundledger.functions.text import finite
-from roundledger.operators.quality import require_rows_fit
+from roundledger.operators.quality import (
+    require_references,
+    require_rows_fit,
+    require_unique,
+    require_watched,
+    watched,
+)
 from roundledger.schemas import SCHEMAS, TABLE_NAMES, Tables
 from roundledger.sources.evolve import fill_defaults
-from roundledger.sources.tables import load_tables
+from roundledger.sources.tables import database_tables, load_tables
 
 
 class Layout(NamedTuple):
@@ -52,6 +59,18 @@ def save_parquet(
     writer.partitionBy(*layout.folders).parquet(path)
 
 
+def save_checked(df: DataFrame, table: str, path: str) -> DataFrame:
+    """Write a table where nothing is yet, and read it back; fails where a row breaks a rule.
+
+    Rules for single rows are counted by the tasks that write.
+    """
+    layout = LAYOUTS.get(table, Layout())
+    arranged, observation = watched(_arranged(df, layout), table)
+    arranged.write.partitionBy(*layout.folders).parquet(path)
+    require_watched(observation, table)
+    return df.sparkSession.read.schema(SCHEMAS[table]).parquet(path)
+
+
 def save_tables(tables: Tables, root: str) -> None:
     """Write all seven tables under ``root``."""
     for table, df in tables.items():
@@ -75,16 +94,17 @@ def load_scored(spark: SparkSession, path: str, year: int | None = None) -> Data
 def load_database(
     spark: SparkSession, files_root: str, database: str, location: str | None = None
 ) -> None:
-    """Reload a whole catalog database from per-table files.
+    """Reload a whole catalog database from per-table files, checked and at once.
 
-    A new database is made in ``location`` if that is given, else in the warehouse.
+    A new database is made in ``location`` if that is given, else in the
+    warehouse; its tables are written to a run's folder there and published.
     """
     where = f"LOCATION '{location}'" if location else ""
     spark.sql(f"CREATE DATABASE IF NOT EXISTS `{database}` {where}")
-    for table, df in load_tables(spark, files_root).items():
-        layout = LAYOUTS.get(table, Layout())
-        writer = _arranged(df, layout).write.mode("overwrite").partitionBy(*layout.folders)
-        writer.saveAsTable(f"`{database}`.`{TABLE_NAMES[table]}`")
+    details = spark.sql(f"DESCRIBE DATABASE `{database}`").collect()
+    root = location or next(row[1] for row in details if row[0] == "Location")
+    run = f"load_{uuid.uuid4().hex}"
+    publish(spark, database, dict(load_tables(spark, files_root).items()), root, run)
 
 
 def prepare_rows(df: DataFrame, table: str) -> DataFrame:
@@ -120,20 +140,28 @@ def append_rows(df: DataFrame, table: str, root: str) -> None:
 def publish(
     spark: SparkSession, database: str, changed: dict[str, DataFrame], root: str, run: str
 ) -> None:
-    """Replace tables of a database of views: write every one, then switch.
+    """Replace tables of a database of views: write and check every one, then switch.
 
-    Each run writes to its own folder, so readers keep the old rows until all
+    Required values and margins are checked by the tasks that write, keys and
+    references on what was written; a fault leaves the database as it was. Each run writes to its own folder, so readers keep the old rows until all
     new ones are complete, a failed run changes nothing, and the source of a
     rewrite is never overwritten while it is read. The views stand on tables
     with declared columns, which can be read without any file. ``run`` must be
     new and fit a table's name.
     """
     spark.sql(f"CREATE DATABASE IF NOT EXISTS `{database}`")
+    written = {
+        table: save_checked(df, table, f"{root}/{run}/{TABLE_NAMES[table]}")
+        for table, df in changed.items()
+    }
+    whole = SCHEMAS.keys() <= changed.keys()
+    tables = Tables(**written) if whole else database_tables(spark, database).swap(**written)
+    require_unique(tables, changed)
+    require_references(tables, changed)
     views = {}
-    for table, df in changed.items():
+    for table in changed:
         name, layout = TABLE_NAMES[table], LAYOUTS.get(table, Layout())
         path, stored = f"{root}/{run}/{name}", f"`{database}`.`{name}_{run}`"
-        save_parquet(df, path, layout)
         columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in SCHEMAS[table])
         folders = f"PARTITIONED BY ({', '.join(layout.folders)})" if layout.folders else ""
         spark.sql(f"CREATE TABLE {stored} ({columns}) USING parquet {folders} LOCATION '{path}'")

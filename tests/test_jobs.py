@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from roundledger import configure
 from roundledger.operators import quality, scoring
 from roundledger.plans import dashboard, jobs
-from roundledger.schemas import SCHEMAS
+from roundledger.schemas import REFERENCES, SCHEMAS
 from roundledger.session import working_folder
 from roundledger.sources import evolve, store
 from roundledger.sources.tables import database_tables, load_tables
@@ -22,47 +22,6 @@ def save(tables, root):
     store.save_scored(scoring.score_predictions(tables), f"{root}/Scored")
 
 
-def assert_scores_follow(spark, root):
-    stored = store.load_scored(spark, f"{root}/Scored")
-    full = scoring.score_predictions(load_tables(spark, root))
-    assert rows_of(stored.select(*full.columns)) == rows_of(full)
-
-
-def test_append_predictions(spark, tmp_path):
-    root = str(tmp_path)
-    save(tiny_tables(spark), root)
-    picks = spark.createDataFrame(
-        [(5, 1, 3, 2.5), (4, 2, 1, None), (1, 1, 2, 9.0)],
-        "matchId bigint, mlModelId int, predictedWinnerId int, predictedMargin double",
-    )
-    for _ in range(2):
-        jobs.append_predictions(spark, picks, root)
-        # Match 1 was predicted by model 1 before: that row is left out.
-        assert load_tables(spark, root).prediction.count() == len(ROWS["prediction"]) + 2
-        assert_scores_follow(spark, root)
-    with pytest.raises(ValueError, match="without a row"):
-        jobs.append_predictions(spark, picks.withColumn("matchId", F.lit(77)), root)
-    assert load_tables(spark, root).prediction.count() == len(ROWS["prediction"]) + 2
-
-
-def test_late_results(spark, tmp_path):
-    root = str(tmp_path)
-    save(tiny_tables(spark), root)
-    results = spark.createDataFrame([(4, 12, 2), (5, 6, 3)], "id bigint, margin int, winnerId int")
-    for _ in range(2):
-        jobs.late_results(spark, results, root)
-        after = load_tables(spark, root)
-        assert {r.id: r.isCorrect for r in after.prediction.collect()}[41] is True
-        assert {r.id: r.margin for r in after.match.collect()} == {
-            1: 10, 2: 0, 3: 30, 4: 12, 5: 6, 9: 7
-        }
-        assert_scores_follow(spark, root)
-    for bad, message in (((77, 1, 1), "without a match"), ((4, -1, 1), "margins")):
-        wrong = spark.createDataFrame([bad], results.schema)
-        with pytest.raises(ValueError, match=message):
-            jobs.late_results(spark, wrong, root)
-
-
 def test_backfill_job(spark, tmp_path):
     usage = spark.createDataFrame(
         [("m", 2019, True, True)],
@@ -78,10 +37,16 @@ def test_backfill_job(spark, tmp_path):
     assert {t: rows_of(df) for t, df in database_tables(spark, "jobs").items()} == once
 
 
+def dependents(table):
+    """A table and all that may refer to it, directly or not."""
+    children = {r.child for r in REFERENCES if r.parent == table}
+    return {table}.union(*map(dependents, children))
+
+
 def test_empty_tables_round_trip_and_publish(spark, tmp_path):
     full = tiny_tables(spark)
     for table in SCHEMAS:
-        one = full.swap(**{table: full[table].limit(0)})
+        one = full.swap(**{t: full[t].limit(0) for t in dependents(table)})
         root = str(tmp_path / table)
         save(one, root)
         loaded = load_tables(spark, root)
@@ -93,6 +58,57 @@ def test_empty_tables_round_trip_and_publish(spark, tmp_path):
             assert rows_of(published[name]) == rows_of(df)
 
 
+def broken_tables(spark):
+    """One table each that breaks a rule, and what the refusal says."""
+    t = tiny_tables(spark)
+    lost = t.team.withColumn("name", F.when(F.col("id") > 1, F.col("name")))
+    return {
+        "Team repeats id": {"team": tiny_tables(spark, team=[*ROWS["team"], (1, "Dogs")]).team},
+        "Team repeats name": {"team": tiny_tables(spark, team=[*ROWS["team"], (4, "Ants")]).team},
+        "Team: name is required": {"team": lost},
+        "references without a row": {"team": t.team.filter("id = 1")},
+        "Match: margin is negative": {"match": t.match.withColumn("margin", -F.col("margin"))},
+    }
+
+
+def test_broken_tables_are_refused_with_nothing_changed(spark, tmp_path):
+    good, root = tiny_tables(spark), str(tmp_path)
+    store.save_tables(good, f"{root}/good")
+    store.load_database(spark, f"{root}/good", "guarded", f"{root}/db")
+    before = {t: rows_of(df) for t, df in database_tables(spark, "guarded").items()}
+    for i, (message, broken) in enumerate(broken_tables(spark).items()):
+        with pytest.raises(ValueError, match=message):
+            store.publish(spark, "guarded", broken, f"{root}/db", f"run{i}")
+        store.save_tables(good.swap(**broken), f"{root}/bad{i}")
+        with pytest.raises(ValueError, match=message):
+            store.load_database(spark, f"{root}/bad{i}", "guarded")
+        assert {t: rows_of(df) for t, df in database_tables(spark, "guarded").items()} == before
+
+
+def test_row_rules_ride_on_the_write(spark, tmp_path):
+    """The rows are counted, and checked, in the one job that writes them."""
+    t = tiny_tables(spark)
+    store.save_tables(t, str(tmp_path / "in"))
+    match = load_tables(spark, str(tmp_path / "in")).match
+    tracker, group = spark.sparkContext.statusTracker(), "rules"
+    spark.sparkContext.setJobGroup(group, group)
+    try:
+        store.save_checked(match, "match", str(tmp_path / "out"))
+    finally:
+        spark.sparkContext.setJobGroup("", "")
+    scans = 0
+    for job in tracker.getJobIdsForGroup(group):
+        for stage in tracker.getJobInfo(job).stageIds:
+            info = tracker.getStageInfo(stage)
+            scans += info is not None and info.numCompletedTasks > 0
+    # The scan and the write after its shuffle; nothing else ran.
+    assert scans == 2
+    watched, observation = quality.watched(match, "match")
+    assert "CollectMetrics" in watched._jdf.queryExecution().executedPlan().toString()
+    watched.write.format("noop").mode("overwrite").save()
+    assert quality.require_watched(observation, "match") == len(ROWS["match"])
+
+
 def test_saving_one_year_leaves_the_others(spark, tmp_path):
     path = str(tmp_path / "Scored")
     t = tiny_tables(spark, prediction=[*ROWS["prediction"], (51, 1.0, 5, 1, 3, True, None, NOW, NOW)])
