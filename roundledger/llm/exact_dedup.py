@@ -19,6 +19,7 @@ import hashlib
 import math
 
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -31,15 +32,19 @@ BUFFER_BYTES = 16 * 2**20
 LEVEL = 6
 
 
-def local_groups(
-    docs: DataFrame, text: str, doc_id: str, carry: list[str], buffer_bytes: int
-) -> DataFrame:
-    """Carried columns plus ``_row``, ``_digest``, ``_winner`` (a row of the buffer).
+def local_groups(docs: DataFrame, buffer_bytes: int, whole: bool) -> DataFrame:
+    """``_id`` of ``docs`` (``_id``, ``_text`` and, if ``whole``, ``_doc``) plus ``_row``,
+    ``_buffer``, ``_digest``, ``_winner`` (a row of the buffer).
 
     The winner of a buffer's equal texts is the row with the largest id, the
     last one among equal ids; NULL ids rank lowest. ``_size``, the number of
-    equal rows, and ``_content`` are given on the winner's row only.
+    equal rows, is given on the winner's row only, and so is the text: as
+    ``_content`` or, if ``whole``, within ``_doc``, the row as it came.
     """
+    kept = [
+        T.StructField(f.name, f.dataType)
+        for f in docs.select("_id", *(["_doc"] if whole else [])).schema
+    ]
     added = (
         T.StructType()
         .add("_row", "long")
@@ -47,16 +52,17 @@ def local_groups(
         .add("_digest", "binary")
         .add("_winner", "long")
         .add("_size", "long")
-        .add("_content", "binary")
     )
+    if not whole:
+        added.add("_content", "binary")
 
     def run(batches):
         compress = zstandard.ZstdCompressor(level=LEVEL).compress
         partition = TaskContext.get().partitionId()
         row, buffer = partition << 33, partition << 20
-        for table in buffered(batches, text, buffer_bytes):
-            contents = [value.lower() for value in texts_of(table[text])]
-            ids = table[doc_id].to_pylist()
+        for table in buffered(batches, "_text", buffer_bytes):
+            contents = [value.lower() for value in texts_of(table["_text"])]
+            ids = table["_id"].to_pylist()
             winners: dict[bytes, int] = {}
             for i, content in enumerate(contents):
                 best = winners.get(content)
@@ -78,50 +84,58 @@ def local_groups(
                     [sizes[c] if chosen[i] == i else None for i, c in enumerate(contents)],
                     pa.int64(),
                 ),
-                "_content": pa.array(
+            }
+            if whole:
+                # Only a winner can stay.
+                mine = pa.array([chosen[i] == i for i in range(len(ids))])
+                doc = table["_doc"].combine_chunks()
+                extra["_doc"] = pc.if_else(mine, doc, pa.scalar(None, doc.type))
+            else:
+                extra["_content"] = pa.array(
                     [compress(c) if chosen[i] == i else None for i, c in enumerate(contents)],
                     pa.binary(),
-                ),
-            }
-            table = table.select(carry)
-            for name, values in extra.items():
-                table = table.append_column(name, values)
+                )
+            table = table.select(["_id"])
+            for field in [*kept[1:], *added.fields]:
+                table = table.append_column(field.name, extra[field.name])
             row, buffer = row + len(ids), buffer + 1
             yield from table.to_batches(max_chunksize=4096)
 
-    kept = docs.select(*carry).schema.fields
     return docs.mapInArrow(run, T.StructType(kept + added.fields))
 
 
-def exact_dedup(
-    docs: DataFrame,
-    text: str = "text",
-    doc_id: str = "doc_id",
-    carry: tuple[str, ...] = (),
-    buffer_bytes: int = BUFFER_BYTES,
-) -> DataFrame:
-    """One row per row of ``docs``: id, ``keep_id``, ``group_size``, ``kept``, ``text_sha256``.
+def _contents(winners: DataFrame, text: str) -> DataFrame:
+    """Winners with ``_content``, compressed from the rows they carry."""
 
-    Texts are equal when identical after lower-casing A to Z; NULL counts as
-    empty. Of equal texts the row with the largest id stays; with equal largest
-    ids exactly one of those rows; a NULL id only stays where all ids of the
-    group are NULL (``keep_id`` is then NULL too). Repeated rows are copies like
-    any other. An empty table gives an empty result. Other columns are ignored
-    unless named in ``carry``, which are returned as well; no column of
-    ``docs`` may then start with an underscore and one of the names used here.
-    """
-    carried = list(dict.fromkeys([doc_id, *carry]))
-    read = docs.select(*dict.fromkeys([*carried, text]))
-    local = stored(local_groups(read, text, doc_id, carried, buffer_bytes), "exact-local")
-    winners = local.where("_size is not null")
-    buffers = winners.select(F.count_distinct("_buffer").alias("n")).first().n
+    def run(batches):
+        compress = zstandard.ZstdCompressor(level=LEVEL).compress
+        for batch in batches:
+            contents = [compress(value.lower()) for value in texts_of(batch.column("_text"))]
+            columns = [batch.column(c) for c in ("_row", "_id", "_digest", "_size", "_buffer")]
+            yield pa.RecordBatch.from_arrays(
+                [*columns, pa.array(contents, pa.binary())],
+                ["_row", "_id", "_digest", "_size", "_buffer", "_content"],
+            )
+
+    kind = winners.schema["_id"].dataType.simpleString()
+    read = winners.select(
+        "_row", "_id", "_digest", "_size", "_buffer", F.col(f"_doc.`{text}`").alias("_text")
+    )
+    return read.mapInArrow(
+        run, f"_row long, _id {kind}, _digest binary, _size long, _buffer long, _content binary"
+    )
+
+
+def _linked(local: DataFrame, contents: DataFrame) -> DataFrame:
+    """``_winner`` (of a buffer), ``_best`` (``_id``, ``_row``) and ``group_size``."""
+    buffers = local.select(F.count_distinct("_buffer").alias("n")).first().n
     salts = max(1, math.isqrt(buffers))
     best = lambda name: F.max(F.struct(name, "_row"))
 
     # Salts deal the buffers round-robin, so each has its even share of a group.
     salted = (
-        winners.select(
-            "_row", F.col(doc_id).alias("_id"), "_digest", "_size", "_content",
+        contents.select(
+            "_row", "_id", "_digest", "_size", "_content",
             F.pmod(F.hash("_buffer"), F.lit(salts)).alias("_salt"),
         )
         .groupBy("_digest", "_salt", "_content")
@@ -146,9 +160,29 @@ def exact_dedup(
     by_salt = salted.where("_size > 0").select(
         F.explode("_rows").alias("_winner"), F.col("_best._row").alias("_salt_row")
     )
-    links = by_salt.join(overall, "_salt_row").select("_winner", "_best", "group_size")
+    return by_salt.join(overall, "_salt_row").select("_winner", "_best", "group_size")
+
+
+def exact_dedup(
+    docs: DataFrame,
+    text: str = "text",
+    doc_id: str = "doc_id",
+    buffer_bytes: int = BUFFER_BYTES,
+) -> DataFrame:
+    """One row per row of ``docs``: id, ``keep_id``, ``group_size``, ``kept``, ``text_sha256``.
+
+    Texts are equal when identical after lower-casing A to Z; NULL counts as
+    empty, and texts of any length are compared whole. Of equal texts the row
+    with the largest id stays; with equal largest ids exactly one of those rows;
+    a NULL id only stays where all ids of the group are NULL (``keep_id`` is
+    then NULL too). Repeated rows are copies like any other. An empty table
+    gives an empty result. Further columns of any name are not read.
+    """
+    read = docs.select(F.col(doc_id).alias("_id"), F.col(text).alias("_text"))
+    local = stored(local_groups(read, buffer_bytes, False), "exact-local")
+    links = _linked(local, local.where("_size is not null"))
     return local.join(links, "_winner").select(
-        *carried,
+        F.col("_id").alias(doc_id),
         F.col("_best._id").alias("keep_id"),
         "group_size",
         (F.col("_row") == F.col("_best._row")).alias("kept"),
@@ -156,7 +190,19 @@ def exact_dedup(
     )
 
 
-def drop_copies(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """The rows of ``docs`` that stay, with their columns."""
-    marked = exact_dedup(docs, text, doc_id, tuple(docs.columns))
-    return marked.where("kept").select(*docs.columns)
+def drop_copies(
+    docs: DataFrame, text: str = "text", doc_id: str = "doc_id", buffer_bytes: int = BUFFER_BYTES
+) -> DataFrame:
+    """The rows of ``docs`` that stay, with their columns, whatever those are called.
+
+    The same rows as ``exact_dedup`` keeps. Each row is stored once, as it came;
+    its text is compressed again on the way to the stages that compare it.
+    """
+    names = docs.columns
+    whole = F.struct(*(F.col(f"`{c}`") for c in names)).alias("_doc")
+    read = docs.select(F.col(doc_id).alias("_id"), F.col(text).alias("_text"), whole)
+    local = stored(local_groups(read, buffer_bytes, True), "exact-rows")
+    winners = local.where("_size is not null")
+    kept = _linked(local, _contents(winners, text)).select(F.col("_best._row").alias("_row")).distinct()
+    stays = winners.select("_row", "_doc").join(kept, "_row", "left_semi")
+    return stays.select(*(F.col(f"_doc.`{c}`").alias(c) for c in names))

@@ -54,3 +54,16 @@ def test_empty_table_and_other_columns(spark):
     assert exact_dedup(empty(spark)).collect() == []
     more = docs(spark, [(1, "x", "en", "a")]).selectExpr("*", "1 AS keep_id", "2 AS kept")
     assert exact_dedup(more).count() == 1
+
+
+def test_dropping_with_clashing_columns_and_many_buffers(spark):
+    """Columns may be called like those used inside; the rows kept are the same."""
+    names = ("kept", "keep_id", "group_size", "_row", "_id", "_doc", "_text", "_size", "_winner")
+    more = awkward(spark).selectExpr("*", *(f"{i} AS `{n}`" for i, n in enumerate(names)))
+    kept = drop_copies(more, buffer_bytes=1)
+    assert kept.columns == more.columns
+    rows = kept.collect()
+    assert all(tuple(r)[-len(names):] == tuple(range(len(names))) for r in rows)
+    marked = exact_dedup(awkward(spark)).where("kept").collect()
+    assert sorted((r.doc_id for r in rows), key=repr) == sorted((r.doc_id for r in marked), key=repr)
+    assert drop_copies(empty(spark)).collect() == []
