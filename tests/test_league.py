@@ -7,9 +7,10 @@ from pathlib import Path
 import pytest
 from pyspark.sql import functions as F
 
-from roundledger.operators import metrics, scoring, totals
+from roundledger.operators import keys, metrics, scoring, totals
 from roundledger.plans import dashboard, jobs
 from roundledger.sources import league
+from roundledger.sources.fingerprint import table_fingerprint
 from roundledger.sources.league import Change, read_result, read_tables
 from tests.tiny import NOW, ROWS, at, tiny_tables, tuples
 
@@ -174,14 +175,14 @@ def test_stopped_between_steps(spark, root, monkeypatch, job, stops):
 
 
 def test_deletes_and_key_changes(spark, root):
-    keys = lambda *ids: spark.createDataFrame([(i,) for i in ids], "id bigint")
-    jobs.delete_from_league(spark, root, "match", keys(1))
+    rows = lambda *ids: spark.createDataFrame([(i,) for i in ids], "id bigint")
+    jobs.delete_from_league(spark, root, "match", rows(1))
     after = read_tables(spark, root)
     assert all(r.matchId != 1 for t in league.BY_MATCH for r in after[t].collect())
     assert_results_follow(spark, root)
     before = everything(spark, root)
     with pytest.raises(ValueError, match="still in use"):
-        jobs.delete_from_league(spark, root, "ml_model", keys(1))
+        jobs.delete_from_league(spark, root, "ml_model", rows(1))
     assert everything(spark, root) == before
     moved = spark.createDataFrame([(3, 30), (2, 20)], "oldId int, newId int")
     jobs.remap_in_league(spark, root, "team", moved)
@@ -233,3 +234,33 @@ def test_totals_merge_and_part_exactly(spark):
     after = totals.merge_totals(less, changed)
     got = totals.refresh_running(running, after, changed.select("year", "roundNumber").distinct())
     assert rows_of(got) == rows_of(totals.running_totals(after))
+
+
+def test_dense_keys_follow_the_last(spark, tmp_path):
+    existing = spark.createDataFrame([(7,), (41,)], "id bigint")
+    rows = spark.range(1000).select((F.col("id") * 3).alias("matchId")).repartition(7)
+    numbered = keys.numbered_by_task(rows)
+    numbered.write.parquet(str(tmp_path / "staged"))
+    staged = spark.read.schema(numbered.schema).parquet(str(tmp_path / "staged"))
+    once = rows_of(keys.dense_keys(staged, existing))
+    assert [key for key, _ in once] == list(range(42, 1042))
+    assert rows_of(keys.dense_keys(staged, existing)) == once
+    assert rows_of(keys.dense_keys(staged.limit(0), existing)) == []
+
+
+def test_fingerprints_tell_any_change(spark):
+    t = tiny_tables(spark)
+    plain = table_fingerprint(t.match, "match").first()
+    assert plain.rows == len(ROWS["match"])
+    dealt = t.match.orderBy(F.desc("id")).repartition(3)
+    assert table_fingerprint(dealt, "match").first() == plain
+    last = F.col("id") == max(row[0] for row in ROWS["match"])
+    changes = {
+        "startDateTime": "startDateTime + INTERVAL 1 MICROSECOND", "roundNumber": "roundNumber + 1",
+        "venue": "NULL", "margin": "margin + 1", "winnerId": "NULL", "seasonId": "0",
+    }
+    for column, changed in changes.items():
+        value = F.when(last, F.expr(changed)).otherwise(F.col(column))
+        other = t.match.withColumn(column, value.cast(t.match.schema[column].dataType))
+        assert table_fingerprint(other, "match").first().checksum != plain.checksum
+    assert table_fingerprint(t.team.limit(0), "team").first().checksum == "0"
