@@ -1,23 +1,27 @@
 """Text scores by logistic mixing of hashed-context bit predictors.
 
-A text is a sequence of tokens, its words and one end. A word is coded byte by
-byte and bit by bit, a blank ending it. Each bit is predicted from several
-contexts: the last two to four bytes, and the whole word so far. A context and
-the bits of the byte known so far hash to a slot that counts zeros and ones; a
-few check bits tell foreign slots. The predictions are mixed in the logistic
-domain with weights chosen by a gate (place in the word, how often the word so
-far was seen), learned online: each bit is predicted, then the weights move
-against the error. Two adaptive stages refine the result: a map of gate and
-mixed prediction, bit by bit, and the word's own count, for which the mixed
-probability is the prior; how much the prior weighs is what predicts the
-training words best, each left out of its count. The bits of all tokens give
-the text's probability.
-
-Counts are those of the whole training part. Contexts stay inside a word, so a
-word's probability is worked out once, however often it occurs; texts only look
-their words up. A document's words travel as numbers of a chunk-wide word list,
-and the list meets the counts in a join, so nothing grows in one place. The
-tables have a fixed number of slots, in which the most frequent contexts stay.
+A text is a sequence of tokens, its words and one end. A word seen in training
+is coded by the bits of its code, 20 bits of its hash, and by its share of the
+training tokens of that code. Each bit is predicted from the bits before it in
+three contexts: alone, after the previous word, and after the two previous
+words; contexts are hashes, and each keeps how many training tokens went on
+with a zero and with a one. The predictions are mixed in the logistic domain
+with weights chosen by a gate (place in the code, how often the two word
+contexts were seen), learned online: each bit is predicted with the occurrence
+itself taken off all counts, then the weights move against the error. An
+adaptive map of gate and mixed prediction refines the result. A bit that no
+training word leaves open costs nothing. Unseen words are announced by an
+escape, as likely as words seen once are, and spelled byte by byte after the
+last three bytes, with the distinct training words as examples.
+
+Spark does it in this way. Documents travel as word numbers in chunks. A chunk
+names its distinct (two previous words, code) items in order of their hash and
+deals them, as small sorted blocks, to shards by the previous word; so all
+counts of a context meet, and each distinct item of a shard is worked out once
+and its value sent back to the chunks that named it. The number of shards
+follows the size of the texts and nothing is left out. A previous word with
+more items than a shard should hold is dealt over several shards by the word
+before it; those get its counts by code (2^20 at most) from an aggregate.
 """
 
 from __future__ import annotations
@@ -28,6 +32,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -36,69 +41,291 @@ from pyspark.sql import types as T
 from roundledger.llm.shared import buffered, fold, mix64, stored, texts_of
 
 FOLDS, HELD_OUT = 7, 2
-CHUNK_BYTES = 8 * 2**20
-ORDERS = (2, 3, 4)
-CONTEXTS = len(ORDERS) + 1  # and the whole word so far
-SLOT_BITS = 22
-GATES, LEVELS = 24, 33
-BLANK = 0x20
-MOST_COUNT = 4095  # a slot packs 8 check bits and two counts of 12 bits
-RATE = 0.02
-# Weights the prior of a word's count may get, in tokens.
-PRIOR_WEIGHTS = tuple(2.0**i for i in range(4, 40, 2))
-# Words coded together: so many, or for long ones so many bytes.
-BATCH_WORDS = 4096
-USUAL_BYTES = 24
-BLOCK_BYTES = 2**18
-# Bytes of words whose contexts are counted together, about 600 times as much memory.
-PAIR_BYTES = 2**18
+CHUNK_BYTES = 4 * 2**20
+# Texts of so many bytes name the items of one shard.
+SHARD_BYTES = 8 * 2**20
+# An item: hashes of the previous word and of the one before it, and a code.
+LAST_BITS, BEFORE_BITS, CODE_BITS = 26, 18, 20
+CODES = 1 << CODE_BITS
+START = 0x51A27  # stands for the words before a text
+CONTEXTS = 3
+GATES, LEVELS = CODE_BITS * 16, 32
+RATE = 0.2
+# Rows that move the weights together: few at first, then more and more.
+FIRST_BATCH, BATCH, GROWTH = 32, 8192, 1.1
+# Added to counts: alone (words are known), after one word, after two.
+ADDED = (0.02, 0.4, 0.4)
+MOST_ODDS = 14.0
+# Bytes before the one that is spelled; a context has 16 bits.
+SPELL_ORDERS = (1, 2, 3)
 ODD = np.uint64(0x9E3779B97F4A7C15)
-# ln(count + 0.4): a slot's prediction is the difference for ones and zeros.
-_LOGS = np.log(np.arange(MOST_COUNT + 1, dtype=np.float64) + 0.4).astype(np.float32)
 
 
-class Tables(NamedTuple):
-    """Slots: packed counts, and what scoring needs of them.
+def word_hash(word: bytes) -> int:
+    """As Spark's xxhash64 of a binary column."""
+    return xxhash.xxh64_intdigest(word, 42)
+
+
+def codes_of(hashes: np.ndarray) -> np.ndarray:
+    return (hashes & np.uint64(CODES - 1)).astype(np.int64)
+
+
+def item_keys(ids: np.ndarray, starts: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """The item of each token of a chunk, from word numbers and text starts."""
+    now = hashes[ids]
+    last = np.empty_like(now)
+    last[1:] = now[:-1]
+    last[starts] = START
+    before = np.empty_like(now)
+    before[1:] = last[:-1]
+    before[starts] = START
+    with np.errstate(over="ignore"):
+        high = mix64(last) >> np.uint64(64 - LAST_BITS)
+        low = mix64(before * ODD + np.uint64(1)) >> np.uint64(64 - BEFORE_BITS)
+    return (
+        (high << np.uint64(BEFORE_BITS + CODE_BITS))
+        | (low << np.uint64(CODE_BITS))
+        | (now & np.uint64(CODES - 1))
+    )
+
+
+def last_of(keys: np.ndarray) -> np.ndarray:
+    return (keys >> np.uint64(BEFORE_BITS + CODE_BITS)).astype(np.int64)
+
+
+class Shards(NamedTuple):
+    """How items are dealt: evenly by the previous word, frequent ones further."""
+
+    number: int
+    hot: np.ndarray  # contexts of frequent previous words, in order
+    first: np.ndarray  # the first of their own shards
+    parts: np.ndarray
+
+    def of(self, keys: np.ndarray) -> np.ndarray:
+        last = last_of(keys)
+        shard = (last * self.number) >> LAST_BITS
+        if len(self.hot):
+            at = np.minimum(np.searchsorted(self.hot, last), len(self.hot) - 1)
+            before = ((keys >> np.uint64(CODE_BITS)) & np.uint64((1 << BEFORE_BITS) - 1)).astype(np.int64)
+            own = self.first[at] + ((before * self.parts[at]) >> BEFORE_BITS)
+            shard = np.where(self.hot[at] == last, own, shard)
+        return shard
 
-    ``packed`` holds check bits (0 for an empty slot), zeros and ones; ``tag``
-    the check bits and how often the context was seen, in four levels; ``odds``
-    the log-odds of a one.
-    """
 
-    packed: np.ndarray
-    tag: np.ndarray
-    odds: np.ndarray
+def packed(values: np.ndarray) -> bytes:
+    """Numbers with like bytes side by side, compressed."""
+    if not len(values):
+        return b""
+    flat = np.ascontiguousarray(values).view(np.uint8).reshape(len(values), -1)
+    return pa.compress(flat.T.tobytes(), codec="zstd", asbytes=True)
 
 
-def tables_of(slot: np.ndarray, check: np.ndarray, zeros: np.ndarray, ones: np.ndarray) -> Tables:
-    packed = np.zeros(1 << SLOT_BITS, np.uint32)
-    zeros, ones = (np.minimum(n, MOST_COUNT).astype(np.uint32) for n in (zeros, ones))
-    packed[slot] = (check.astype(np.uint32) << 24) | (zeros << 12) | ones
-    return unpacked(packed)
+def unpacked(blob: bytes, number: int, dtype) -> np.ndarray:
+    if not number:
+        return np.zeros(0, dtype)
+    size = np.dtype(dtype).itemsize
+    flat = np.frombuffer(pa.decompress(blob, number * size, codec="zstd", asbytes=True), np.uint8)
+    return np.ascontiguousarray(flat.reshape(size, number).T).view(dtype).ravel()
 
 
-def unpacked(packed: np.ndarray) -> Tables:
-    zeros, ones = (packed >> 12) & MOST_COUNT, packed & MOST_COUNT
-    tag = ((packed >> 24) << 2) | level_seen(zeros + ones)
-    return Tables(packed, tag.astype(np.uint16), _LOGS[ones] - _LOGS[zeros])
+def packed_keys(keys: np.ndarray) -> bytes:
+    return packed(np.diff(keys, prepend=np.uint64(0)))
 
 
-def level_seen(seen: np.ndarray) -> np.ndarray:
-    return (seen > 0).astype(np.uint8) + (seen > 2) + (seen > 30)
+def unpacked_keys(blob: bytes, number: int) -> np.ndarray:
+    return np.cumsum(unpacked(blob, number, np.uint64), dtype=np.uint64)
 
 
 class Mixer(NamedTuple):
     weights: np.ndarray  # gates x contexts
-    refined: np.ndarray  # gates x levels: probability of a one
+    refined: np.ndarray  # gates x levels: how often the likelier bit came
 
 
-def chunks(docs: DataFrame, text: str, doc_id: str) -> DataFrame:
+def start_weights() -> np.ndarray:
+    """Before learning: contexts count little, and more the oftener they were seen."""
+    weights = np.zeros((GATES, CONTEXTS), np.float32)
+    gate = np.arange(GATES)
+    two, one = (gate >> 2) & 3, gate & 3
+    weights[:, 1] = 0.1 * one
+    weights[:, 2] = 0.05 * two
+    weights[:, 0] = 1 - weights[:, 1] - weights[:, 2]
+    return weights
+
+
+class Bits(NamedTuple):
+    """One place in the code of the rows for which that bit is open."""
+
+    rows: np.ndarray
+    gate: np.ndarray
+    odds: np.ndarray  # rows x contexts: log-odds of the bit that came
+
+
+class Items:
+    """A shard's distinct items in order, and the rows that tell them apart.
+
+    Items alone in their context of two words have the same evidence wherever
+    their pair of words and their count are the same; they share a row.
+    """
+
+    def __init__(self, keys: np.ndarray, n: np.ndarray, alone: np.ndarray, after: np.ndarray | None):
+        """``alone`` and ``after``: running counts by code, of all and after a frequent word."""
+        code = np.uint64(CODE_BITS)
+        context = keys >> code
+        first = np.flatnonzero(np.r_[True, context[1:] != context[:-1]])
+        sizes = np.diff(np.r_[first, len(keys)])
+        # Contexts of one item, and contexts that training never met.
+        single = np.repeat((sizes == 1) | (np.add.reduceat(n, first) == 0), sizes)
+        pairs = ((context >> np.uint64(BEFORE_BITS)) << code) | (keys & np.uint64(CODES - 1))
+        self.pairs, pair = np.unique(pairs, return_inverse=True)
+        self.pair_n = np.bincount(pair, n, len(self.pairs))
+        self.alone, self.after = alone, after
+        self.open = np.flatnonzero(~single)
+        self.singles = np.flatnonzero(single)
+        self.keys, self.n = keys[self.open], n[self.open]
+        both = np.stack([pair[self.singles], n[self.singles].astype(np.int64)])
+        order = np.lexsort(both[::-1])
+        both = both[:, order]
+        new = np.ones(len(order), bool)
+        if len(order):
+            new[1:] = (both[:, 1:] != both[:, :-1]).any(axis=0)
+        self.shared = np.empty(len(order), np.int64)
+        self.shared[order] = np.cumsum(new) - 1
+        alike = both[:, new]
+        self.constant = alike[1].astype(np.float64)
+        self.row_pair = np.r_[pair[self.open], alike[0]]
+        times = np.bincount(self.shared, minlength=alike.shape[1])
+        self.weight = np.r_[self.n, self.constant * times]
+
+    def of_items(self, values: np.ndarray) -> np.ndarray:
+        """Values of the items from those of the rows."""
+        result = np.empty(len(self.open) + len(self.singles), values.dtype)
+        result[self.open] = values[: len(self.open)]
+        result[self.singles] = values[len(self.open) + self.shared]
+        return result
+
+    def bits(self, fresh: bool) -> Iterator[tuple[int, Bits]]:
+        """The open bits place by place; ``fresh``: each occurrence taken off its counts."""
+        code = (self.pairs & np.uint64(CODES - 1)).astype(np.int64)
+
+        def sums(keys, n, depth):
+            if not len(keys):
+                return n
+            node = keys >> np.uint64(CODE_BITS - depth)
+            first = np.flatnonzero(np.r_[True, node[1:] != node[:-1]])
+            return np.repeat(np.add.reduceat(n, first), np.diff(np.r_[first, len(keys)]))
+
+        def by_code(running, depth):
+            shift = CODE_BITS - depth
+            return running[((code >> shift) + 1) << shift] - running[(code >> shift) << shift]
+
+        def totals(depth):
+            one = sums(self.pairs, self.pair_n, depth) if self.after is None else by_code(self.after, depth)
+            return by_code(self.alone, depth), one, np.r_[sums(self.keys, self.n, depth), self.constant]
+
+        off = 1.0 if fresh else 0.0
+        here = totals(0)
+        for place in range(CODE_BITS):
+            below = totals(place + 1)
+            live = (here[0] > below[0])[self.row_pair]
+            if fresh:
+                live &= self.weight > 0
+            rows = np.flatnonzero(live)
+            pair = self.row_pair[rows]
+            odds = np.empty((len(rows), CONTEXTS), np.float32)
+            seen = []
+            for i, at in enumerate((pair, pair, rows)):
+                whole, bit = here[i][at], below[i][at]
+                seen.append(whole - off)
+                odds[:, i] = np.log(np.maximum(bit - off, 0) + ADDED[i]) - np.log(whole - bit + ADDED[i])
+            two, one = seen[2], seen[1]
+            gate = (
+                place * 16
+                + ((two > 0).astype(np.int16) + (two > 1) + (two > 3)) * 4
+                + ((one > 0).astype(np.int16) + (one > 3) + (one > 31))
+            )
+            yield place, Bits(rows, gate, odds)
+            here = below
+
+
+def level_of(log_odds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(level below, share of the level above) of the size of log-odds."""
+    place = np.abs(log_odds) * ((LEVELS - 1) / MOST_ODDS)
+    level = np.minimum(place, LEVELS - 2).astype(np.int64)
+    return level, place - level
+
+
+def mixed(weights: np.ndarray, bits: Bits) -> np.ndarray:
+    return np.clip((weights[bits.gate] * bits.odds).sum(axis=1), -MOST_ODDS, MOST_ODDS)
+
+
+def learn(items: Items) -> tuple[np.ndarray, ...]:
+    """(mass, weights, hits, total) by gate after all training items, bit by bit."""
+    weights = start_weights()
+    mass, moved = np.zeros(GATES), np.zeros((GATES, CONTEXTS))
+    hits, total = np.zeros((GATES, LEVELS)), np.zeros((GATES, LEVELS))
+    for place, bits in items.bits(fresh=True):
+        start, size = 0, FIRST_BATCH
+        while start < len(bits.rows):
+            part = Bits(*(values[start : start + size] for values in bits))
+            start, size = start + size, min(BATCH, int(size * GROWTH) + 1)
+            n = items.weight[part.rows]
+            log_odds = mixed(weights, part)
+            gate = part.gate - place * 16
+            gates = slice(place * 16, place * 16 + 16)
+            level, above = level_of(log_odds)
+            came = 0.5 + 0.5 * np.sign(log_odds)
+            for step, part_n in ((0, n * (1 - above)), (1, n * above)):
+                cell = gate * np.int64(LEVELS) + level + step
+                total[gates] += np.bincount(cell, part_n, 16 * LEVELS).reshape(16, -1)
+                hits[gates] += np.bincount(cell, part_n * came, 16 * LEVELS).reshape(16, -1)
+            error = n / (1 + np.exp(log_odds))
+            seen = np.bincount(gate, n, 16)
+            slope = np.stack(
+                [np.bincount(gate, error * part.odds[:, i], 16) for i in range(CONTEXTS)], axis=1
+            ) / np.maximum(seen, 1e-9)[:, None]
+            # Each weight has its own rate, slower the more it has moved.
+            moved[gates] += slope * slope
+            weights[gates] += RATE * slope / np.sqrt(moved[gates] + 1e-4)
+            mass[gates] += seen
+    return mass, weights, hits, total
+
+
+def item_scores(items: Items, mixer: Mixer) -> np.ndarray:
+    """log10 probability of each item's code in its contexts."""
+    scores = np.zeros(len(items.weight))
+    for _, bits in items.bits(fresh=False):
+        for start in range(0, len(bits.rows), 8 * BATCH):
+            part = Bits(*(values[start : start + 8 * BATCH] for values in bits))
+            log_odds = mixed(mixer.weights, part)
+            level, above = level_of(log_odds)
+            low, high = mixer.refined[part.gate, level], mixer.refined[part.gate, level + 1]
+            likelier = low + above * (high - low)
+            refined = np.where(log_odds > 0, likelier, 1 - likelier)
+            scores[part.rows] += np.log10(0.5 / (1 + np.exp(-log_odds)) + 0.5 * refined)
+    return items.of_items(scores.astype(np.float32))
+
+
+def chunks(docs: DataFrame, text: str, doc_id: str, shards: int) -> DataFrame:
     """Documents as word numbers by chunk (``blob``), and each chunk's word list.
 
     A chunk is a bounded run of one task's rows. ``n`` counts a word in the
-    chunk's training documents; the empty word is the end of a text.
+    chunk's training documents; the empty word is the end of a text. ``last``
+    and ``items`` name previous words with many distinct items.
     """
-    schema = "chunk long, blob binary, at int, word binary, n long"
+    schema = (
+        "chunk long, blob binary, hashes binary, at int, word binary, n long, last long, items long"
+    )
+    names = [part.split()[0] for part in schema.split(", ")]
+    kinds = [pa.int64(), pa.binary(), pa.binary(), pa.int32(), pa.binary(), pa.int64(), pa.int64(), pa.int64()]
+
+    def rows(size, **columns):
+        return pa.RecordBatch.from_arrays(
+            [
+                pa.array(columns[name], kind) if name in columns else pa.nulls(size, kind)
+                for name, kind in zip(names, kinds)
+            ],
+            names,
+        )
 
     def run(batches):
         chunk = TaskContext.get().partitionId() << 24
@@ -114,8 +341,7 @@ def chunks(docs: DataFrame, text: str, doc_id: str) -> DataFrame:
                 sizes.append(len(numbers))
                 ids.append(np.array(numbers, np.uint32))
             flat = np.concatenate(ids)
-            counted = flat[np.repeat(~held, sizes)]
-            counts = np.bincount(counted, minlength=len(places))
+            counts = np.bincount(flat[np.repeat(~held, sizes)], minlength=len(places))
             offsets = np.r_[0, np.cumsum(sizes)].astype(np.int32)
             batch = pa.RecordBatch.from_arrays(
                 [
@@ -130,27 +356,22 @@ def chunks(docs: DataFrame, text: str, doc_id: str) -> DataFrame:
             options = pa.ipc.IpcWriteOptions(compression="zstd")
             with pa.ipc.new_stream(sink, batch.schema, options=options) as writer:
                 writer.write_batch(batch)
-            names = ["chunk", "blob", "at", "word", "n"]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array([chunk], pa.int64()),
-                    pa.array([sink.getvalue().to_pybytes()], pa.binary()),
-                    pa.nulls(1, pa.int32()), pa.nulls(1, pa.binary()), pa.nulls(1, pa.int64()),
-                ],
-                names,
-            )
             words = list(places)
+            hashes = np.fromiter(map(word_hash, words), np.uint64, len(words))
+            keys = np.unique(item_keys(flat, offsets[:-1], hashes))
+            last, items = np.unique(last_of(keys), return_counts=True)
+            often = items * (2 * shards) >= len(keys)
+            yield rows(
+                1, chunk=[chunk], blob=[sink.getvalue().to_pybytes()], hashes=[hashes.tobytes()],
+                items=[len(keys)],
+            )
+            if often.any():
+                yield rows(often.sum(), chunk=[chunk] * often.sum(), last=last[often], items=items[often])
             for start in range(0, len(words), 100_000):
                 part = words[start : start + 100_000]
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array([chunk] * len(part), pa.int64()),
-                        pa.nulls(len(part), pa.binary()),
-                        pa.array(range(start, start + len(part)), pa.int32()),
-                        pa.array(part, pa.binary()),
-                        pa.array(counts[start : start + len(part)], pa.int64()),
-                    ],
-                    names,
+                yield rows(
+                    len(part), chunk=[chunk] * len(part), at=range(start, start + len(part)),
+                    word=part, n=counts[start : start + len(part)],
                 )
             chunk += 1
 
@@ -162,376 +383,313 @@ def chunks(docs: DataFrame, text: str, doc_id: str) -> DataFrame:
     return source.mapInArrow(run, schema)
 
 
-def word_blocks(words: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """(places in ``words``, lengths, bytes padded with blanks) of blocks of words.
+def chunk_items(blob: bytes, hashes: bytes) -> tuple[pa.RecordBatch, np.ndarray, np.ndarray]:
+    """A chunk's documents, its distinct items in order, and each token's place there."""
+    batch = pa.ipc.open_stream(blob).read_all().combine_chunks().to_batches()[0]
+    words = batch.column("words")
+    keys, place = np.unique(
+        item_keys(
+            words.values.to_numpy(), words.offsets.to_numpy()[:-1], np.frombuffer(hashes, np.uint64)
+        ),
+        return_inverse=True,
+    )
+    return batch, keys, place
 
-    Words of usual length stay in the order given, so that what is learned from
-    a block holds for the next; long ones go with others of like length.
-    Inside a block words are sorted by length.
-    """
-    sizes = np.fromiter(map(len, words), np.int64, len(words))
-    usual = np.flatnonzero(sizes <= USUAL_BYTES)
-    blocks = [usual[i : i + BATCH_WORDS] for i in range(0, len(usual), BATCH_WORDS)]
-    long = np.flatnonzero(sizes > USUAL_BYTES)
-    long = long[np.argsort(sizes[long], kind="stable")]
-    start = 0
-    while start < len(long):
-        end = start + 1
-        while end < len(long) and (end - start) * (sizes[long[end]] + 1) < BLOCK_BYTES:
-            end += 1
-        blocks.append(long[start:end])
-        start = end
-    for at in blocks:
-        at = at[np.argsort(sizes[at], kind="stable")]
-        width = int(sizes[at[-1]]) + 1
-        padded = b"".join(words[i].ljust(width, b" ") for i in at)
-        yield at, sizes[at], np.frombuffer(padded, np.uint8).reshape(len(at), width)
-
-
-def walk(sizes: np.ndarray, letters: np.ndarray) -> Iterator[tuple[int, slice, np.ndarray, np.ndarray]]:
-    """(place, words that reach it, context hashes, bytes) along all words of a block."""
-    packed = np.full(len(sizes), int.from_bytes(bytes([BLANK]) * 8), np.uint64)
-    prefix = np.full(len(sizes), 1, np.uint64)
-    salts = [np.uint64(k << 56) for k in range(CONTEXTS + 1)]
-    with np.errstate(over="ignore"):
-        for place in range(letters.shape[1]):
-            # Words are sorted by length: those that reach a place are the last.
-            live = slice(int(np.searchsorted(sizes, place)), None)
-            now, seen = letters[live, place], packed[live]
-            hashes = np.empty((CONTEXTS, len(now)), np.uint64)
-            for i, order in enumerate(ORDERS):
-                last = seen & np.uint64((1 << (8 * order)) - 1)
-                hashes[i] = mix64(last + salts[order])
-            hashes[-1] = mix64(prefix[live] ^ salts[-1])
-            yield place, live, hashes, now
-            packed[live] = (seen << np.uint64(8)) | now
-            prefix[live] = mix64(prefix[live] * ODD + now)
-
-
-def slots_of(hashes: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(slot, check bits from 1) of contexts and the bits of the byte so far."""
-    with np.errstate(over="ignore"):
-        value = (hashes + node.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)) * ODD
-    slot = (value >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
-    check = ((value >> np.uint64(30)).astype(np.uint8) & np.uint8(0xFE)) | np.uint8(1)
-    return slot, check
 
+def shards_of(busy: DataFrame, number: int, total: int) -> Shards:
+    """Previous words with the items of two shards or more; at most half as many as shards."""
+    rows = (
+        busy.groupBy("last").agg(F.sum("items").alias("items"))
+        .where(F.col("items") * number > 2 * total).orderBy("last").collect()
+    )
+    parts = np.array([-(-row["items"] * number // total) for row in rows], np.int64)
+    return Shards(
+        number, np.array([row["last"] for row in rows], np.int64),
+        number + np.cumsum(parts) - parts, parts,
+    )
 
-def context_counts(words: DataFrame, least_prefix: int) -> DataFrame:
-    """``slot``, ``bits`` (check, zeros, ones) of the contexts that keep their slots.
 
-    Short contexts count a word by the root of its frequency, so that they
-    learn how words are built; the whole word so far counts it in full, for
-    words seen ``least_prefix`` times or more.
-    """
+def dealt(blobs: DataFrame, shards: Shards) -> DataFrame:
+    """Each chunk's items by shard, with their training counts; counts of hot words by code."""
+    schema = "shard long, chunk long, size int, keys binary, n binary, last long, code int, count long"
 
-    def pairs(batches):
-        for table in buffered(batches, "word", PAIR_BYTES):
-            contents, n = texts_of(table["word"]), np.array(table["n"].to_pylist(), np.float64)
-            keys, weights = [], []
-            for at, sizes, letters in word_blocks(contents):
-                count = n[at]
-                for _, live, hashes, now in walk(sizes, letters):
-                    here = count[live]
-                    coded = (hashes & ~np.uint64(255)) | now
-                    for i in range(CONTEXTS - 1):
-                        keys.append(coded[i])
-                        weights.append(np.sqrt(here))
-                    often = here >= least_prefix
-                    keys.append(coded[-1][often])
-                    weights.append(here[often])
-            unique, inverse = np.unique(np.concatenate(keys), return_inverse=True)
-            summed = np.bincount(inverse, np.concatenate(weights))
-            for start in range(0, len(unique), 100_000):
-                part = slice(start, start + 100_000)
+    def run(batches):
+        for batch in batches:
+            for row in batch.to_pylist():
+                docs, keys, place = chunk_items(row["blob"], row["hashes"])
+                sizes = np.diff(docs.column("words").offsets.to_numpy())
+                trained = np.repeat(~np.array(docs.column("held").to_pylist(), bool), sizes)
+                n = np.bincount(place[trained], minlength=len(keys)).astype(np.uint32)
+                shard = shards.of(keys)
+                order = np.argsort(shard, kind="stable")
+                keys, n, shard = keys[order], n[order], shard[order]
+                cuts = np.r_[np.flatnonzero(np.r_[True, shard[1:] != shard[:-1]]), len(shard)]
+                out = [
+                    (int(shard[a]), row["chunk"], int(b - a), packed_keys(keys[a:b]), packed(n[a:b]))
+                    for a, b in zip(cuts[:-1], cuts[1:])
+                ]
+                columns = list(zip(*out))
+                kinds = (pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary())
+                none = [pa.nulls(len(out), kind) for kind in (pa.int64(), pa.int32(), pa.int64())]
+                names = [part.split()[0] for part in schema.split(", ")]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(unique[part].view(np.int64)), pa.array(summed[part])], ["pair", "n"]
+                    [*(pa.array(c, kind) for c, kind in zip(columns, kinds)), *none], names
                 )
+                own = (shard >= shards.number) & (n > 0)
+                if own.any():
+                    pairs = (last_of(keys[own]) << CODE_BITS) | (keys[own] & np.uint64(CODES - 1)).astype(np.int64)
+                    pairs, of = np.unique(pairs, return_inverse=True)
+                    counts = np.bincount(of, n[own]).astype(np.int64)
+                    for start in range(0, len(pairs), 100_000):
+                        some = slice(start, start + 100_000)
+                        none = [pa.nulls(len(pairs[some]), kind) for kind in kinds]
+                        yield pa.RecordBatch.from_arrays(
+                            [
+                                *none, pa.array(pairs[some] >> CODE_BITS),
+                                pa.array((pairs[some] & (CODES - 1)).astype(np.int32)),
+                                pa.array(counts[some]),
+                            ],
+                            names,
+                        )
+
+    return blobs.mapInArrow(run, schema)
 
-    def bits(batches):
-        for batch in batches:
-            coded = batch.column("pair").to_numpy().view(np.uint64)
-            n = batch.column("n").to_numpy()
-            now = (coded & np.uint64(255)).astype(np.int64)
-            hashes = (coded & ~np.uint64(255))[None, :]
-            columns = [[], [], [], []]
-            for shift in range(7, -1, -1):
-                node = (now | 256) >> (shift + 1)
-                bit = (now >> shift) & 1
-                slot, check = slots_of(hashes, node)
-                for column, values in zip(columns, (slot[0], check[0], n * (1 - bit), n * bit)):
-                    column.append(values)
-            slot, check, zeros, ones = map(np.concatenate, columns)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(slot.astype(np.int32)), pa.array(check.astype(np.int16)),
-                    pa.array(zeros), pa.array(ones),
-                ],
-                ["slot", "check", "zeros", "ones"],
-            )
 
-    counted = (
-        words.where("n > 0")
-        .mapInArrow(pairs, "pair long, n double")
-        .groupBy("pair")
-        .agg(F.sum("n").alias("n"))
+def after_hot(counts: DataFrame, shards: Shards) -> DataFrame:
+    """``shard`` and the ``codes`` and ``counts`` after its frequent previous word."""
+    spark = counts.sparkSession
+    hot = spark.createDataFrame(
+        list(zip(shards.hot.tolist(), shards.first.tolist(), (shards.first + shards.parts - 1).tolist())),
+        "last long, a long, b long",
     )
-    least = F.least(F.lit(1.0), F.lit(MOST_COUNT) / (F.col("zeros") + F.col("ones")))
-    return (
-        counted.mapInArrow(bits, "slot int, check smallint, zeros double, ones double")
-        .groupBy("slot", "check")
-        .agg(F.sum("zeros").alias("zeros"), F.sum("ones").alias("ones"))
-        .groupBy("slot")
-        .agg(
-            F.max_by(
-                F.struct(
-                    "check",
-                    F.ceil(F.col("zeros") * least).cast("int").alias("zeros"),
-                    F.ceil(F.col("ones") * least).cast("int").alias("ones"),
-                ),
-                F.struct(F.col("zeros") + F.col("ones"), "check"),
-            ).alias("bits")
-        )
-        .select("slot", "bits.*")
+    lists = (
+        counts.groupBy("last", "code").agg(F.sum("count").alias("count"))
+        .groupBy("last").agg(F.collect_list(F.struct("code", "count")).alias("v"))  # 2^20 at most
+    )
+    return lists.join(hot, "last").select(
+        F.explode(F.sequence("a", "b")).alias("of"), F.col("v.code").alias("codes"), F.col("v.count").alias("counts")
     )
 
 
-def gather_tables(counts: DataFrame) -> Tables:
-    """The fixed-size tables; at most one small row a slot reaches the driver."""
-    rows = counts.toArrow()
-    return tables_of(*(rows[c].to_numpy() for c in ("slot", "check", "zeros", "ones")))
-
-
-def predictions(tables: Tables, hashes, node) -> tuple[np.ndarray, np.ndarray]:
-    """(log-odds by context, level) of the next bit."""
-    slot, check = slots_of(hashes, node)
-    tag = tables.tag[slot]
-    known = (tag >> 2) == check
-    level = np.where(known[-1], tag[-1] & 3, 0)
-    return tables.odds[slot] * known, level
+def _shard(parts: pa.Table, after: pa.Table, alone: np.ndarray) -> tuple[Items, np.ndarray, list[int]]:
+    """A shard's items, the place of each named item there, and how many each chunk names."""
+    sizes = parts["size"].to_pylist()
+    keys = np.concatenate([unpacked_keys(b, k) for b, k in zip(parts["keys"].to_pylist(), sizes)])
+    n = np.concatenate([unpacked(b, k, np.uint32) for b, k in zip(parts["n"].to_pylist(), sizes)])
+    keys, place = np.unique(keys, return_inverse=True)
+    running = None
+    if after.num_rows:
+        running = np.zeros(CODES)
+        codes = after["codes"].combine_chunks().values.to_numpy()
+        running[codes] = after["counts"].combine_chunks().values.to_numpy()
+        running = np.r_[0.0, np.cumsum(running)]
+    return Items(keys, np.bincount(place, n, len(keys)), alone, running), place, sizes
 
 
-def fresh_predictions(tables: Tables, hashes, node, bit) -> tuple[np.ndarray, np.ndarray]:
-    """``predictions`` with one occurrence of ``bit`` taken off every count.
+def train_mixer(parts: DataFrame, after: DataFrame, alone) -> Mixer:
+    """Weights and refinement learned online over all training items.
 
-    A word being learned must not meet itself.
+    Each shard learns on its items, one place of the code after the other; the
+    shards' weights are averaged by how much each saw of a gate, and the
+    refinement counts are added up. One row per gate and level reaches the driver.
     """
-    slot, check = slots_of(hashes, node)
-    packed = tables.packed[slot]
-    packed *= (packed >> 24) == check
-    zeros, ones = (packed >> 12) & MOST_COUNT, packed & MOST_COUNT
-    ones -= np.minimum(ones, bit)
-    zeros -= np.minimum(zeros, 1 - bit)
-    return _LOGS[ones] - _LOGS[zeros], level_seen(zeros[-1] + ones[-1])
+    schema = "gate int, i int, mass double, weights double, hits double, total double"
+
+    def run(parts, after):
+        if not parts.num_rows:
+            return pa.table([pa.array([], t) for t in (pa.int32(), pa.int32(), *[pa.float64()] * 4)], names)
+        items, _, _ = _shard(parts, after, alone.value)
+        mass, weights, hits, total = learn(items)
+        wide = np.zeros((GATES, LEVELS))
+        wide[:, :CONTEXTS] = weights * mass[:, None]
+        used = np.flatnonzero(mass > 0)
+        return pa.table(
+            [
+                pa.array(np.repeat(used, LEVELS).astype(np.int32)),
+                pa.array(np.tile(np.arange(LEVELS, dtype=np.int32), len(used))),
+                pa.array(np.repeat(mass[used], LEVELS)),
+                *(pa.array(values[used].ravel()) for values in (wide, hits, total)),
+            ],
+            names,
+        )
 
+    names = [part.split()[0] for part in schema.split(", ")]
+    rows = (
+        parts.groupBy("shard").cogroup(after.groupBy("of")).applyInArrow(run, schema)
+        .groupBy("gate", "i").agg(*(F.sum(c).alias(c) for c in names[2:])).collect()
+    )
+    centre = 1 / (1 + np.exp(-np.arange(LEVELS) * (MOST_ODDS / (LEVELS - 1))))
+    weights, refined = start_weights(), np.tile(centre, (GATES, 1))
+    for row in rows:
+        if row.i < CONTEXTS:
+            weights[row.gate, row.i] = row.weights / row.mass
+        refined[row.gate, row.i] = (row.hits + 8 * centre[row.i]) / (row.total + 8)
+    return Mixer(weights, np.clip(refined, 1e-6, 1 - 1e-6).astype(np.float32))
 
-def gates_of(place: int) -> slice:
-    """The gates of a place in the word, one for each level."""
-    first = 4 * min(place, GATES // 4 - 1)
-    return slice(first, first + 4)
 
+def with_values(parts: DataFrame, after: DataFrame, alone, mixer: Mixer) -> DataFrame:
+    """``chunk``, ``shard`` and the scores of the items the chunk named there, in order."""
 
-def mixed(weights: np.ndarray, odds: np.ndarray, level: np.ndarray) -> np.ndarray:
-    return np.clip((odds * weights.T[:, level]).sum(axis=0), -12, 12)
+    def run(parts, after):
+        out = []
+        if parts.num_rows:
+            items, place, sizes = _shard(parts, after, alone.value)
+            values = item_scores(items, mixer)[place]
+            out = [packed(v) for v in np.split(values, np.cumsum(sizes)[:-1])]
+        return pa.table(
+            [parts["chunk"], parts["shard"], parts["size"], pa.array(out, pa.binary())],
+            ["chunk", "shard", "size", "scores"],
+        )
 
+    return (
+        parts.groupBy("shard").cogroup(after.groupBy("of"))
+        .applyInArrow(run, "chunk long, shard long, size int, scores binary")
+    )
 
-def level_of(log_odds: np.ndarray) -> np.ndarray:
-    return np.rint((log_odds + 12) * ((LEVELS - 1) / 24)).astype(np.int64)
 
+class Speller(NamedTuple):
+    """Counts of bytes by context: sorted codes of 16 + 8 bits an order, and their counts."""
 
-def start_weights() -> np.ndarray:
-    """Before learning: the longest contexts count most, the whole word if it was seen."""
-    weights = np.tile(np.float32([0.0, 0.05, 0.1, 0.85]), (GATES, 1))
-    weights[::4] = [0.1, 0.3, 0.6, 0.0]
-    return weights
+    codes: tuple[np.ndarray, ...]
+    counts: tuple[np.ndarray, ...]
 
 
-def train_mixer(words: DataFrame, tables) -> Mixer:
-    """Weights and refinement learned online over all training words.
+def spell_codes(words: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(code by order, number of the word) of blocks of words, each ended by a blank."""
+    start = 0
+    while start < len(words):
+        end, size = start, 0
+        while end < len(words) and (end == start or size < 2**20):
+            size += len(words[end]) + 1
+            end += 1
+        sizes = np.fromiter((len(w) + 1 for w in words[start:end]), np.int64, end - start)
+        # Three blanks before each word: its first bytes have contexts of their own.
+        padded = np.frombuffer(b"".join(b"   " + w + b" " for w in words[start:end]), np.uint8)
+        of = np.repeat(np.arange(end - start), sizes)
+        at = np.arange(len(of)) + 3 * (of + 1)
+        past = [padded[at - i].astype(np.uint64) for i in range(4)]
+        codes = [past[0], (past[1] << np.uint64(8)) | past[0], (((past[2] << np.uint64(8)) | past[1]) << np.uint64(8)) | past[0]]
+        three = mix64((past[3] << np.uint64(16)) | (past[2] << np.uint64(8)) | past[1]) >> np.uint64(48)
+        codes.append((three << np.uint64(8)) | past[0])
+        yield np.stack(codes), of + start
+        start = end
 
-    Each task learns on its words, one bit position of a batch after the other;
-    the tasks' weights are averaged by how much each saw of a gate, and the
-    refinement counts are added up. Rows per task and gate reach the driver.
-    """
-    shared = tables
+
+def spelling_counts(words: DataFrame) -> DataFrame:
+    """``order``, ``code``, ``n`` over the distinct training words, 2^24 an order at most."""
 
     def run(batches):
-        table = unpacked(shared.value)
-        weights = start_weights()
-        mass, moved = np.zeros(GATES), np.zeros((GATES, CONTEXTS))
-        hits, total = np.zeros((GATES, LEVELS)), np.zeros((GATES, LEVELS))
-        each = np.arange(CONTEXTS)[:, None]
-        steps = 0
-        for batch in batches:
-            contents = texts_of(batch.column("word"))
-            n = np.array(batch.column("n").to_pylist(), np.float64)
-            for at, sizes, letters in word_blocks(contents):
-                count = n[at]
-                for place, live, hashes, now in walk(sizes, letters):
-                    here, now = count[live], now.astype(np.int64)
-                    hashes = hashes & ~np.uint64(255)
-                    gates = gates_of(place)
-                    for shift in range(7, -1, -1):
-                        bit = (now >> shift) & 1
-                        odds, level = fresh_predictions(
-                            table, hashes, (now | 256) >> (shift + 1), bit.astype(np.uint32)
-                        )
-                        log_odds = mixed(weights[gates], odds, level)
-                        error = (bit - 1 / (1 + np.exp(-log_odds))) * here
-                        cell = level * LEVELS + level_of(log_odds)
-                        size = 4 * LEVELS
-                        total[gates] += np.bincount(cell, here, size).reshape(4, -1)
-                        hits[gates] += np.bincount(cell, here * bit, size).reshape(4, -1)
-                        seen = np.bincount(level, here, 4)
-                        # Each weight has its own rate, slower the more it has moved.
-                        slope = np.bincount(
-                            (level * CONTEXTS + each).ravel(), (error * odds).ravel(), 4 * CONTEXTS
-                        ).reshape(4, -1) / np.maximum(seen, 1e-9)[:, None]
-                        moved[gates] += slope * slope
-                        weights[gates] += RATE * slope / np.sqrt(moved[gates] + 1e-4)
-                        mass[gates] += seen
-                        steps += 1
-        if steps:
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(range(GATES), pa.int32()), pa.array(mass),
-                    pa.array(weights.astype(float).tolist(), pa.list_(pa.float64())),
-                    pa.array(hits.tolist(), pa.list_(pa.float64())),
-                    pa.array(total.tolist(), pa.list_(pa.float64())),
-                ],
-                ["gate", "mass", "weights", "hits", "total"],
-            )
+        for table in buffered(batches, "word", 2**20):
+            for codes, _ in spell_codes(texts_of(table["word"])):
+                for order, values in enumerate(codes):
+                    code, n = np.unique(values, return_counts=True)
+                    yield pa.RecordBatch.from_arrays(
+                        [
+                            pa.array(np.full(len(code), order, np.int32)),
+                            pa.array(code.astype(np.int32)), pa.array(n),
+                        ],
+                        ["order", "code", "n"],
+                    )
 
-    schema = (
-        "gate int, mass double, weights array<double>, hits array<double>, total array<double>"
-    )
-    learned = words.where("n > 0").mapInArrow(run, schema)
-    # Per gate, position by position: weighted means and sums, added up by Spark.
-    flat = learned.select(
-        "gate", "mass", F.posexplode(F.arrays_zip("weights", "hits", "total")).alias("i", "v")
+    return (
+        words.where("n > 0 and length(word) > 0").mapInArrow(run, "order int, code int, n long")
+        .groupBy("order", "code").agg(F.sum("n").alias("n"))
     )
-    rows = flat.groupBy("gate", "i").agg(
-        F.sum("mass").alias("mass"),
-        F.sum(F.col("mass") * F.col("v.weights")).alias("weights"),
-        F.sum("v.hits").alias("hits"),
-        F.sum("v.total").alias("total"),
-    ).collect()
-    weights, refined = start_weights(), np.zeros((GATES, LEVELS))
-    centre = 1 / (1 + np.exp(-(np.arange(LEVELS) * (24 / (LEVELS - 1)) - 12)))
-    refined[:] = centre
-    for row in rows:
-        if row.i < CONTEXTS and row.mass > 0:
-            weights[row.gate, row.i] = row.weights / row.mass
-        refined[row.gate, row.i] = (row.hits + 8 * centre[row.i]) / (row.total + 8)
-    return Mixer(weights, refined.astype(np.float32))
 
 
-def word_scores(words: list[bytes], tables: Tables, mixer: Mixer) -> np.ndarray:
-    """log10 probability of each word with its end."""
+def speller_of(counts: DataFrame) -> Speller:
+    table = counts.toArrow().sort_by([("order", "ascending"), ("code", "ascending")])
+    order, code, n = (table[c].to_numpy() for c in ("order", "code", "n"))
+    parts = [order == i for i in range(len(SPELL_ORDERS) + 1)]
+    return Speller(tuple(code[p] for p in parts), tuple(n[p].astype(np.float64) for p in parts))
+
+
+def spelled(words: list[bytes], speller: Speller) -> np.ndarray:
+    """log10 probability of each word with its end; longer contexts fall back to shorter ones.
+
+    A context that was followed by d different bytes leaves them d parts of
+    its count for the shorter context.
+    """
+    held, kinds = [], []
+    for codes, counts in zip(speller.codes, speller.counts):
+        held.append(np.bincount(codes >> 8, counts, 1 << 16))
+        kinds.append(np.bincount(codes >> 8, minlength=1 << 16))
     scores = np.zeros(len(words))
-    for at, sizes, letters in word_blocks(words):
-        total = np.zeros(len(at))
-        for place, live, hashes, now in walk(sizes, letters):
-            now, hashes = now.astype(np.int64), hashes & ~np.uint64(255)
-            weights, refined = mixer.weights[gates_of(place)], mixer.refined[gates_of(place)]
-            for shift in range(7, -1, -1):
-                odds, level = predictions(tables, hashes, (now | 256) >> (shift + 1))
-                log_odds = mixed(weights, odds, level)
-                one = 0.5 / (1 + np.exp(-log_odds)) + 0.5 * refined[level, level_of(log_odds)]
-                one = np.clip(one, 1e-5, 1 - 1e-5)
-                total[live] += np.log10(np.where((now >> shift) & 1, one, 1 - one))
-        scores[at] = total
+    for codes, of in spell_codes(words):
+        chance = np.full(len(of), 1 / 256)
+        for order, code in enumerate(codes.astype(np.int64)):
+            known, counts = speller.codes[order], speller.counts[order]
+            if len(known):
+                at = np.minimum(np.searchsorted(known, code), len(known) - 1)
+                n = np.where(known[at] == code, counts[at], 0.0)
+                total, d = held[order][code >> 8], kinds[order][code >> 8]
+                chance = np.where(total > 0, (n + d * chance) / np.maximum(total + d, 1), chance)
+        scores += np.bincount(of, np.log10(chance), len(words))
     return scores
 
 
-def with_scores(words: DataFrame, tables, mixer: Mixer) -> DataFrame:
-    shared = tables
-
-    weights, refined = mixer
+def word_scores(words: DataFrame, alone, speller, escape: float) -> DataFrame:
+    """``score``: a known word's share of its code, an unseen word's escape and spelling."""
 
     def run(batches):
-        tables_ = unpacked(shared.value)
         for batch in batches:
-            if batch.num_rows:
-                words = texts_of(batch.column("word"))
-                scores = word_scores(words, tables_, Mixer(weights, refined))
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column("word"), batch.column("n"), pa.array(scores)],
-                    ["word", "n", "score"],
-                )
+            contents, n = texts_of(batch.column("word")), batch.column("n").to_numpy()
+            hashes = np.fromiter(map(word_hash, contents), np.uint64, len(contents))
+            code = codes_of(hashes)
+            held = alone.value[code + 1] - alone.value[code]
+            score = np.log10(np.maximum(n, 1) / np.maximum(held, 1)) + math.log10(1 - escape)
+            unseen = np.flatnonzero(n == 0)
+            score[unseen] = math.log10(escape) + spelled([contents[i] for i in unseen], speller.value)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("word"), batch.column("n"), pa.array(score)], ["word", "n", "score"]
+            )
 
     return words.mapInArrow(run, "word binary, n long, score double")
 
 
-def refine(scored: DataFrame, tokens: int) -> DataFrame:
-    """``score`` of words with the mixed probability as the prior of their count.
-
-    A word of count n gets (n + weight * p) / (tokens + weight): the scores
-    still add up to one over all words.
-    """
-    prior = F.pow(F.lit(10.0), "score")
-    n = F.col("n").cast("double")
-    # One occurrence left out: what its word would have got without it.
-    fits = scored.where("n > 0").agg(
-        *(
-            F.sum(n * F.log10(n - 1 + weight * F.greatest(prior, F.lit(1e-300)))).alias(str(i))
-            for i, weight in enumerate(PRIOR_WEIGHTS)
-        )
-    ).first()
-    gains = [
-        (total or 0.0) - tokens * math.log10(max(tokens - 1, 0) + weight)
-        for total, weight in zip(fits, PRIOR_WEIGHTS)
-    ]
-    weight = PRIOR_WEIGHTS[int(np.argmax(gains))]
-    unseen = F.col("score") + math.log10(weight)
-    seen = F.log10(n + weight * prior)
-    refined = F.when(F.col("n") > 0, seen).otherwise(unseen) - math.log10(tokens + weight)
-    return scored.select("word", "n", refined.alias("score"))
-
-
-def least_prefix_count(words: DataFrame) -> int:
-    """The frequency from which words so far fit into half of the slots."""
-    step = F.floor(F.log2("n")).cast("int")
-    sizes = (
-        words.where("n > 0")
-        .groupBy(step.alias("step"))
-        .agg(F.sum((F.length("word") + 1) * 8).alias("nodes"))
-        .orderBy(F.desc("step"))
-        .collect()  # 63 rows at most
-    )
-    used, least = 0, 1 << 62
-    for row in sizes:
-        used += row.nodes
-        if used > 1 << (SLOT_BITS - 1):
-            break
-        least = 1 << row.step
-    return least
-
-
 def score_documents(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """One row per row of ``docs``, scored by a model of its training rows.
 
     id, ``held_out``, ``n_tokens``, ``n_known``, ``train_tokens``,
     ``base_score`` (words alone, add-one), ``score`` (log10 probability) and
     ``bits_per_byte``, of the text's bytes and its end. NULL and empty texts
-    are an end alone. Repeated rows are scored, and counted, each. An empty
-    table gives an empty result; without training rows the model predicts
-    every bit evenly.
+    are an end alone; texts of any length are scored whole, at every word. A
+    NULL id counts as empty text when folds are dealt. Repeated rows, and rows
+    that share an id, are scored, and counted, each. Nothing is ranked, so ties
+    need no rule. Further columns are not read and may have any name. An empty
+    table gives an empty result; without training rows every word is spelled,
+    all bytes being alike.
     """
     spark = docs.sparkSession
-    parts = stored(chunks(docs, text, doc_id), "lm-chunks")
+    size = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
+    number = int(size // SHARD_BYTES) + 1
+    parts = stored(chunks(docs, text, doc_id, number), "lm-chunks")
     lists = parts.where("word is not null").select("chunk", "at", "word", "n")
     words = stored(lists.groupBy("word").agg(F.sum("n").alias("n")), "lm-words")
     totals = words.agg(
         F.coalesce(F.sum("n"), F.lit(0)).alias("n"),
         F.count(F.when(F.col("n") > 0, 1)).alias("v"),
+        F.count(F.when(F.col("n") == 1, 1)).alias("once"),
     ).first()
-    tables = gather_tables(context_counts(words, least_prefix_count(words)))
-    shared = spark.sparkContext.broadcast(tables.packed)  # 4 bytes a slot, whatever the input
-    mixer = train_mixer(words, shared)
-    scored = stored(with_scores(words, shared, mixer), "lm-scores")
-    refined = refine(scored, totals.n)
-    values = lists.select("chunk", "at", "word").join(refined, "word").select(
+    # 2^20 codes, whatever the input.
+    code = F.xxhash64("word").bitwiseAND(F.lit(CODES - 1)).alias("code")
+    by_code = words.where("n > 0").groupBy(code).agg(F.sum("n").cast("double").alias("n")).toArrow()
+    counts = np.zeros(CODES)
+    counts[by_code["code"].to_numpy()] = by_code["n"].to_numpy()
+    alone = spark.sparkContext.broadcast(np.r_[0.0, np.cumsum(counts)])
+    speller = spark.sparkContext.broadcast(speller_of(spelling_counts(words)))
+
+    blobs = parts.where("blob is not null").select("chunk", "blob", "hashes", "items")
+    total = blobs.agg(F.sum("items")).first()[0] or 1
+    shards = shards_of(parts.where("last is not null"), number, total)
+    named = stored(dealt(blobs, shards), "lm-items")
+    items = named.where("shard is not null").select("shard", "chunk", "size", "keys", "n")
+    after = after_hot(named.where("last is not null"), shards)
+    mixer = train_mixer(items, after, alone)
+    values = with_values(items, after, alone, mixer)
+    escape = (totals.once + 0.5) / (totals.n + 1)
+    scored = word_scores(words, alone, speller, escape)
+    of_words = lists.select("chunk", "at", "word").join(scored, "word").select(
         F.col("chunk").alias("of"), "at", "n", "score"
     )
     kind = docs.schema[doc_id].dataType
@@ -546,38 +704,42 @@ def score_documents(docs: DataFrame, text: str = "text", doc_id: str = "doc_id")
     )
     even = math.log10(totals.n + totals.v + 1)
 
-    def run(blobs, values):
-        n = np.zeros(values.num_rows, np.int64)
-        score = np.zeros(values.num_rows)
-        at = values["at"].to_numpy()
-        n[at], score[at] = values["n"].to_numpy(), values["score"].to_numpy()
+    def run(chunk, of_words):
+        n = np.zeros(of_words.num_rows, np.int64)
+        word = np.zeros(of_words.num_rows)
+        at = of_words["at"].to_numpy()
+        n[at], word[at] = of_words["n"].to_numpy(), of_words["score"].to_numpy()
         base = np.log10(n + 1) - even
-        out = []
-        for blob in blobs["blob"].to_pylist():
-            batch = pa.ipc.open_stream(blob).read_all().combine_chunks().to_batches()[0]
-            lists = batch.column("words")
-            offsets = lists.offsets.to_numpy()
-            ids = lists.values.to_numpy()
-            sizes = np.diff(offsets)
-            # Every document has at least its end, so no sum is empty.
-            sums = [np.add.reduceat(v[ids], offsets[:-1]) for v in (base, score)]
-            known = np.add.reduceat((n > 0).astype(np.int64)[ids], offsets[:-1])
-            bits = -sums[1] / math.log10(2) / (batch.column("size").to_numpy() + 1)
-            out.append(
-                pa.table(
-                    [
-                        batch.column("id"), batch.column("held"), pa.array(sizes, pa.int64()),
-                        pa.array(known), pa.array(sums[0]), pa.array(sums[1]), pa.array(bits),
-                    ],
-                    schema.names,
-                )
-            )
-        return pa.concat_tables(out)
+        found, row = [], None
+        for part in chunk.to_pylist():
+            if part["blob"] is not None:
+                row = part
+            else:
+                found.append((part["shard"], unpacked(part["scores"], part["size"], np.float32)))
+        batch, keys, place = chunk_items(row["blob"], row["hashes"])
+        item = np.empty(len(keys))
+        item[np.argsort(shards.of(keys), kind="stable")] = np.concatenate(
+            [v for _, v in sorted(found, key=lambda f: f[0])]
+        )
+        ids = batch.column("words").values.to_numpy()
+        offsets = batch.column("words").offsets.to_numpy()
+        score = word[ids] + np.where(n[ids] > 0, item[place], 0.0)
+        # Every document has at least its end, so no sum is empty.
+        sums = [np.add.reduceat(v, offsets[:-1]) for v in (base[ids], score)]
+        known = np.add.reduceat((n > 0).astype(np.int64)[ids], offsets[:-1])
+        bits = -sums[1] / math.log10(2) / (batch.column("size").to_numpy() + 1)
+        return pa.table(
+            [
+                batch.column("id"), batch.column("held"), pa.array(np.diff(offsets), pa.int64()),
+                pa.array(known), pa.array(sums[0]), pa.array(sums[1]), pa.array(bits),
+            ],
+            schema.names,
+        )
 
-    blobs = parts.where("blob is not null").select("chunk", "blob")
+    whole = blobs.select("chunk", "blob", "hashes").unionByName(values, allowMissingColumns=True)
     return (
-        blobs.groupBy("chunk")
-        .cogroup(values.groupBy("of"))
+        whole.groupBy("chunk")
+        .cogroup(of_words.groupBy("of"))
         .applyInArrow(run, schema)
         .select(
             F.col("id").alias(doc_id), "held_out", "n_tokens", "n_known",
