@@ -17,9 +17,10 @@ last three bytes, with the distinct training words as examples.
 Spark does it in this way. Documents travel as word numbers in chunks. A chunk
 names its distinct (two previous words, code) items in order of their hash and
 deals them, as small sorted blocks, to shards by the previous word; so all
-counts of a context meet, and each distinct item of a shard is worked out once
-and its value sent back to the chunks that named it. The number of shards
-follows the size of the texts and nothing is left out. A previous word with
+counts of a context meet. A shard learns its weights on its training items,
+works out each distinct item once, and sends its value back to the chunks that
+named it. The number of shards follows the size of the texts and nothing is
+left out. A previous word with
 more items than a shard should hold is dealt over several shards by the word
 before it; those get its counts by code (2^20 at most) from an aggregate.
 """
@@ -41,9 +42,9 @@ from pyspark.sql import types as T
 from roundledger.llm.shared import buffered, fold, mix64, stored, texts_of
 
 FOLDS, HELD_OUT = 7, 2
-CHUNK_BYTES = 4 * 2**20
+CHUNK_BYTES = 8 * 2**20
 # Texts of so many bytes name the items of one shard.
-SHARD_BYTES = 8 * 2**20
+SHARD_BYTES = 6 * 2**20
 # An item: hashes of the previous word and of the one before it, and a code.
 LAST_BITS, BEFORE_BITS, CODE_BITS = 26, 18, 20
 CODES = 1 << CODE_BITS
@@ -70,6 +71,10 @@ def codes_of(hashes: np.ndarray) -> np.ndarray:
     return (hashes & np.uint64(CODES - 1)).astype(np.int64)
 
 
+def last_word(hashes: np.ndarray) -> np.ndarray:
+    return mix64(hashes) >> np.uint64(64 - LAST_BITS)
+
+
 def item_keys(ids: np.ndarray, starts: np.ndarray, hashes: np.ndarray) -> np.ndarray:
     """The item of each token of a chunk, from word numbers and text starts."""
     now = hashes[ids]
@@ -79,8 +84,8 @@ def item_keys(ids: np.ndarray, starts: np.ndarray, hashes: np.ndarray) -> np.nda
     before = np.empty_like(now)
     before[1:] = last[:-1]
     before[starts] = START
+    high = last_word(last)
     with np.errstate(over="ignore"):
-        high = mix64(last) >> np.uint64(64 - LAST_BITS)
         low = mix64(before * ODD + np.uint64(1)) >> np.uint64(64 - BEFORE_BITS)
     return (
         (high << np.uint64(BEFORE_BITS + CODE_BITS))
@@ -153,11 +158,17 @@ def start_weights() -> np.ndarray:
 
 
 class Bits(NamedTuple):
-    """One place in the code of the rows for which that bit is open."""
+    """One place in the code of the rows for which that bit is open.
+
+    ``fresh`` is what training rows show with one occurrence taken off.
+    """
 
+    place: int
     rows: np.ndarray
     gate: np.ndarray
     odds: np.ndarray  # rows x contexts: log-odds of the bit that came
+    fresh_gate: np.ndarray
+    fresh_odds: np.ndarray
 
 
 class Items:
@@ -203,8 +214,8 @@ class Items:
         result[self.singles] = values[len(self.open) + self.shared]
         return result
 
-    def bits(self, fresh: bool) -> Iterator[tuple[int, Bits]]:
-        """The open bits place by place; ``fresh``: each occurrence taken off its counts."""
+    def bits(self) -> Iterator[Bits]:
+        """The open bits, place by place."""
         code = (self.pairs & np.uint64(CODES - 1)).astype(np.int64)
 
         def sums(keys, n, depth):
@@ -222,31 +233,32 @@ class Items:
             one = sums(self.pairs, self.pair_n, depth) if self.after is None else by_code(self.after, depth)
             return by_code(self.alone, depth), one, np.r_[sums(self.keys, self.n, depth), self.constant]
 
-        off = 1.0 if fresh else 0.0
         here = totals(0)
         for place in range(CODE_BITS):
             below = totals(place + 1)
-            live = (here[0] > below[0])[self.row_pair]
-            if fresh:
-                live &= self.weight > 0
-            rows = np.flatnonzero(live)
+            rows = np.flatnonzero((here[0] > below[0])[self.row_pair])
             pair = self.row_pair[rows]
-            odds = np.empty((len(rows), CONTEXTS), np.float32)
+            odds, fresh = (np.empty((len(rows), CONTEXTS), np.float32) for _ in range(2))
             seen = []
             for i, at in enumerate((pair, pair, rows)):
-                whole, bit = here[i][at], below[i][at]
-                seen.append(whole - off)
-                odds[:, i] = np.log(np.maximum(bit - off, 0) + ADDED[i]) - np.log(whole - bit + ADDED[i])
-            two, one = seen[2], seen[1]
-            gate = (
-                place * 16
-                + ((two > 0).astype(np.int16) + (two > 1) + (two > 3)) * 4
-                + ((one > 0).astype(np.int16) + (one > 3) + (one > 31))
+                whole, bit = (n[i][at].astype(np.float32) for n in (here, below))
+                other = np.log(whole - bit + np.float32(ADDED[i]))
+                odds[:, i] = np.log(bit + np.float32(ADDED[i])) - other
+                fresh[:, i] = np.log(np.maximum(bit - 1, 0) + np.float32(ADDED[i])) - other
+                seen.append(whole)
+            yield Bits(
+                place, rows, gates_of(place, seen[2], seen[1]), odds,
+                gates_of(place, seen[2] - 1, seen[1] - 1), fresh,
             )
-            yield place, Bits(rows, gate, odds)
             here = below
 
 
+def gates_of(place: int, two: np.ndarray, one: np.ndarray) -> np.ndarray:
+    """The gate of a place and of how often both word contexts were seen."""
+    level = ((two > 0).astype(np.int64) + (two > 1) + (two > 3)) * 4
+    return level + (one > 0) + (one > 3) + (one > 31) + place * 16
+
+
 def level_of(log_odds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(level below, share of the level above) of the size of log-odds."""
     place = np.abs(log_odds) * ((LEVELS - 1) / MOST_ODDS)
@@ -254,54 +266,69 @@ def level_of(log_odds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return level, place - level
 
 
-def mixed(weights: np.ndarray, bits: Bits) -> np.ndarray:
-    return np.clip((weights[bits.gate] * bits.odds).sum(axis=1), -MOST_ODDS, MOST_ODDS)
-
-
-def learn(items: Items) -> tuple[np.ndarray, ...]:
-    """(mass, weights, hits, total) by gate after all training items, bit by bit."""
-    weights = start_weights()
-    mass, moved = np.zeros(GATES), np.zeros((GATES, CONTEXTS))
-    hits, total = np.zeros((GATES, LEVELS)), np.zeros((GATES, LEVELS))
-    for place, bits in items.bits(fresh=True):
-        start, size = 0, FIRST_BATCH
-        while start < len(bits.rows):
-            part = Bits(*(values[start : start + size] for values in bits))
-            start, size = start + size, min(BATCH, int(size * GROWTH) + 1)
-            n = items.weight[part.rows]
-            log_odds = mixed(weights, part)
-            gate = part.gate - place * 16
-            gates = slice(place * 16, place * 16 + 16)
-            level, above = level_of(log_odds)
-            came = 0.5 + 0.5 * np.sign(log_odds)
-            for step, part_n in ((0, n * (1 - above)), (1, n * above)):
-                cell = gate * np.int64(LEVELS) + level + step
-                total[gates] += np.bincount(cell, part_n, 16 * LEVELS).reshape(16, -1)
-                hits[gates] += np.bincount(cell, part_n * came, 16 * LEVELS).reshape(16, -1)
-            error = n / (1 + np.exp(log_odds))
-            seen = np.bincount(gate, n, 16)
-            slope = np.stack(
-                [np.bincount(gate, error * part.odds[:, i], 16) for i in range(CONTEXTS)], axis=1
-            ) / np.maximum(seen, 1e-9)[:, None]
-            # Each weight has its own rate, slower the more it has moved.
-            moved[gates] += slope * slope
-            weights[gates] += RATE * slope / np.sqrt(moved[gates] + 1e-4)
-            mass[gates] += seen
-    return mass, weights, hits, total
-
-
-def item_scores(items: Items, mixer: Mixer) -> np.ndarray:
-    """log10 probability of each item's code in its contexts."""
+def mixed(weights: np.ndarray, gate: np.ndarray, odds: np.ndarray) -> np.ndarray:
+    log_odds = weights[gate, 0] * odds[:, 0]
+    for i in range(1, CONTEXTS):
+        log_odds += weights[gate, i] * odds[:, i]
+    return np.clip(log_odds, -MOST_ODDS, MOST_ODDS)
+
+
+def learn(weights: np.ndarray, bits: Bits, times: np.ndarray) -> np.ndarray:
+    """Moves the weights of a place against the errors; its refinement, by gate and level."""
+    gates = slice(bits.place * 16, bits.place * 16 + 16)
+    moved = np.zeros((16, CONTEXTS))
+    hits, total = np.zeros(16 * LEVELS), np.zeros(16 * LEVELS)
+    trained = np.flatnonzero(times > 0)
+    start, size = 0, FIRST_BATCH
+    while start < len(trained):
+        part = trained[start : start + size]
+        start, size = start + size, min(BATCH, int(size * GROWTH) + 1)
+        n, odds, gate = times[part], bits.fresh_odds[part], bits.fresh_gate[part]
+        log_odds = mixed(weights, gate, odds)
+        gate = gate - bits.place * 16
+        level, above = level_of(log_odds)
+        came = 0.5 + 0.5 * np.sign(log_odds)
+        for step, part_n in ((0, n * (1 - above)), (1, n * above)):
+            cell = gate * LEVELS + level + step
+            total += np.bincount(cell, part_n, 16 * LEVELS)
+            hits += np.bincount(cell, part_n * came, 16 * LEVELS)
+        error = n / (1 + np.exp(log_odds))
+        seen = np.bincount(gate, n, 16)
+        slope = np.stack(
+            [np.bincount(gate, error * odds[:, i], 16) for i in range(CONTEXTS)], axis=1
+        ) / np.maximum(seen, 1e-9)[:, None]
+        # Each weight has its own rate, slower the more it has moved.
+        moved += slope * slope
+        weights[gates] += RATE * slope / np.sqrt(moved + 1e-4)
+    centre = 1 / (1 + np.exp(-np.arange(LEVELS) * (MOST_ODDS / (LEVELS - 1))))
+    refined = (hits.reshape(16, -1) + 8 * centre) / (total.reshape(16, -1) + 8)
+    return np.clip(refined, 1e-6, 1 - 1e-6)
+
+
+def item_scores(items: Items, mixer: Mixer | None = None) -> np.ndarray:
+    """log10 probability of each item's code in its contexts.
+
+    Place by place, weights and refinement are learned online on the training
+    items, unless a ``mixer`` is given; then all items are scored.
+    """
     scores = np.zeros(len(items.weight))
-    for _, bits in items.bits(fresh=False):
+    weights = start_weights() if mixer is None else mixer.weights
+    for bits in items.bits():
+        gates = slice(bits.place * 16, bits.place * 16 + 16)
+        if mixer is None:
+            refined = learn(weights, bits, items.weight[bits.rows])
+        else:
+            refined = mixer.refined[gates]
         for start in range(0, len(bits.rows), 8 * BATCH):
-            part = Bits(*(values[start : start + 8 * BATCH] for values in bits))
-            log_odds = mixed(mixer.weights, part)
+            part = slice(start, start + 8 * BATCH)
+            gate = bits.gate[part]
+            log_odds = mixed(weights, gate, bits.odds[part])
             level, above = level_of(log_odds)
-            low, high = mixer.refined[part.gate, level], mixer.refined[part.gate, level + 1]
+            gate = gate - bits.place * 16
+            low, high = refined[gate, level], refined[gate, level + 1]
             likelier = low + above * (high - low)
-            refined = np.where(log_odds > 0, likelier, 1 - likelier)
-            scores[part.rows] += np.log10(0.5 / (1 + np.exp(-log_odds)) + 0.5 * refined)
+            likelier = np.where(log_odds > 0, likelier, 1 - likelier)
+            scores[bits.rows[part]] += np.log10(0.5 / (1 + np.exp(-log_odds)) + 0.5 * likelier)
     return items.of_items(scores.astype(np.float32))
 
 
@@ -310,7 +337,7 @@ def chunks(docs: DataFrame, text: str, doc_id: str, shards: int) -> DataFrame:
 
     A chunk is a bounded run of one task's rows. ``n`` counts a word in the
     chunk's training documents; the empty word is the end of a text. ``last``
-    and ``items`` name previous words with many distinct items.
+    and ``items`` name previous words of many tokens.
     """
     schema = (
         "chunk long, blob binary, hashes binary, at int, word binary, n long, last long, items long"
@@ -358,12 +385,15 @@ def chunks(docs: DataFrame, text: str, doc_id: str, shards: int) -> DataFrame:
                 writer.write_batch(batch)
             words = list(places)
             hashes = np.fromiter(map(word_hash, words), np.uint64, len(words))
-            keys = np.unique(item_keys(flat, offsets[:-1], hashes))
-            last, items = np.unique(last_of(keys), return_counts=True)
-            often = items * (2 * shards) >= len(keys)
+            # Every token but a text's end stands before another; a text starts after none.
+            before = np.bincount(flat, minlength=len(places))
+            before[0] = 0
+            last = np.r_[last_word(hashes), last_word(np.uint64([START]))].astype(np.int64)
+            items = np.r_[before, len(contents)]
+            often = items * (2 * shards) >= len(flat)
             yield rows(
                 1, chunk=[chunk], blob=[sink.getvalue().to_pybytes()], hashes=[hashes.tobytes()],
-                items=[len(keys)],
+                items=[len(flat)],
             )
             if often.any():
                 yield rows(often.sum(), chunk=[chunk] * often.sum(), last=last[often], items=items[often])
@@ -383,21 +413,22 @@ def chunks(docs: DataFrame, text: str, doc_id: str, shards: int) -> DataFrame:
     return source.mapInArrow(run, schema)
 
 
-def chunk_items(blob: bytes, hashes: bytes) -> tuple[pa.RecordBatch, np.ndarray, np.ndarray]:
-    """A chunk's documents, its distinct items in order, and each token's place there."""
+def chunk_tokens(blob: bytes, hashes: bytes) -> tuple[pa.RecordBatch, np.ndarray]:
+    """A chunk's documents and the item of each of its tokens."""
     batch = pa.ipc.open_stream(blob).read_all().combine_chunks().to_batches()[0]
     words = batch.column("words")
-    keys, place = np.unique(
-        item_keys(
-            words.values.to_numpy(), words.offsets.to_numpy()[:-1], np.frombuffer(hashes, np.uint64)
-        ),
-        return_inverse=True,
-    )
-    return batch, keys, place
+    starts = words.offsets.to_numpy()[:-1]
+    return batch, item_keys(words.values.to_numpy(), starts, np.frombuffer(hashes, np.uint64))
+
+
+def chunk_items(blob: bytes, hashes: bytes) -> tuple[pa.RecordBatch, np.ndarray, np.ndarray]:
+    """A chunk's documents, its distinct items in order, and each token's place there."""
+    batch, keys = chunk_tokens(blob, hashes)
+    return batch, *np.unique(keys, return_inverse=True)
 
 
 def shards_of(busy: DataFrame, number: int, total: int) -> Shards:
-    """Previous words with the items of two shards or more; at most half as many as shards."""
+    """Previous words with the tokens of two shards or more; at most half as many as shards."""
     rows = (
         busy.groupBy("last").agg(F.sum("items").alias("items"))
         .where(F.col("items") * number > 2 * total).orderBy("last").collect()
@@ -410,51 +441,61 @@ def shards_of(busy: DataFrame, number: int, total: int) -> Shards:
 
 
 def dealt(blobs: DataFrame, shards: Shards) -> DataFrame:
-    """Each chunk's items by shard, with their training counts; counts of hot words by code."""
-    schema = "shard long, chunk long, size int, keys binary, n binary, last long, code int, count long"
+    """Each chunk's items by shard, with their training counts."""
+    schema = "shard long, chunk long, size int, keys binary, n binary"
 
     def run(batches):
         for batch in batches:
             for row in batch.to_pylist():
                 docs, keys, place = chunk_items(row["blob"], row["hashes"])
-                sizes = np.diff(docs.column("words").offsets.to_numpy())
-                trained = np.repeat(~np.array(docs.column("held").to_pylist(), bool), sizes)
-                n = np.bincount(place[trained], minlength=len(keys)).astype(np.uint32)
+                n = np.bincount(place[trained_tokens(docs)], minlength=len(keys)).astype(np.uint32)
                 shard = shards.of(keys)
                 order = np.argsort(shard, kind="stable")
                 keys, n, shard = keys[order], n[order], shard[order]
                 cuts = np.r_[np.flatnonzero(np.r_[True, shard[1:] != shard[:-1]]), len(shard)]
-                out = [
+                columns = zip(*(
                     (int(shard[a]), row["chunk"], int(b - a), packed_keys(keys[a:b]), packed(n[a:b]))
                     for a, b in zip(cuts[:-1], cuts[1:])
-                ]
-                columns = list(zip(*out))
+                ))
                 kinds = (pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary())
-                none = [pa.nulls(len(out), kind) for kind in (pa.int64(), pa.int32(), pa.int64())]
-                names = [part.split()[0] for part in schema.split(", ")]
                 yield pa.RecordBatch.from_arrays(
-                    [*(pa.array(c, kind) for c, kind in zip(columns, kinds)), *none], names
+                    [pa.array(c, kind) for c, kind in zip(columns, kinds)],
+                    ["shard", "chunk", "size", "keys", "n"],
                 )
-                own = (shard >= shards.number) & (n > 0)
-                if own.any():
-                    pairs = (last_of(keys[own]) << CODE_BITS) | (keys[own] & np.uint64(CODES - 1)).astype(np.int64)
-                    pairs, of = np.unique(pairs, return_inverse=True)
-                    counts = np.bincount(of, n[own]).astype(np.int64)
-                    for start in range(0, len(pairs), 100_000):
-                        some = slice(start, start + 100_000)
-                        none = [pa.nulls(len(pairs[some]), kind) for kind in kinds]
-                        yield pa.RecordBatch.from_arrays(
-                            [
-                                *none, pa.array(pairs[some] >> CODE_BITS),
-                                pa.array((pairs[some] & (CODES - 1)).astype(np.int32)),
-                                pa.array(counts[some]),
-                            ],
-                            names,
-                        )
 
     return blobs.mapInArrow(run, schema)
 
 
+def trained_tokens(docs: pa.RecordBatch) -> np.ndarray:
+    sizes = np.diff(docs.column("words").offsets.to_numpy())
+    return np.repeat(~np.array(docs.column("held").to_pylist(), bool), sizes)
+
+
+def hot_counts(blobs: DataFrame, shards: Shards) -> DataFrame:
+    """``last``, ``code``, ``count`` of training tokens after frequent previous words, by chunk."""
+
+    def run(batches):
+        for batch in batches:
+            for row in batch.to_pylist():
+                docs, keys = chunk_tokens(row["blob"], row["hashes"])
+                keys = keys[trained_tokens(docs)]
+                keys = keys[np.isin(last_of(keys), shards.hot)]
+                pairs = (last_of(keys) << CODE_BITS) | codes_of(keys)
+                pairs, counts = np.unique(pairs, return_counts=True)
+                for start in range(0, len(pairs), 100_000):
+                    some = slice(start, start + 100_000)
+                    yield pa.RecordBatch.from_arrays(
+                        [
+                            pa.array(pairs[some] >> CODE_BITS),
+                            pa.array((pairs[some] & (CODES - 1)).astype(np.int32)),
+                            pa.array(counts[some].astype(np.int64)),
+                        ],
+                        ["last", "code", "count"],
+                    )
+
+    return blobs.mapInArrow(run, "last long, code int, count long")
+
+
 def after_hot(counts: DataFrame, shards: Shards) -> DataFrame:
     """``shard`` and the ``codes`` and ``counts`` after its frequent previous word."""
     spark = counts.sparkSession
@@ -486,48 +527,7 @@ def _shard(parts: pa.Table, after: pa.Table, alone: np.ndarray) -> tuple[Items,
     return Items(keys, np.bincount(place, n, len(keys)), alone, running), place, sizes
 
 
-def train_mixer(parts: DataFrame, after: DataFrame, alone) -> Mixer:
-    """Weights and refinement learned online over all training items.
-
-    Each shard learns on its items, one place of the code after the other; the
-    shards' weights are averaged by how much each saw of a gate, and the
-    refinement counts are added up. One row per gate and level reaches the driver.
-    """
-    schema = "gate int, i int, mass double, weights double, hits double, total double"
-
-    def run(parts, after):
-        if not parts.num_rows:
-            return pa.table([pa.array([], t) for t in (pa.int32(), pa.int32(), *[pa.float64()] * 4)], names)
-        items, _, _ = _shard(parts, after, alone.value)
-        mass, weights, hits, total = learn(items)
-        wide = np.zeros((GATES, LEVELS))
-        wide[:, :CONTEXTS] = weights * mass[:, None]
-        used = np.flatnonzero(mass > 0)
-        return pa.table(
-            [
-                pa.array(np.repeat(used, LEVELS).astype(np.int32)),
-                pa.array(np.tile(np.arange(LEVELS, dtype=np.int32), len(used))),
-                pa.array(np.repeat(mass[used], LEVELS)),
-                *(pa.array(values[used].ravel()) for values in (wide, hits, total)),
-            ],
-            names,
-        )
-
-    names = [part.split()[0] for part in schema.split(", ")]
-    rows = (
-        parts.groupBy("shard").cogroup(after.groupBy("of")).applyInArrow(run, schema)
-        .groupBy("gate", "i").agg(*(F.sum(c).alias(c) for c in names[2:])).collect()
-    )
-    centre = 1 / (1 + np.exp(-np.arange(LEVELS) * (MOST_ODDS / (LEVELS - 1))))
-    weights, refined = start_weights(), np.tile(centre, (GATES, 1))
-    for row in rows:
-        if row.i < CONTEXTS:
-            weights[row.gate, row.i] = row.weights / row.mass
-        refined[row.gate, row.i] = (row.hits + 8 * centre[row.i]) / (row.total + 8)
-    return Mixer(weights, np.clip(refined, 1e-6, 1 - 1e-6).astype(np.float32))
-
-
-def with_values(parts: DataFrame, after: DataFrame, alone, mixer: Mixer) -> DataFrame:
+def with_values(parts: DataFrame, after: DataFrame, alone, mixer: Mixer | None) -> DataFrame:
     """``chunk``, ``shard`` and the scores of the items the chunk named there, in order."""
 
     def run(parts, after):
@@ -647,7 +647,9 @@ def word_scores(words: DataFrame, alone, speller, escape: float) -> DataFrame:
     return words.mapInArrow(run, "word binary, n long, score double")
 
 
-def score_documents(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+def score_documents(
+    docs: DataFrame, text: str = "text", doc_id: str = "doc_id", mixer: Mixer | None = None
+) -> DataFrame:
     """One row per row of ``docs``, scored by a model of its training rows.
 
     id, ``held_out``, ``n_tokens``, ``n_known``, ``train_tokens``,
@@ -658,7 +660,7 @@ def score_documents(docs: DataFrame, text: str = "text", doc_id: str = "doc_id")
     that share an id, are scored, and counted, each. Nothing is ranked, so ties
     need no rule. Further columns are not read and may have any name. An empty
     table gives an empty result; without training rows every word is spelled,
-    all bytes being alike.
+    all bytes being alike. With a ``mixer`` no weights are learned.
     """
     spark = docs.sparkSession
     size = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
@@ -682,15 +684,14 @@ def score_documents(docs: DataFrame, text: str = "text", doc_id: str = "doc_id")
     blobs = parts.where("blob is not null").select("chunk", "blob", "hashes", "items")
     total = blobs.agg(F.sum("items")).first()[0] or 1
     shards = shards_of(parts.where("last is not null"), number, total)
-    named = stored(dealt(blobs, shards), "lm-items")
-    items = named.where("shard is not null").select("shard", "chunk", "size", "keys", "n")
-    after = after_hot(named.where("last is not null"), shards)
-    mixer = train_mixer(items, after, alone)
+    items = dealt(blobs, shards)
+    # Without frequent words no chunk is read for their counts.
+    after = after_hot(hot_counts(blobs if len(shards.hot) else blobs.limit(0), shards), shards)
     values = with_values(items, after, alone, mixer)
     escape = (totals.once + 0.5) / (totals.n + 1)
     scored = word_scores(words, alone, speller, escape)
     of_words = lists.select("chunk", "at", "word").join(scored, "word").select(
-        F.col("chunk").alias("of"), "at", "n", "score"
+        F.col("chunk").alias("of"), "at", "n", F.col("score").cast("float").alias("score")
     )
     kind = docs.schema[doc_id].dataType
     schema = (

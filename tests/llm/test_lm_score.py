@@ -137,7 +137,6 @@ def brute_scores(rows, mixer):
 @pytest.mark.parametrize("shard_bytes", [2**23, 200])
 def test_scores_are_those_of_plain_counting(spark, monkeypatch, shard_bytes):
     """With few and many shards, the latter with frequent words dealt over several."""
-    monkeypatch.setattr(lm_score, "train_mixer", lambda *_: plain_mixer())
     monkeypatch.setattr(lm_score, "SHARD_BYTES", shard_bytes)
     rng = np.random.default_rng(7)
     words = ["the", "a", *(f"w{i}" for i in range(60))]
@@ -145,7 +144,7 @@ def test_scores_are_those_of_plain_counting(spark, monkeypatch, shard_bytes):
     texts = [" ".join(rng.choice(words, 30, p=chances / chances.sum())) for _ in range(40)]
     texts += [texts[0], texts[1] + " neverseen" + str(shard_bytes), "", None]
     table = docs(spark, [(i, t, "en", "a") for i, t in enumerate(texts)])
-    got = {r.doc_id: r.score for r in lm_score.score_documents(table).collect()}
+    got = {r.doc_id: r.score for r in lm_score.score_documents(table, mixer=plain_mixer()).collect()}
     for doc_id, score in brute_scores(table.collect(), plain_mixer()):
         assert got[doc_id] == pytest.approx(score, rel=1e-4)
 
