@@ -59,12 +59,24 @@ ADDED = (0.02, 0.4, 0.4)
 MOST_ODDS = 14.0
 # Bytes before the one that is spelled; a context has 16 bits.
 SPELL_ORDERS = (1, 2, 3)
+# Bytes of a word's hash that travel with its chunk.
+HASH_BYTES = 5
 ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
 def word_hash(word: bytes) -> int:
-    """As Spark's xxhash64 of a binary column."""
-    return xxhash.xxh64_intdigest(word, 42)
+    """The low bytes of Spark's xxhash64 of a binary column."""
+    return xxhash.xxh64_intdigest(word, 42) & ((1 << 8 * HASH_BYTES) - 1)
+
+
+def short(hashes: np.ndarray) -> bytes:
+    return hashes.view(np.uint8).reshape(-1, 8)[:, :HASH_BYTES].tobytes()
+
+
+def whole(blob: bytes) -> np.ndarray:
+    hashes = np.zeros((len(blob) // HASH_BYTES, 8), np.uint8)
+    hashes[:, :HASH_BYTES] = np.frombuffer(blob, np.uint8).reshape(-1, HASH_BYTES)
+    return hashes.view(np.uint64).ravel()
 
 
 def codes_of(hashes: np.ndarray) -> np.ndarray:
@@ -329,21 +341,22 @@ def item_scores(items: Items, mixer: Mixer | None = None) -> np.ndarray:
             likelier = low + above * (high - low)
             likelier = np.where(log_odds > 0, likelier, 1 - likelier)
             scores[bits.rows[part]] += np.log10(0.5 / (1 + np.exp(-log_odds)) + 0.5 * likelier)
-    return items.of_items(scores.astype(np.float32))
+    return items.of_items(scores)
 
 
 def chunks(docs: DataFrame, text: str, doc_id: str, shards: int) -> DataFrame:
     """Documents as word numbers by chunk (``blob``), and each chunk's word list.
 
-    A chunk is a bounded run of one task's rows. ``n`` counts a word in the
+    A chunk is a bounded run of one task's rows; its frequent words have the
+    small numbers. ``n`` counts a word in the
     chunk's training documents; the empty word is the end of a text. ``last``
     and ``items`` name previous words of many tokens.
     """
     schema = (
-        "chunk long, blob binary, hashes binary, at int, word binary, n long, last long, items long"
+        "chunk long, blob binary, tokens binary, hashes binary, at int, word binary, n long, last long, items long"
     )
     names = [part.split()[0] for part in schema.split(", ")]
-    kinds = [pa.int64(), pa.binary(), pa.binary(), pa.int32(), pa.binary(), pa.int64(), pa.int64(), pa.int64()]
+    kinds = [pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.int32(), pa.binary(), pa.int64(), pa.int64(), pa.int64()]
 
     def rows(size, **columns):
         return pa.RecordBatch.from_arrays(
@@ -368,14 +381,21 @@ def chunks(docs: DataFrame, text: str, doc_id: str, shards: int) -> DataFrame:
                 sizes.append(len(numbers))
                 ids.append(np.array(numbers, np.uint32))
             flat = np.concatenate(ids)
+            # Every token but a text's end stands before another; a text starts after none.
+            before = np.bincount(flat, minlength=len(places))
+            order = np.argsort(-before, kind="stable")
+            before[0] = 0
+            before = before[order]
+            number = np.empty(len(order), np.uint32)
+            number[order] = np.arange(len(order), dtype=np.uint32)
+            flat = number[flat]
             counts = np.bincount(flat[np.repeat(~held, sizes)], minlength=len(places))
-            offsets = np.r_[0, np.cumsum(sizes)].astype(np.int32)
             batch = pa.RecordBatch.from_arrays(
                 [
                     table["_id"].combine_chunks(),
                     pa.array(held),
                     pa.array(map(len, contents), pa.int64()),
-                    pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat)),
+                    pa.array(sizes, pa.int64()),
                 ],
                 ["id", "held", "size", "words"],
             )
@@ -384,15 +404,14 @@ def chunks(docs: DataFrame, text: str, doc_id: str, shards: int) -> DataFrame:
             with pa.ipc.new_stream(sink, batch.schema, options=options) as writer:
                 writer.write_batch(batch)
             words = list(places)
+            words = [words[i] for i in order]
             hashes = np.fromiter(map(word_hash, words), np.uint64, len(words))
-            # Every token but a text's end stands before another; a text starts after none.
-            before = np.bincount(flat, minlength=len(places))
-            before[0] = 0
             last = np.r_[last_word(hashes), last_word(np.uint64([START]))].astype(np.int64)
             items = np.r_[before, len(contents)]
             often = items * (2 * shards) >= len(flat)
             yield rows(
-                1, chunk=[chunk], blob=[sink.getvalue().to_pybytes()], hashes=[hashes.tobytes()],
+                1, chunk=[chunk], blob=[sink.getvalue().to_pybytes()], tokens=[packed(flat)],
+                hashes=[short(hashes)],
                 items=[len(flat)],
             )
             if often.any():
@@ -413,18 +432,12 @@ def chunks(docs: DataFrame, text: str, doc_id: str, shards: int) -> DataFrame:
     return source.mapInArrow(run, schema)
 
 
-def chunk_tokens(blob: bytes, hashes: bytes) -> tuple[pa.RecordBatch, np.ndarray]:
-    """A chunk's documents and the item of each of its tokens."""
-    batch = pa.ipc.open_stream(blob).read_all().combine_chunks().to_batches()[0]
-    words = batch.column("words")
-    starts = words.offsets.to_numpy()[:-1]
-    return batch, item_keys(words.values.to_numpy(), starts, np.frombuffer(hashes, np.uint64))
-
-
-def chunk_items(blob: bytes, hashes: bytes) -> tuple[pa.RecordBatch, np.ndarray, np.ndarray]:
-    """A chunk's documents, its distinct items in order, and each token's place there."""
-    batch, keys = chunk_tokens(blob, hashes)
-    return batch, *np.unique(keys, return_inverse=True)
+def chunk_tokens(row: dict) -> tuple[pa.RecordBatch, np.ndarray, np.ndarray]:
+    """A chunk's documents, the word number and the item of each of its tokens."""
+    batch = pa.ipc.open_stream(row["blob"]).read_all().combine_chunks().to_batches()[0]
+    sizes = batch.column("words").to_numpy()
+    ids = unpacked(row["tokens"], int(sizes.sum()), np.uint32)
+    return batch, ids, item_keys(ids, np.cumsum(sizes) - sizes, whole(row["hashes"]))
 
 
 def shards_of(busy: DataFrame, number: int, total: int) -> Shards:
@@ -447,7 +460,8 @@ def dealt(blobs: DataFrame, shards: Shards) -> DataFrame:
     def run(batches):
         for batch in batches:
             for row in batch.to_pylist():
-                docs, keys, place = chunk_items(row["blob"], row["hashes"])
+                docs, _, keys = chunk_tokens(row)
+                keys, place = np.unique(keys, return_inverse=True)
                 n = np.bincount(place[trained_tokens(docs)], minlength=len(keys)).astype(np.uint32)
                 shard = shards.of(keys)
                 order = np.argsort(shard, kind="stable")
@@ -467,8 +481,9 @@ def dealt(blobs: DataFrame, shards: Shards) -> DataFrame:
 
 
 def trained_tokens(docs: pa.RecordBatch) -> np.ndarray:
-    sizes = np.diff(docs.column("words").offsets.to_numpy())
-    return np.repeat(~np.array(docs.column("held").to_pylist(), bool), sizes)
+    return np.repeat(
+        ~np.array(docs.column("held").to_pylist(), bool), docs.column("words").to_numpy()
+    )
 
 
 def hot_counts(blobs: DataFrame, shards: Shards) -> DataFrame:
@@ -477,7 +492,7 @@ def hot_counts(blobs: DataFrame, shards: Shards) -> DataFrame:
     def run(batches):
         for batch in batches:
             for row in batch.to_pylist():
-                docs, keys = chunk_tokens(row["blob"], row["hashes"])
+                docs, _, keys = chunk_tokens(row)
                 keys = keys[trained_tokens(docs)]
                 keys = keys[np.isin(last_of(keys), shards.hot)]
                 pairs = (last_of(keys) << CODE_BITS) | codes_of(keys)
@@ -534,7 +549,9 @@ def with_values(parts: DataFrame, after: DataFrame, alone, mixer: Mixer | None)
         out = []
         if parts.num_rows:
             items, place, sizes = _shard(parts, after, alone.value)
-            values = item_scores(items, mixer)[place]
+            # Values travel rounded to 14 significant bits.
+            values = item_scores(items, mixer).astype(np.float32).view(np.uint32)
+            values = ((values + np.uint32(512)) & np.uint32(0xFFFFFC00))[place]
             out = [packed(v) for v in np.split(values, np.cumsum(sizes)[:-1])]
         return pa.table(
             [parts["chunk"], parts["shard"], parts["size"], pa.array(out, pa.binary())],
@@ -654,7 +671,8 @@ def score_documents(
 
     id, ``held_out``, ``n_tokens``, ``n_known``, ``train_tokens``,
     ``base_score`` (words alone, add-one), ``score`` (log10 probability) and
-    ``bits_per_byte``, of the text's bytes and its end. NULL and empty texts
+    ``bits_per_byte``, of the text's bytes and its end; a training row's own words
+    are among the counts. NULL and empty texts
     are an end alone; texts of any length are scored whole, at every word. A
     NULL id counts as empty text when folds are dealt. Repeated rows, and rows
     that share an id, are scored, and counted, each. Nothing is ranked, so ties
@@ -681,7 +699,7 @@ def score_documents(
     alone = spark.sparkContext.broadcast(np.r_[0.0, np.cumsum(counts)])
     speller = spark.sparkContext.broadcast(speller_of(spelling_counts(words)))
 
-    blobs = parts.where("blob is not null").select("chunk", "blob", "hashes", "items")
+    blobs = parts.where("blob is not null").select("chunk", "blob", "tokens", "hashes", "items")
     total = blobs.agg(F.sum("items")).first()[0] or 1
     shards = shards_of(parts.where("last is not null"), number, total)
     items = dealt(blobs, shards)
@@ -717,27 +735,28 @@ def score_documents(
                 row = part
             else:
                 found.append((part["shard"], unpacked(part["scores"], part["size"], np.float32)))
-        batch, keys, place = chunk_items(row["blob"], row["hashes"])
+        batch, ids, keys = chunk_tokens(row)
+        keys, place = np.unique(keys, return_inverse=True)
         item = np.empty(len(keys))
         item[np.argsort(shards.of(keys), kind="stable")] = np.concatenate(
             [v for _, v in sorted(found, key=lambda f: f[0])]
         )
-        ids = batch.column("words").values.to_numpy()
-        offsets = batch.column("words").offsets.to_numpy()
+        sizes = batch.column("words").to_numpy()
+        starts = np.cumsum(sizes) - sizes
         score = word[ids] + np.where(n[ids] > 0, item[place], 0.0)
         # Every document has at least its end, so no sum is empty.
-        sums = [np.add.reduceat(v, offsets[:-1]) for v in (base[ids], score)]
-        known = np.add.reduceat((n > 0).astype(np.int64)[ids], offsets[:-1])
+        sums = [np.add.reduceat(v, starts) for v in (base[ids], score)]
+        known = np.add.reduceat((n > 0).astype(np.int64)[ids], starts)
         bits = -sums[1] / math.log10(2) / (batch.column("size").to_numpy() + 1)
         return pa.table(
             [
-                batch.column("id"), batch.column("held"), pa.array(np.diff(offsets), pa.int64()),
+                batch.column("id"), batch.column("held"), batch.column("words"),
                 pa.array(known), pa.array(sums[0]), pa.array(sums[1]), pa.array(bits),
             ],
             schema.names,
         )
 
-    whole = blobs.select("chunk", "blob", "hashes").unionByName(values, allowMissingColumns=True)
+    whole = blobs.select("chunk", "blob", "tokens", "hashes").unionByName(values, allowMissingColumns=True)
     return (
         whole.groupBy("chunk")
         .cogroup(of_words.groupBy("of"))
