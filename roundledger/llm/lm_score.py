@@ -44,7 +44,7 @@ from roundledger.llm.shared import buffered, fold, mix64, stored, texts_of
 FOLDS, HELD_OUT = 7, 2
 CHUNK_BYTES = 8 * 2**20
 # Texts of so many bytes name the items of one shard.
-SHARD_BYTES = 6 * 2**20
+SHARD_BYTES = 5 * 2**19
 # An item: hashes of the previous word and of the one before it, and a code.
 LAST_BITS, BEFORE_BITS, CODE_BITS = 26, 18, 20
 CODES = 1 << CODE_BITS
