@@ -22,20 +22,23 @@ from pyspark.sql import types as T
 
 # Elements whose content is no text of the page.
 SKIPPED = frozenset(
-    "script style noscript template svg math iframe object select textarea button head canvas "
-    "audio video datalist option".split()
+    "script style template svg iframe select textarea button head datalist option annotation "
+    "annotation-xml".split()
 )
 # Their content is no markup; without an end tag it runs to the end of the page.
 RAW = frozenset("script style iframe textarea".split())
 # A start of the same kind, or for the head of any element of the body, ends these.
-UNNESTED = frozenset("noscript select button head option".split())
+UNNESTED = frozenset("select button head option".split())
 IN_HEAD = frozenset("base link meta noscript script style template title".split())
 VOID = frozenset(
     "area base br col embed hr img input link meta param source track wbr".split()
 )
 INLINE = frozenset(
     "a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q "
-    "rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split()
+    "rp rt ruby s samp small span strike strong sub sup time tt u var wbr "
+    # Elements with fallback text, and formulas.
+    "audio canvas object video math semantics mfrac mi mmultiscripts mn mo mover mpadded mphantom "
+    "mroot mrow ms mspace msqrt mstyle msub msubsup msup mtable mtd mtext mtr munder munderover".split()
 )
 # A start of one of these ends an open element of the same row.
 CLOSES = {"p": ("p",), "li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "option": ("option",),
@@ -54,35 +57,51 @@ GOOD_TAGS = frozenset("article main".split())
 BAD_ROLES = frozenset(
     "navigation banner contentinfo complementary search dialog alert menu menubar form".split()
 )
-BAD_WORDS = re.compile(
-    r"(?:^|[-_\s])(?:nav|navbar|navigation|menu|header|masthead|footer|foot|sidebar|side|aside|ad|"
-    r"ads|advert|adverts|advertisement|adsense|banner|sponsor|sponsored|promo|promotion|cookie|"
-    r"cookies|consent|gdpr|notice|alert|popup|modal|overlay|toast|comment|comments|commentlist|"
-    r"disqus|respond|reply|replies|share|sharing|social|related|recommended|breadcrumb|"
-    r"breadcrumbs|pagination|pager|subscribe|newsletter|signup|login|search|widget|toolbar|"
-    r"copyright|legal|tags|skip)(?=$|[-_\s\d])",
-    re.I,
+# Words of class names and ids: what boilerplate is called,
+BAD_WORDS = frozenset(
+    "nav navbar navigation menu header masthead footer foot sidebar side aside ad ads advert adverts "
+    "advertisement adsense banner sponsor sponsored promo promotion cookie cookies consent gdpr notice "
+    "alert popup modal overlay toast comment comments commentlist disqus respond reply replies share "
+    "sharing social related recommended breadcrumb breadcrumbs pagination pager subscribe newsletter "
+    "signup login search widget widgets toolbar copyright legal tags skip".split()
 )
-GOOD_WORDS = re.compile(
-    r"(?:^|[-_\s])(?:article|content|post|entry|story|main|body|text)(?=$|[-_\s\d])", re.I
+# of these what may hold articles of its own,
+LISTED = frozenset(
+    "comment comments commentlist disqus respond reply replies related recommended".split()
 )
-HIDDEN = re.compile(r"\bhidden\b|display\s*:\s*none|aria-hidden\s*=\s*[\"']?true", re.I)
+# what content is called,
+GOOD_WORDS = frozenset("article content post entry story main body text".split())
+# parts that leave a boilerplate word before them what it is,
+PART_WORDS = frozenset(
+    "area articles author bar block body box button buttons column container content footer form group "
+    "header icon info inner item items label left link links list main meta outer panel posts right row "
+    "section slot stories text title top bottom trail unit wrap wrapper".split()
+)
+# and first words that speak of something else: a state, or a subject.
+STATE_WORDS = frozenset(
+    "no not non has have with without is hide show tag category cat topic subject".split()
+)
+WORD = re.compile(r"[^\W\d_]+")
+CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 TOKEN = re.compile(
     r"<!--.*?(?:-->|$)|<![^>]*+>|<\?[^>]*+>"
     r"|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>"
     r"|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>",
     re.S,
 )
-NAMED = re.compile(r"(?:^|\s)(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
+ATTRIBUTE = re.compile(r"([^\s\"'>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
+UNSHOWN = re.compile(r"(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*hidden)", re.I)
 
 # Weights of the linear classifier: positive speaks for content.
 BIAS = -0.2
 IN_GOOD, IN_BAD = 1.6, -5.0
+# A name of several words says less than one word alone.
+NAMED, PARTLY_NAMED = -5.0, -3.5
 LINKED = -3.0
 PER_WORD, MOST_WORDS = 0.06, 30
 ENDS_SENTENCE = 0.5
 TAG_SCORES = {"p": 0.8, "h1": 0.6, "h2": 0.4, "h3": 0.3, "blockquote": 0.6, "pre": 0.6,
-              "li": -0.3, "td": 0.0, "div": -0.2, "title": -5.0}
+              "li": 0.0, "td": 0.0, "div": -0.2, "title": -5.0}
 # Capacities between neighbours in page order, more under one parent.
 ADJACENT, SIBLING = 0.35, 0.5
 
@@ -92,7 +111,7 @@ class Block(NamedTuple):
     tag: str
     parent: int
     good: bool
-    bad: bool
+    bad: float
     linked: float
 
 
@@ -100,25 +119,74 @@ class Element(NamedTuple):
     tag: str
     number: int
     good: bool
-    bad: bool
+    # Weights against content: of tags, roles and hidden elements; of names; of
+    # names that may hold articles.
+    bad: float = 0.0
+    named: float = 0.0
+    listed: float = 0.0
+
 
+def name_marks(names: str) -> tuple[bool, float, float]:
+    """What a class list or id says: good, and the weights of boilerplate and listed names.
 
-def _marks(tag: str, attributes: str, parent: Element) -> tuple[bool, bool]:
-    """Whether an element lies in a content and in a boilerplate container."""
-    good, bad = tag in GOOD_TAGS, tag in BAD_TAGS
-    # The header of an article holds its title; that of a page does not.
-    bad |= tag == "header" and not parent.good
+    Each name counts as a whole. It is boilerplate if its last word is a
+    boilerplate word, or its first one before a word for a part; not if the
+    first word speaks of a state or a subject (``has-sidebar``, ``tag-social``).
+    """
+    good, named, listed = False, 0.0, 0.0
+    for name in names.split():
+        words = [w.lower() for w in WORD.findall(CAMEL.sub("-", name))]
+        if not words or words[0] in STATE_WORDS:
+            continue
+        first, last = words[0], words[-1]
+        if first in ("article", "post", "entry", "story", "content") and last == "header":
+            continue  # holds the title of an article
+        if last in BAD_WORDS or (first in BAD_WORDS and last in PART_WORDS):
+            weight = NAMED if len(words) == 1 else PARTLY_NAMED
+            named = min(named, weight)
+            if first in LISTED or last in LISTED:
+                listed = min(listed, weight)
+        else:
+            good |= last in GOOD_WORDS
+    return good, named, listed
+
+
+def _element(tag: str, number: int, attributes: str, parent: Element) -> Element:
+    """An element with the marks of its containers; the nearest speaks for content."""
+    good, bad, named, listed = tag in GOOD_TAGS, 0.0, 0.0, 0.0
+    if tag in BAD_TAGS or (tag in ("header", "noscript") and not parent.good):
+        # The header of an article holds its title; that of a page does not.
+        bad = IN_BAD
     if attributes:
-        bad |= HIDDEN.search(attributes) is not None
-        for name, *values in NAMED.findall(attributes):
-            value = "".join(values)
-            if name.lower() == "role":
-                bad |= value.lower() in BAD_ROLES
+        for name, *values in ATTRIBUTE.findall(attributes):
+            name, value = name.lower(), "".join(values)
+            if name == "role":
                 good |= value.lower() in ("main", "article")
-            elif tag != "body":
-                bad |= BAD_WORDS.search(value) is not None
-                good |= GOOD_WORDS.search(value) is not None
-    return parent.good or good, parent.bad or bad
+                if value.lower() in BAD_ROLES:
+                    bad = IN_BAD
+            elif name in ("class", "id"):
+                if tag not in ("html", "body"):
+                    says, called, lists = name_marks(value)
+                    good |= says
+                    if not (called and parent.good and value.lower() == "header"):
+                        named, listed = min(named, called), min(listed, lists)
+            elif (
+                (name == "hidden" and value.lower() != "until-found")
+                or (name == "aria-hidden" and value.lower() == "true")
+                or (name == "style" and UNSHOWN.search(value))
+            ):
+                bad = IN_BAD
+    if tag in GOOD_TAGS:
+        # No name makes the main part of a page boilerplate, or what is around
+        # it; but lists of comments or of other articles hold articles, too.
+        lists = 0.0 if tag == "main" else min(listed, parent.listed)
+        named = around = listed = lists
+    else:
+        around, lists = parent.named, parent.listed
+    return Element(
+        tag, number, (good or parent.good) and not (bad or named),
+        min(bad, parent.bad), min(named, around), min(listed, lists),
+    )
 
 
 def _raw_end(page: str, tag: str, at: int) -> int:
@@ -180,7 +248,7 @@ def _skipped_end(page: str, tag: str, at: int, around: set[str], closes: dict[st
 
 def blocks_of(page: str) -> list[Block]:
     """The text blocks of a page in order; markup errors never lose text."""
-    root = Element("", 0, False, False)
+    root = Element("", 0, False)
     stack = [root]
     blocks: list[Block] = []
     runs: list[str] = []
@@ -206,7 +274,10 @@ def blocks_of(page: str) -> list[Block]:
                 parent = stack[max(0, at - 1)].number
                 top = stack[-1]
                 blocks.append(
-                    Block(joined, holder.tag, parent, top.good, top.bad, linked / max(1, total))
+                    Block(
+                        joined, holder.tag, parent, top.good, min(top.bad, top.named),
+                        linked / max(1, total),
+                    )
                 )
             runs.clear()
         linked = total = 0
@@ -261,8 +332,7 @@ def blocks_of(page: str) -> list[Block]:
             continue
         numbers += 1
         anchors += tag == "a"
-        good, bad = _marks(tag, attributes, stack[-1])
-        stack.append(Element(tag, numbers, good, bad))
+        stack.append(_element(tag, numbers, attributes, stack[-1]))
     flush()
     return blocks
 
@@ -271,7 +341,7 @@ def content_score(block: Block) -> float:
     """Log-odds of a block being content."""
     words = block.text.count(" ") + 1
     score = BIAS + TAG_SCORES.get(block.tag, 0.0) + PER_WORD * min(words, MOST_WORDS)
-    score += IN_GOOD * block.good + IN_BAD * block.bad + LINKED * block.linked
+    score += IN_GOOD * block.good + block.bad + LINKED * block.linked
     return score + ENDS_SENTENCE * (block.text[-1] in ".!?…:;。”\"'»)")
 
 
@@ -377,7 +447,9 @@ def extract_pages(
     """Carried columns, ``text`` and ``n_chars`` of each row of ``pages``.
 
     NULL and empty pages, and pages without content, give an empty text.
-    Repeated rows are extracted each; broken markup never fails.
+    Repeated rows are extracted each, pages of any length whole; broken markup
+    never fails. A block whose two labels cost the same is no content. Columns
+    of ``pages`` that are not carried play no part, whatever their names.
     """
     source = pages.select(
         F.struct(*(F.col(c) for c in carry)).alias("_row"), F.col(html).alias("_html")

@@ -46,10 +46,10 @@ LONG = "A paragraph that is long enough to be taken for the text of this page, w
     [
         f"<html><head><title>T</title><meta charset=x><body><article><p>{LONG}</p></article></body></html>",
         f"<head><script>a</script><title>T</title><article><p>{LONG}</p></article>",
-        f"<head><noscript><link></noscript><title>T</title></head><body><article><p>{LONG}</p></article>",
+        f"<head><noscript><link></noscript><meta><title>T</title></head><body><article><p>{LONG}</p></article>",
         *(
             page
-            for tag in ("button", "object", "canvas", "noscript", "svg", "select", "template", "video")
+            for tag in ("button", "svg", "select", "template", "datalist")
             for page in (
                 f"<body><article><{tag}>Menu<p>{LONG}</p></article></body>",
                 f"<body><div><{tag}>Menu</div><article><p>{LONG}</p></article></body>",
@@ -64,6 +64,64 @@ def test_missing_end_tags_of_skipped_elements_lose_no_text(page):
     assert main_text(page) == LONG
 
 
+@pytest.mark.parametrize(
+    "page",
+    [
+        f'<body><div style="overflow:hidden"><article><p>{LONG}</p></article></div>',
+        f'<body><div class="overflow-hidden"><p>{LONG}</p></div>',
+        f'<body><div class="content has-sidebar"><p>{LONG}</p></div>',
+        f'<body><div class="no-sidebar"><p>{LONG}</p></div>',
+        f'<body><div class="site with-header"><p>{LONG}</p></div>',
+        f'<html class="no-js ad-free"><body class="popup"><p>{LONG}</p>',
+        f'<main data-title="The hidden valley"><p>{LONG}</p></main>',
+        f'<article class="legal-news post"><p>{LONG}</p></article>',
+        f'<article class="post tag-side category-social"><p>{LONG}</p></article>',
+        f'<div class="header-notice"><article class="advert"><p>{LONG}</p></article></div>',
+        f'<div id="sidebar-wrapper"><main><p>{LONG}</p></main></div>',
+        f'<div hidden="until-found"><p>{LONG}</p></div>',
+        f'<div class="mädchenside"><p>{LONG}</p></div>',
+        f"<p>{LONG}</p><ul><li><a href=/a>Menu</a><li><a href=/b>More</a></ul>",
+    ],
+)
+def test_names_of_other_things_lose_no_article(page):
+    assert main_text(page) == LONG
+
+
+@pytest.mark.parametrize(
+    "around",
+    [
+        "<div hidden>", "<div aria-hidden='true'>", "<div style='color:red; display : none'>",
+        "<div class=comments><article class=comment>", "<ol class=comment-list><li><article>",
+        "<section class='related-posts'><article>", "<div class='siteFooter'>", "<div id=ad_2>",
+        "<div class='wide cookie-banner'>", "<div role=complementary>", "<noscript>", "<article class=comment>",
+        "<div class=sidebar-content>", "<article><div class=comments>",
+    ],
+)
+def test_boilerplate_is_left_out(around):
+    assert main_text(f"<body><article><p>{LONG}</p></article>{around}<p>{LONG}</p><p>{LONG}</p>") == LONG
+
+
+@pytest.mark.parametrize(
+    "inside",
+    [
+        "<math><mi>x</mi><mo>=</mo><mn>1</mn></math>", "<object>x=1</object>", "<canvas>x=1</canvas>",
+        "<video src=v>x=1</video>", "<audio>x=1</audio>",
+        "<math><semantics><mi>x=1</mi><annotation>TeX</annotation></semantics></math>",
+    ],
+)
+def test_formulas_and_fallback_text_stay(inside):
+    page = f"<article><p>{LONG}</p><p>So {inside} holds.</p><noscript><p>{LONG}</p></noscript></article>"
+    assert main_text(page).split("\n\n") == [LONG, "So x=1 holds.", LONG]
+
+
+def test_the_cut_decides_short_blocks_by_their_neighbours():
+    items = "".join(f"<li>Item {i}</li>" for i in range(3))
+    page = f"<body><div><p>{LONG}</p><ul>{items}</ul><p>{LONG}</p></div>"
+    scores = [html_extract.content_score(b) for b in html_extract.blocks_of(page)]
+    assert [s > 0 for s in scores] == [True, False, False, False, True]
+    assert main_text(page).count("Item") == 3
+
+
 @settings(max_examples=100)
 @given(st.text(alphabet="<>/pdiva \"'=!-&;x", max_size=60))
 def test_any_markup(page):
