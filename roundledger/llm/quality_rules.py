@@ -31,8 +31,8 @@ LEAST_SPREAD = {
     "repeat_rate": 0.12,
     "word_length": 0.75,
 }
-# A source with fewer texts in a language is judged by the whole language.
-LEAST_TEXTS = 100
+# With so many texts the fences of a source and those of its language weigh the same.
+EVEN_TEXTS = 25
 # The word length has two sides; the rates are bad when high.
 LOW_SIDE = ("word_length",)
 
@@ -143,18 +143,30 @@ def fences(sketched: DataFrame, keys: list[str], reach: float = REACH) -> DataFr
     return sketched.select(*keys, F.struct(texts, *limits).alias("limits"))
 
 
-def adapted_fences(rows: DataFrame, reach: float, k: int, least_texts: int) -> DataFrame:
-    """``of_lang``, ``of_source``, ``limits``: the group's own, or its language's if it is small."""
+def adapted_fences(rows: DataFrame, reach: float, k: int, even_texts: int) -> DataFrame:
+    """``of_lang``, ``of_source``, ``limits``: the group's own, drawn to its language's.
+
+    Of n texts, the group's own limits weigh n parts and the language's ``even_texts``.
+    """
     sketched = stored(sketches(rows, ["_lang", "_source"], k), "quality-sketches")
     own = fences(sketched, ["_lang", "_source"], reach)
     wide = fences(merged(sketched, ["_lang"]), ["_lang"], reach).select(
         F.col("_lang").alias("_wide"), F.col("limits").alias("_wide_limits")
     )
-    enough = F.col("limits.texts") >= least_texts
+    texts = F.col("limits.texts")
+    part = texts / (texts + F.lit(even_texts))
+
+    def blended(measure: str, side: str):
+        own_limit, wide_limit = F.col(f"limits.{measure}.{side}"), F.col(f"_wide_limits.{measure}.{side}")
+        return (part * own_limit + (1 - part) * wide_limit).alias(side)
+
     return own.join(wide, F.col("_lang").eqNullSafe(F.col("_wide"))).select(
         F.col("_lang").alias("of_lang"),
         F.col("_source").alias("of_source"),
-        F.when(enough, F.col("limits")).otherwise(F.col("_wide_limits")).alias("limits"),
+        F.struct(
+            texts.alias("texts"),
+            *(F.struct(blended(m, "most"), blended(m, "least")).alias(m) for m in LEAST_SPREAD),
+        ).alias("limits"),
     )
 
 
@@ -166,7 +178,7 @@ def quality_rules(
     source: str = "source",
     reach: float = REACH,
     k: int = SKETCH_K,
-    least_texts: int = LEAST_TEXTS,
+    even_texts: int = EVEN_TEXTS,
 ) -> DataFrame:
     """One row per row of ``docs``: id, counts, ``base_failed``, ``kept``.
 
@@ -174,8 +186,9 @@ def quality_rules(
     their words in repeated windows; NULL and empty texts fail it. Of the rest
     a text is kept if it lies within the fences of its language and source;
     NULL is a language or source like any other. Repeated rows are measured and
-    returned each. Groups of fewer than
-    ``least_texts`` take the fences of their language.
+    returned each, texts of any length whole. The smaller a group is, the more its
+    fences are drawn to those of its language (``even_texts``); equal measures
+    give equal verdicts in a group. Further columns play no part.
     """
     rows = stored(
         measures(docs, text, (doc_id, lang, source)).select(
@@ -190,7 +203,7 @@ def quality_rules(
         100 * F.col("n_repeat_words") > MOST_REPEATED * F.col("n_words")
     )
     # Texts that fail anyway do not shape the thresholds.
-    limits = adapted_fences(rows.where(~failed), reach, k, least_texts)
+    limits = adapted_fences(rows.where(~failed), reach, k, even_texts)
     within = F.lit(True)
     for measure in LEAST_SPREAD:
         fine = F.col(measure) <= F.col(f"limits.{measure}.most")

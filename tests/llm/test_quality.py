@@ -66,6 +66,33 @@ def test_merged_sketches_equal_one_sketch(spark):
     assert abs(limits.symbol_rate.most - (750 + 3 * 500)) < 25
 
 
+def test_fences_move_with_the_group_without_a_jump(spark):
+    """Against the limits worked out from the quartiles of group and language."""
+    rng = random.Random(4)
+    table = []
+    for source, n in (("a", 99), ("b", 100), ("c", 1), ("d", 700)):
+        table += [
+            ("en", source, *(float(rng.randrange(1000)) for _ in quality_rules.LEAST_SPREAD))
+            for _ in range(n)
+        ]
+    rows = spark.createDataFrame(table, ["_lang", "_source", *quality_rules.LEAST_SPREAD])
+    got = {r.of_source: r.limits for r in quality_rules.adapted_fences(rows, 3.0, 4096, 100).collect()}
+
+    def limit(values):
+        low, high = (np.quantile(values, q, method="inverted_cdf") for q in (0.25, 0.75))
+        return high + 3 * (high - low)
+
+    for at, measure in enumerate(quality_rules.LEAST_SPREAD, 2):
+        wide = limit([r[at] for r in table])
+        for source in "abcd":
+            own = [r[at] for r in table if r[1] == source]
+            part = len(own) / (len(own) + 100)
+            low, high = (np.quantile(own, q, method="inverted_cdf") for q in (0.25, 0.75))
+            mine = high + 3 * max(high - low, quality_rules.LEAST_SPREAD[measure])
+            assert abs(got[source][measure].most - (part * mine + (1 - part) * wide)) < 15
+    assert got["a"].symbol_rate.least is None and got["a"].word_length.least is not None
+
+
 def test_rules_on_awkward_rows(spark):
     rows = quality_rules.quality_rules(awkward(spark)).collect()
     assert len(rows) == 12
