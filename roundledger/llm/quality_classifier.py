@@ -19,10 +19,8 @@ from pyspark.sql import types as T
 
 from roundledger.llm.shared import fold, texts_of
 
-# About so many labelled texts of a class are used for fitting, drawn by hash,
-# and at most so many bytes of pieces go into one dictionary.
+# About so many labelled texts of a class are used for fitting, drawn by hash.
 SAMPLE_TEXTS = 2500
-SAMPLE_BYTES = 8 * 2**20
 DICTIONARY_BYTES = 64 * 1024
 PIECE_BYTES = 512
 LEVEL = 3
@@ -32,13 +30,9 @@ LEAST_SCORE = 0.3
 
 def build_dictionary(texts: list[bytes]) -> bytes:
     """A dictionary from pieces of the texts, plain content if there are too few."""
-    pieces, size = [], 0
-    for text in texts:
-        for at in range(0, len(text), PIECE_BYTES):
-            if size >= SAMPLE_BYTES:
-                break
-            pieces.append(text[at : at + PIECE_BYTES])
-            size += len(pieces[-1])
+    pieces = [
+        text[at : at + PIECE_BYTES] for text in texts for at in range(0, len(text), PIECE_BYTES)
+    ]
     try:
         return zstandard.train_dictionary(DICTIONARY_BYTES, pieces).as_bytes()
     except zstandard.ZstdError:
