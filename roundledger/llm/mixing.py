@@ -178,16 +178,25 @@ def first_words(text, count):
     return F.array_join(F.slice(pieces, 1, count.cast("int")), "")
 
 
-def repeated(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", **options) -> DataFrame:
+def repeated(
+    docs: DataFrame, text: str = "text", doc_id: str = "doc_id", source: str = "source", **options
+) -> DataFrame:
     """The mix itself: rows of ``docs`` as often as taken, with the same columns.
 
     A row taken in part comes once more, cut after its last word taken, with
     ``n_chars`` to match where there is such a column. What is taken is worked
     out without the texts, which are then shuffled once. Rows equal in id and
-    text are taken together, with the other columns of one of them.
+    text are taken together, with the other columns of one of them. NULL, empty
+    and blank texts are never taken, NULL ids and sources are values like others,
+    texts of any length are kept to the word, an empty table gives an empty result.
+    Further columns stay as they are, whatever their names.
     """
-    keyed = docs.withColumn("_key", text_key(doc_id, text))
-    mixed = mix_sources(keyed, text, doc_id, carry=("_key",), **options)
+    # The row as one column, so that no name can clash.
+    keyed = docs.select(
+        F.struct("*").alias("_row"), F.col(text).alias("_text"), F.col(doc_id).alias("_doc"),
+        F.col(source).alias("_of"), text_key(doc_id, text).alias("_key"),
+    )
+    mixed = mix_sources(keyed, "_text", "_doc", "_of", carry=("_key",), **options)
     size = F.greatest(F.col("size"), F.lit(1))
     left = F.col("taken") % size
     # At most one row of a source is cut; NULL stands for a whole copy.
@@ -203,14 +212,16 @@ def repeated(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", **opti
             .alias("_copies"),
         )
     )
-    copies = keyed.join(taken, "_key").dropDuplicates(["_key"]).withColumn(
-        "_cut", F.explode("_copies")
+    copies = (
+        keyed.select("_key", "_row").join(taken, "_key").dropDuplicates(["_key"])
+        .select("_row", F.explode("_copies").alias("_cut"))
     )
-    shown = F.when(F.col("_cut").isNull(), F.col(text)).otherwise(
-        first_words(F.col(text), F.coalesce("_cut", F.lit(0)))
+    row = F.col("_row")
+    shown = F.when(F.col("_cut").isNull(), row[text]).otherwise(
+        first_words(row[text], F.coalesce("_cut", F.lit(0)))
     )
     changed = {text: shown}
     if "n_chars" in docs.columns:
         length = F.length(shown).cast(docs.schema["n_chars"].dataType)
-        changed["n_chars"] = F.when(F.col("_cut").isNull(), F.col("n_chars")).otherwise(length)
-    return copies.withColumns(changed).select(*docs.columns)
+        changed["n_chars"] = F.when(F.col("_cut").isNull(), row["n_chars"]).otherwise(length)
+    return copies.select(*(changed.get(c, row[c]).alias(c) for c in docs.columns))

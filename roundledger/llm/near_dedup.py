@@ -470,12 +470,19 @@ def drop_near_copies(
 ) -> DataFrame:
     """The rows of ``docs`` that stay, with their columns: one of each component.
 
-    Of several rows with a component's smallest id one stays. Components whose
-    ids are all NULL, and rows without shingles, stay whole.
+    Of several rows with a component's smallest id one stays, whichever. Components
+    whose ids are all NULL, and rows without shingles (NULL, empty and blank
+    texts), stay whole. Texts of any length are compared whole; further columns
+    stay as they are, whatever their names. An empty table gives an empty result.
     """
-    keyed = docs.withColumn("_key", text_key(doc_id, text))
-    signed = stored(signatures(keyed, text, doc_id), "near-signatures")
-    marked = _marked(keyed, signed, text, doc_id, link_percent)
+    # The row as one column, so that no name can clash.
+    keyed = docs.select(
+        F.struct("*").alias("_row"), F.col(doc_id).alias("_doc"), F.col(text).alias("_text"),
+        text_key(doc_id, text).alias("_key"),
+    )
+    signed = stored(signatures(keyed, "_text", "_doc"), "near-signatures")
+    marked = _marked(keyed, signed, "_text", "_doc", link_percent)
+    rows = keyed.select("_key", "_row")
     chosen = (
         marked.where("n_shingles > 0 and _id = component_id")
         .groupBy("component_id")
@@ -484,5 +491,5 @@ def drop_near_copies(
     )
     others = marked.where("n_shingles = 0 or component_id is null").select("_key").distinct()
     # Rows equal in id and text share a key; of those with shingles one is enough.
-    one = keyed.join(chosen, "_key", "left_semi").dropDuplicates(["_key"])
-    return one.union(keyed.join(others, "_key", "left_semi")).drop("_key")
+    one = rows.join(chosen, "_key", "left_semi").dropDuplicates(["_key"])
+    return one.union(rows.join(others, "_key", "left_semi")).select("_row.*")

@@ -72,6 +72,12 @@ def test_awkward_rows(spark):
     assert repeated(none).collect() == []
     more = awkward(spark).selectExpr("*", "1 AS size", "2 AS target", "3 AS rank")
     assert mix_sources(more).count() == 12
+    named = ("_key", "_cut", "_copies", "_row", "_text", "_doc", "_of", "size", "_whole")
+    more = awkward(spark).selectExpr("*", *(f"'{n}' AS {n}" for n in named))
+    rows = repeated(more).collect()
+    assert sorted(rows, key=repr) and all(r[n] == n for r in rows for n in named)
+    plain = repeated(awkward(spark)).collect()
+    assert sorted((tuple(r)[: -len(named)] for r in rows), key=repr) == sorted(map(tuple, plain), key=repr)
 
 
 @settings(max_examples=5, deadline=None)

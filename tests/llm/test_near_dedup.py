@@ -89,6 +89,11 @@ def test_awkward_rows(spark):
     assert kept.columns == awkward(spark).columns
     ids = [r.doc_id for r in kept.collect()]
     assert ids.count(7) == 1 and 5 in ids and 6 not in ids and {1, 2, 3} <= set(ids)
+    named = ("_key", "_row", "_id", "_doc", "_text", "digest", "n_shingles", "component_id", "class")
+    more = drop_near_copies(awkward(spark).selectExpr("*", *(f"'{n}' AS {n}" for n in named)))
+    assert more.columns == [*awkward(spark).columns, *named]
+    rows = more.collect()
+    assert len(rows) == len(ids) and all(r[n] == n for r in rows for n in named)
 
 
 def test_registers_estimate_jaccard():
