@@ -89,21 +89,21 @@ def last_word(hashes: np.ndarray) -> np.ndarray:
 
 def item_keys(ids: np.ndarray, starts: np.ndarray, hashes: np.ndarray) -> np.ndarray:
     """The item of each token of a chunk, from word numbers and text starts."""
-    now = hashes[ids]
-    last = np.empty_like(now)
-    last[1:] = now[:-1]
-    last[starts] = START
-    before = np.empty_like(now)
-    before[1:] = last[:-1]
-    before[starts] = START
-    high = last_word(last)
+    # Worked out once a word; the place after the words stands for a text's start.
+    words = np.r_[hashes, np.uint64([START])]
+    high = last_word(words) << np.uint64(BEFORE_BITS + CODE_BITS)
     with np.errstate(over="ignore"):
-        low = mix64(before * ODD + np.uint64(1)) >> np.uint64(64 - BEFORE_BITS)
-    return (
-        (high << np.uint64(BEFORE_BITS + CODE_BITS))
-        | (low << np.uint64(CODE_BITS))
-        | (now & np.uint64(CODES - 1))
-    )
+        low = mix64(words * ODD + np.uint64(1)) >> np.uint64(64 - BEFORE_BITS) << np.uint64(CODE_BITS)
+    keys = (hashes & np.uint64(CODES - 1))[ids]
+    part = np.empty_like(keys)
+    part[1:] = high[ids[:-1]]
+    part[starts] = high[-1]
+    keys |= part
+    part[2:] = low[ids[:-2]]
+    part[starts] = low[-1]
+    part[starts[starts + 1 < len(ids)] + 1] = low[-1]
+    keys |= part
+    return keys
 
 
 def last_of(keys: np.ndarray) -> np.ndarray:
@@ -459,7 +459,7 @@ def dealt(blobs: DataFrame, shards: Shards) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            for row in batch.to_pylist():
+            for row in rows_of(batch):
                 docs, _, keys = chunk_tokens(row)
                 keys, place = np.unique(keys, return_inverse=True)
                 n = np.bincount(place[trained_tokens(docs)], minlength=len(keys)).astype(np.uint32)
@@ -480,6 +480,12 @@ def dealt(blobs: DataFrame, shards: Shards) -> DataFrame:
     return blobs.mapInArrow(run, schema)
 
 
+def rows_of(batch: pa.RecordBatch) -> Iterator[dict]:
+    """Its rows, one at a time: a batch may hold many chunks."""
+    for at in range(batch.num_rows):
+        yield batch.slice(at, 1).to_pylist()[0]
+
+
 def trained_tokens(docs: pa.RecordBatch) -> np.ndarray:
     return np.repeat(
         ~np.array(docs.column("held").to_pylist(), bool), docs.column("words").to_numpy()
@@ -491,7 +497,7 @@ def hot_counts(blobs: DataFrame, shards: Shards) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            for row in batch.to_pylist():
+            for row in rows_of(batch):
                 docs, _, keys = chunk_tokens(row)
                 keys = keys[trained_tokens(docs)]
                 keys = keys[np.isin(last_of(keys), shards.hot)]
