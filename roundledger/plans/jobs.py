@@ -16,6 +16,7 @@ from roundledger.operators.backfill import add_seasons, backfill_from, predicted
 from roundledger.operators.keys import dense_keys, numbered_by_task
 from roundledger.operators.quality import (
     negative_margins,
+    repeated_keys,
     require_empty,
     require_rows_fit,
     require_sound,
@@ -144,6 +145,7 @@ def late_results(spark: SparkSession, results: DataFrame, root: str) -> None:
     """
     change = Change(spark, root)
     tables = change.tables()
+    results = change.staged(results.select("id", "margin", "winnerId"), "results")
     given = results.select(
         "id", F.col("margin").alias("newMargin"), F.col("winnerId").alias("newWinnerId")
     )
@@ -172,11 +174,16 @@ def late_results(spark: SparkSession, results: DataFrame, root: str) -> None:
         "isCorrect",
         F.when(F.col("entered"), recomputed_correctness()).otherwise(F.col("isCorrect")),
     )
-    change.write("prediction", corrected, seasons, match)
+    change.write("prediction", corrected, seasons, match, placed=_ids_unique(match))
     _replace_scores(change, outcome.select("matchId"), seasons)
     change.commit()
 
 
+def _ids_unique(match: DataFrame) -> bool:
+    """Whether each fact has one match at most, so that its stored season is its match's."""
+    return repeated_keys(match, "id").isEmpty()
+
+
 def _replace_scores(change: Change, matches: DataFrame, seasons: list[int | None]) -> None:
     """Score the predictions of some matches again; totals lose and gain their part."""
     years = _years_of(change, seasons)
@@ -220,8 +227,12 @@ def _touched(tables: Tables, parent: str, keys: DataFrame) -> dict[str, list[int
     return found
 
 
-def _rewrite(change: Change, parent: str, keys: DataFrame, rule) -> None:
-    """Apply a rule to the parts that the keys touch and leave the others unread."""
+def _rewrite(change: Change, parent: str, keys: DataFrame, rule, same_scores: bool) -> None:
+    """Apply a rule to the parts that the keys touch and leave the others unread.
+
+    With ``same_scores`` the rule only leaves out predictions, or changes keys
+    one to one: stored scores then follow it like the predictions.
+    """
     tables = change.tables()
     touched = _touched(tables, parent, keys)
     small = tables.swap(
@@ -233,6 +244,8 @@ def _rewrite(change: Change, parent: str, keys: DataFrame, rule) -> None:
     )
     after = rule(small)
     old_years = _years_of(change, touched.get("match", []))
+    # The match of a fact stays in its season unless seasons change.
+    placed = parent != "season" and _ids_unique(tables.match)
     # Matches come first: their children take their season from them.
     for table in TABLE_NAMES:
         if touched.get(table):
@@ -241,23 +254,34 @@ def _rewrite(change: Change, parent: str, keys: DataFrame, rule) -> None:
                 matches = after.match
             elif table in BY_MATCH:
                 matches = change.read("match").filter(in_parts("match", touched[table]))
-            change.write(table, after[table], touched[table], matches)
+            stay = placed and table in BY_MATCH
+            change.write(table, after[table], touched[table], matches, placed=stay)
     seasons = sorted({p for t in ("match", "prediction") for p in touched.get(t, [])}, key=str)
-    _rescore(change, seasons, old_years)
+    _rescore(change, seasons, old_years, rule if placed and same_scores else None)
     # Only its ids may have changed.
     change.commit(unique=[parent], natural=False)
 
 
-def _rescore(change: Change, seasons: list[int | None], old_years: list[int]) -> None:
-    """Scores and results of whole seasons, and none for years that are no more."""
+def _rescore(change: Change, seasons: list[int | None], old_years: list[int], rule=None) -> None:
+    """Scores and results of whole seasons, and none for years that are no more.
+
+    Scores that a ``rule`` for predictions leaves as they are follow it; others
+    are worked out anew.
+    """
     tables = change.tables()
     present = [s for s in seasons if s is not None]
     years = _years_of(change, seasons)
     season = tables.season.filter(F.col("id").isin(present) | F.col("year").isin(old_years))
     years = sorted({*years, *old_years, *(r.year for r in season.collect())})
-    scored = change.staged(score_predictions(tables.swap(season=season)), "scored")
+    if rule is None:
+        change.write("scored", score_predictions(tables.swap(season=season)), years)
+    else:
+        stored = change.read("scored").filter(in_parts("scored", years))
+        after = rule(tables.swap(prediction=stored)).prediction
+        change.write("scored", after, years, placed=True)
+    scored = change.read("scored").filter(in_parts("scored", years))
     totals = change.staged(mergeable_totals(scored), "totals")
-    for result, rows in (("scored", scored), ("totals", totals), ("running", running_totals(totals))):
+    for result, rows in (("totals", totals), ("running", running_totals(totals))):
         change.write(result, rows, years)
     # The list of seasons or the models' flags may have changed, which all show.
     _write_documents(change, None)
@@ -269,14 +293,24 @@ def delete_from_league(spark: SparkSession, root: str, parent: str, keys: DataFr
     Fails with nothing changed while a required reference holds a row.
     """
     change = Change(spark, root)
+    keys = change.staged(keys.select("id"), "keys")
     require_empty(
         integrity.restricting_references(change.tables(), parent, keys), f"{parent} still in use"
     )
-    _rewrite(change, parent, keys, lambda t: integrity.delete_unrestricted(t, parent, keys))
+    # A deleted team empties the winner of its matches, and a season its matches' season.
+    _rewrite(
+        change, parent, keys, lambda t: integrity.delete_unrestricted(t, parent, keys),
+        same_scores=parent in ("match", "ml_model"),
+    )
 
 
 def remap_in_league(spark: SparkSession, root: str, parent: str, key_map: DataFrame) -> None:
     """Change keys by ``key_map`` (oldId, newId) in the parent and in every child."""
     change = Change(spark, root)
+    key_map = change.staged(key_map.select("oldId", "newId"), "map")
     keys = key_map.select(F.col("oldId").alias("id"))
-    _rewrite(change, parent, keys, lambda t: integrity.remap_keys(t, parent, key_map))
+    # Keys stay apart, or the commit fails: what was equal stays equal.
+    _rewrite(
+        change, parent, keys, lambda t: integrity.remap_keys(t, parent, key_map),
+        same_scores=parent != "season",
+    )

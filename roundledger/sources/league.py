@@ -152,29 +152,37 @@ class Change:
         return self.spark.read.schema(df.schema).parquet(path)
 
     def write(
-        self, table: str, rows: DataFrame, gone: Iterable[int | None] = (), matches: DataFrame | None = None
+        self,
+        table: str,
+        rows: DataFrame,
+        gone: Iterable[int | None] = (),
+        matches: DataFrame | None = None,
+        placed: bool = False,
     ) -> int:
         """Write rows as parts of this change, in place of the parts ``gone``.
 
         Facts take their season from ``matches`` (those of this change, if not
-        given). Required values and margins are checked as the rows are
-        written; the number of rows is returned.
+        given). Rows that are ``placed`` come from the files of this table: they
+        carry their part and stay together as they are, so no shuffle is needed.
+        Required values and margins are checked as the rows are written; the
+        number of rows is returned.
         """
         self._steps += 1
         run = f"{self.run}-{self._steps}"
-        if table in BY_MATCH:
+        if table in BY_MATCH and not placed:
             matches = self.read("match") if matches is None else matches
             seasons = matches.select(F.col("id").alias("matchId"), "seasonId")
             rows = rows.select(*SCHEMAS[table].names).join(seasons, "matchId", "left")
         schema = _schema(table)
-        arranged = _arranged(rows.select(*schema.names), self._layout(table))
-        arranged, observation = watched(arranged.withColumn("run", F.lit(run)), table)
-        path = f"{self.root}/{NAMES[table]}"
-        folders = [PART[table], "run"] if table in PART else ["run"]
-        arranged.write.mode("append").partitionBy(*folders).parquet(path)
+        arranged = _arranged(rows.select(*schema.names), self._layout(table), gathered=placed)
+        arranged, observation = watched(arranged, table)
+        # The run is a folder around those of the parts: as a column it would
+        # have Spark sort all rows a second time.
+        path = f"{self.root}/{NAMES[table]}/run={run}"
+        folders = [PART[table]] if table in PART else []
+        arranged.write.partitionBy(*folders).parquet(path)
         count = require_watched(observation, table)
-        new = self.spark.read.schema(T.StructType([*schema]).add("run", "string")).parquet(path)
-        written = parts_of(new.filter(F.col("run") == run), table)
+        written = parts_of(self.spark.read.schema(schema).parquet(path), table)
         self.version = self.version.replaced(table, gone, written, run)
         self.changed.add(table)
         return count

@@ -45,9 +45,12 @@ SCORED_SCHEMA = (
 SCORED_LAYOUT = Layout(("year",), ("year", "roundNumber"), ("year", "roundNumber", "matchId"))
 
 
-def _arranged(df: DataFrame, layout: Layout) -> DataFrame:
-    """Rows gathered into even files; a value too frequent for one file gets several."""
-    arranged = df.hint("rebalance", *map(F.col, layout.gathered))
+def _arranged(df: DataFrame, layout: Layout, gathered: bool = False) -> DataFrame:
+    """Rows gathered into even files; a value too frequent for one file gets several.
+
+    Rows ``gathered`` already are only sorted.
+    """
+    arranged = df if gathered else df.hint("rebalance", *map(F.col, layout.gathered))
     return arranged.sortWithinPartitions(*layout.sorted) if layout.sorted else arranged
 
 
