@@ -33,6 +33,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -45,6 +46,8 @@ FOLDS, HELD_OUT = 7, 2
 CHUNK_BYTES = 8 * 2**20
 # Texts of so many bytes name the items of one shard.
 SHARD_BYTES = 5 * 2**19
+# Texts of so many bytes name the words of one bucket.
+BUCKET_BYTES = 4 * SHARD_BYTES
 # An item: hashes of the previous word and of the one before it, and a code.
 LAST_BITS, BEFORE_BITS, CODE_BITS = 26, 18, 20
 CODES = 1 << CODE_BITS
@@ -79,6 +82,11 @@ def whole(blob: bytes) -> np.ndarray:
     return hashes.view(np.uint64).ravel()
 
 
+def bucket_of(hashes: np.ndarray, buckets: int) -> np.ndarray:
+    """By other bits of the hash than a word's code."""
+    return ((hashes >> np.uint64(CODE_BITS)) % np.uint64(buckets)).astype(np.int64)
+
+
 def codes_of(hashes: np.ndarray) -> np.ndarray:
     return (hashes & np.uint64(CODES - 1)).astype(np.int64)
 
@@ -145,6 +153,17 @@ def unpacked(blob: bytes, number: int, dtype) -> np.ndarray:
     return np.ascontiguousarray(flat.reshape(size, number).T).view(dtype).ravel()
 
 
+def joined(words: list[bytes]) -> bytes:
+    """Words, none of which holds a blank, and the number of their bytes, compressed."""
+    flat = b" ".join(words)
+    return len(flat).to_bytes(8, "little") + pa.compress(flat, codec="zstd", asbytes=True)
+
+
+def parted(blob: bytes) -> list[bytes]:
+    size = int.from_bytes(blob[:8], "little")
+    return pa.decompress(blob[8:], size, codec="zstd", asbytes=True).split(b" ")
+
+
 def packed_keys(keys: np.ndarray) -> bytes:
     return packed(np.diff(keys, prepend=np.uint64(0)))
 
@@ -177,10 +196,10 @@ class Bits(NamedTuple):
 
     place: int
     rows: np.ndarray
-    gate: np.ndarray
-    odds: np.ndarray  # rows x contexts: log-odds of the bit that came
+    gate: np.ndarray  # among the gates of the place
+    odds: list[np.ndarray]  # by context: log-odds of the bit that came
     fresh_gate: np.ndarray
-    fresh_odds: np.ndarray
+    fresh_odds: list[np.ndarray]
 
 
 class Items:
@@ -243,32 +262,55 @@ class Items:
 
         def totals(depth):
             one = sums(self.pairs, self.pair_n, depth) if self.after is None else by_code(self.after, depth)
-            return by_code(self.alone, depth), one, np.r_[sums(self.keys, self.n, depth), self.constant]
+            return by_code(self.alone, depth), one, sums(self.keys, self.n, depth)
 
-        here = totals(0)
+        # Rows that items share have one item after their two words: the bit that came.
+        alike = log_odds_of(2, self.constant, self.constant)
+        here, every = totals(0), np.arange(len(self.row_pair))
         for place in range(CODE_BITS):
             below = totals(place + 1)
-            rows = np.flatnonzero((here[0] > below[0])[self.row_pair])
-            pair = self.row_pair[rows]
-            odds, fresh = (np.empty((len(rows), CONTEXTS), np.float32) for _ in range(2))
-            seen = []
-            for i, at in enumerate((pair, pair, rows)):
-                whole, bit = (n[i][at].astype(np.float32) for n in (here, below))
-                other = np.log(whole - bit + np.float32(ADDED[i]))
-                odds[:, i] = np.log(bit + np.float32(ADDED[i])) - other
-                fresh[:, i] = np.log(np.maximum(bit - 1, 0) + np.float32(ADDED[i])) - other
-                seen.append(whole)
+            is_open = here[0] > below[0]
+            # Evidence before the last word but one is worked out once a pair.
+            if is_open.all():
+                rows, pair = every, self.row_pair
+                pairs = own = shared = slice(None)
+            else:
+                rows, pairs = np.flatnonzero(is_open[self.row_pair]), np.flatnonzero(is_open)
+                pair = (np.cumsum(is_open) - 1)[self.row_pair[rows]]
+                own = rows[: np.searchsorted(rows, len(self.open))]
+                shared = rows[len(own) :] - len(self.open)
+            zero, one = (log_odds_of(i, here[i][pairs], below[i][pairs]) for i in (0, 1))
+            two = [
+                np.concatenate([mine, both[shared]])
+                for mine, both in zip(log_odds_of(2, here[2][own], below[2][own]), alike)
+            ]
+            odds, fresh, gate, fresh_gate = zip(*(
+                [part.take(pair) for part in zero], [part.take(pair) for part in one], two
+            ))
             yield Bits(
-                place, rows, gates_of(place, seen[2], seen[1]), odds,
-                gates_of(place, seen[2] - 1, seen[1] - 1), fresh,
+                place, rows, (gate[1] + 4 * gate[2]).astype(np.int64), odds,
+                (fresh_gate[1] + 4 * fresh_gate[2]).astype(np.int64), fresh,
             )
             here = below
 
 
-def gates_of(place: int, two: np.ndarray, one: np.ndarray) -> np.ndarray:
-    """The gate of a place and of how often both word contexts were seen."""
-    level = ((two > 0).astype(np.int64) + (two > 1) + (two > 3)) * 4
-    return level + (one > 0) + (one > 3) + (one > 31) + place * 16
+# The gate of a place tells how often both word contexts were seen: over these counts.
+SEEN = ((), (0, 3, 31), (0, 1, 3))
+
+
+def log_odds_of(
+    context: int, whole: np.ndarray, bit: np.ndarray
+) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Log-odds of the bit that came, and those with one occurrence less; both gates."""
+    whole, bit, added = whole.astype(np.float32), bit.astype(np.float32), np.float32(ADDED[context])
+    other = np.log(whole - bit + added)
+    odds = np.log(bit + added) - other
+    fresh = np.log(np.maximum(bit - 1, 0) + added) - other
+    gates = [np.zeros(len(whole), np.int8) for _ in range(2)]
+    for gate, seen in zip(gates, (whole, whole - 1)):
+        for least in SEEN[context]:
+            gate += seen > least
+    return odds, fresh, *gates
 
 
 def level_of(log_odds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -278,40 +320,43 @@ def level_of(log_odds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return level, place - level
 
 
-def mixed(weights: np.ndarray, gate: np.ndarray, odds: np.ndarray) -> np.ndarray:
-    log_odds = weights[gate, 0] * odds[:, 0]
+def mixed(weights: np.ndarray, gate: np.ndarray, odds: list[np.ndarray]) -> np.ndarray:
+    """Log-odds mixed by the weights of a place, contexts x gates."""
+    log_odds = weights[0].take(gate) * odds[0]
     for i in range(1, CONTEXTS):
-        log_odds += weights[gate, i] * odds[:, i]
+        log_odds += weights[i].take(gate) * odds[i]
     return np.clip(log_odds, -MOST_ODDS, MOST_ODDS)
 
 
 def learn(weights: np.ndarray, bits: Bits, times: np.ndarray) -> np.ndarray:
     """Moves the weights of a place against the errors; its refinement, by gate and level."""
-    gates = slice(bits.place * 16, bits.place * 16 + 16)
-    moved = np.zeros((16, CONTEXTS))
+    moved = np.zeros((CONTEXTS, 16))
     hits, total = np.zeros(16 * LEVELS), np.zeros(16 * LEVELS)
     trained = np.flatnonzero(times > 0)
+    n, gate = times[trained], bits.fresh_gate[trained]
+    odds = [part[trained] for part in bits.fresh_odds]
+    log_odds = np.empty(len(trained), np.float32)
     start, size = 0, FIRST_BATCH
     while start < len(trained):
-        part = trained[start : start + size]
+        part = slice(start, start + size)
         start, size = start + size, min(BATCH, int(size * GROWTH) + 1)
-        n, odds, gate = times[part], bits.fresh_odds[part], bits.fresh_gate[part]
-        log_odds = mixed(weights, gate, odds)
-        gate = gate - bits.place * 16
-        level, above = level_of(log_odds)
-        came = 0.5 + 0.5 * np.sign(log_odds)
-        for step, part_n in ((0, n * (1 - above)), (1, n * above)):
-            cell = gate * LEVELS + level + step
-            total += np.bincount(cell, part_n, 16 * LEVELS)
-            hits += np.bincount(cell, part_n * came, 16 * LEVELS)
-        error = n / (1 + np.exp(log_odds))
-        seen = np.bincount(gate, n, 16)
+        log_odds[part] = mixed(weights, gate[part], [o[part] for o in odds])
+        error = n[part] / (1 + np.exp(log_odds[part]))
+        seen = np.bincount(gate[part], n[part], 16)
         slope = np.stack(
-            [np.bincount(gate, error * odds[:, i], 16) for i in range(CONTEXTS)], axis=1
-        ) / np.maximum(seen, 1e-9)[:, None]
+            [np.bincount(gate[part], error * o[part], 16) for o in odds]
+        ) / np.maximum(seen, 1e-9)
         # Each weight has its own rate, slower the more it has moved.
         moved += slope * slope
-        weights[gates] += RATE * slope / np.sqrt(moved + 1e-4)
+        weights += RATE * slope / np.sqrt(moved + 1e-4)
+    for start in range(0, len(trained), 4 * BATCH):
+        part = slice(start, start + 4 * BATCH)
+        level, above = level_of(log_odds[part])
+        came = 0.5 + 0.5 * np.sign(log_odds[part])
+        cell = gate[part] * LEVELS + level
+        for step, part_n in ((0, n[part] * (1 - above)), (1, n[part] * above)):
+            total += np.bincount(cell + step, part_n, 16 * LEVELS)
+            hits += np.bincount(cell + step, part_n * came, 16 * LEVELS)
     centre = 1 / (1 + np.exp(-np.arange(LEVELS) * (MOST_ODDS / (LEVELS - 1))))
     refined = (hits.reshape(16, -1) + 8 * centre) / (total.reshape(16, -1) + 8)
     return np.clip(refined, 1e-6, 1 - 1e-6)
@@ -323,45 +368,51 @@ def item_scores(items: Items, mixer: Mixer | None = None) -> np.ndarray:
     Place by place, weights and refinement are learned online on the training
     items, unless a ``mixer`` is given; then all items are scored.
     """
-    scores = np.zeros(len(items.weight))
-    weights = start_weights() if mixer is None else mixer.weights
+    # A place's chance is 1e-7 at least: the product of all of them is far from zero.
+    chances = np.ones(len(items.weight))
+    all_weights = start_weights() if mixer is None else mixer.weights
     for bits in items.bits():
         gates = slice(bits.place * 16, bits.place * 16 + 16)
+        weights = np.ascontiguousarray(all_weights[gates].T)
         if mixer is None:
-            refined = learn(weights, bits, items.weight[bits.rows])
+            refined = learn(weights, bits, items.weight[bits.rows]).ravel()
         else:
-            refined = mixer.refined[gates]
-        for start in range(0, len(bits.rows), 8 * BATCH):
-            part = slice(start, start + 8 * BATCH)
-            gate = bits.gate[part]
-            log_odds = mixed(weights, gate, bits.odds[part])
+            refined = mixer.refined[gates].ravel()
+        for start in range(0, len(bits.rows), 4 * BATCH):
+            part = slice(start, start + 4 * BATCH)
+            log_odds = mixed(weights, bits.gate[part], [odds[part] for odds in bits.odds])
             level, above = level_of(log_odds)
-            gate = gate - bits.place * 16
-            low, high = refined[gate, level], refined[gate, level + 1]
+            cell = bits.gate[part] * LEVELS + level
+            low, high = refined.take(cell), refined.take(cell + 1)
             likelier = low + above * (high - low)
             likelier = np.where(log_odds > 0, likelier, 1 - likelier)
-            scores[bits.rows[part]] += np.log10(0.5 / (1 + np.exp(-log_odds)) + 0.5 * likelier)
-    return items.of_items(scores)
+            chances[bits.rows[part]] *= 0.5 / (1 + np.exp(-log_odds)) + 0.5 * likelier
+    return items.of_items(np.log10(chances))
 
 
-def chunks(docs: DataFrame, text: str, doc_id: str, shards: int) -> DataFrame:
+def chunks(docs: DataFrame, text: str, doc_id: str, shards: int, buckets: int) -> DataFrame:
     """Documents as word numbers by chunk (``blob``), and each chunk's word list.
 
     A chunk is a bounded run of one task's rows; its frequent words have the
-    small numbers. ``n`` counts a word in the
+    small numbers. Its word list is dealt to buckets by the words' hashes, a
+    small block (``size``) each: ``n`` counts a word in the
     chunk's training documents; the empty word is the end of a text. ``last``
     and ``items`` name previous words of many tokens.
     """
     schema = (
-        "chunk long, blob binary, tokens binary, hashes binary, at int, word binary, n long, last long, items long"
+        "chunk long, blob binary, tokens binary, hashes binary, bucket long, size int, at binary, words binary, "
+        "n binary, last long, items long"
     )
     names = [part.split()[0] for part in schema.split(", ")]
-    kinds = [pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.int32(), pa.binary(), pa.int64(), pa.int64(), pa.int64()]
+    kinds = [
+        {"long": pa.int64(), "int": pa.int32(), "binary": pa.binary()}[part.split()[1]]
+        for part in schema.split(", ")
+    ]
 
-    def rows(size, **columns):
+    def rows(times, **columns):
         return pa.RecordBatch.from_arrays(
             [
-                pa.array(columns[name], kind) if name in columns else pa.nulls(size, kind)
+                pa.array(columns[name], kind) if name in columns else pa.nulls(times, kind)
                 for name, kind in zip(names, kinds)
             ],
             names,
@@ -416,12 +467,17 @@ def chunks(docs: DataFrame, text: str, doc_id: str, shards: int) -> DataFrame:
             )
             if often.any():
                 yield rows(often.sum(), chunk=[chunk] * often.sum(), last=last[often], items=items[often])
-            for start in range(0, len(words), 100_000):
-                part = words[start : start + 100_000]
-                yield rows(
-                    len(part), chunk=[chunk] * len(part), at=range(start, start + len(part)),
-                    word=part, n=counts[start : start + len(part)],
-                )
+            bucket = bucket_of(hashes, buckets)
+            order = np.argsort(bucket, kind="stable")
+            cuts = np.r_[np.flatnonzero(np.diff(bucket[order], prepend=-1)), len(order)]
+            parts = [order[a:b] for a, b in zip(cuts[:-1], cuts[1:])]
+            yield rows(
+                len(parts), chunk=[chunk] * len(parts), bucket=bucket[order[cuts[:-1]]],
+                size=list(map(len, parts)),
+                at=[packed(np.diff(part, prepend=0).astype(np.uint32)) for part in parts],
+                words=[joined([words[i] for i in part]) for part in parts],
+                n=[packed(counts[part].astype(np.uint32)) for part in parts],
+            )
             chunk += 1
 
     source = docs.select(
@@ -432,6 +488,28 @@ def chunks(docs: DataFrame, text: str, doc_id: str, shards: int) -> DataFrame:
     return source.mapInArrow(run, schema)
 
 
+def listed_words(lists: pa.Table) -> tuple[pa.Array, list[int]]:
+    """The words of all blocks, and how many each block has."""
+    words = [w for blob in lists["words"].to_pylist() for w in parted(blob)]
+    return pa.array(words, pa.binary()), lists["size"].to_pylist()
+
+
+def word_counts(lists: DataFrame) -> DataFrame:
+    """``bucket``, ``word`` and its training count ``n``."""
+
+    def run(lists):
+        words, sizes = listed_words(lists)
+        n = np.concatenate([unpacked(b, k, np.uint32) for b, k in zip(lists["n"].to_pylist(), sizes)])
+        words = words.dictionary_encode()
+        n = np.bincount(words.indices.to_numpy(), n, len(words.dictionary)).astype(np.int64)
+        bucket = np.full(len(n), lists["bucket"][0].as_py())
+        return pa.table([pa.array(bucket), words.dictionary, pa.array(n)], ["bucket", "word", "n"])
+
+    return lists.select("bucket", "size", "words", "n").groupBy("bucket").applyInArrow(
+        run, "bucket long, word binary, n long"
+    )
+
+
 def chunk_tokens(row: dict) -> tuple[pa.RecordBatch, np.ndarray, np.ndarray]:
     """A chunk's documents, the word number and the item of each of its tokens."""
     batch = pa.ipc.open_stream(row["blob"]).read_all().combine_chunks().to_batches()[0]
@@ -664,10 +742,34 @@ def word_scores(words: DataFrame, alone, speller, escape: float) -> DataFrame:
             unseen = np.flatnonzero(n == 0)
             score[unseen] = math.log10(escape) + spelled([contents[i] for i in unseen], speller.value)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("word"), batch.column("n"), pa.array(score)], ["word", "n", "score"]
+                [batch.column("bucket"), batch.column("word"), batch.column("n"), pa.array(score)],
+                ["bucket", "word", "n", "score"],
             )
 
-    return words.mapInArrow(run, "word binary, n long, score double")
+    return words.mapInArrow(run, "bucket long, word binary, n long, score double")
+
+
+def scored_lists(lists: DataFrame, scored: DataFrame) -> DataFrame:
+    """``of``: the chunk, and by block the ``at``, ``n`` and ``score`` of its words."""
+
+    def run(lists, scored):
+        out = [[], []]
+        if lists.num_rows:
+            words, sizes = listed_words(lists)
+            at = pc.index_in(words, value_set=scored["word"].combine_chunks()).to_numpy()
+            cuts = np.cumsum(sizes)[:-1]
+            for blobs, name, kind in zip(out, ("n", "score"), (np.int64, np.float32)):
+                blobs += [packed(v) for v in np.split(scored[name].to_numpy().astype(kind)[at], cuts)]
+        return pa.table(
+            [lists["chunk"], lists["size"], lists["at"], *(pa.array(b, pa.binary()) for b in out)],
+            ["of", "size", "at", "n", "score"],
+        )
+
+    return (
+        lists.select("chunk", "bucket", "size", "at", "words").groupBy("bucket")
+        .cogroup(scored.groupBy("bucket"))
+        .applyInArrow(run, "of long, size int, at binary, n binary, score binary")
+    )
 
 
 def score_documents(
@@ -689,9 +791,9 @@ def score_documents(
     spark = docs.sparkSession
     size = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
     number = int(size // SHARD_BYTES) + 1
-    parts = stored(chunks(docs, text, doc_id, number), "lm-chunks")
-    lists = parts.where("word is not null").select("chunk", "at", "word", "n")
-    words = stored(lists.groupBy("word").agg(F.sum("n").alias("n")), "lm-words")
+    parts = stored(chunks(docs, text, doc_id, number, int(size // BUCKET_BYTES) + 1), "lm-chunks")
+    lists = parts.where("words is not null").select("chunk", "bucket", "size", "at", "words", "n")
+    words = stored(word_counts(lists), "lm-words")
     totals = words.agg(
         F.coalesce(F.sum("n"), F.lit(0)).alias("n"),
         F.count(F.when(F.col("n") > 0, 1)).alias("v"),
@@ -714,9 +816,7 @@ def score_documents(
     values = with_values(items, after, alone, mixer)
     escape = (totals.once + 0.5) / (totals.n + 1)
     scored = word_scores(words, alone, speller, escape)
-    of_words = lists.select("chunk", "at", "word").join(scored, "word").select(
-        F.col("chunk").alias("of"), "at", "n", F.col("score").cast("float").alias("score")
-    )
+    of_words = scored_lists(lists, scored)
     kind = docs.schema[doc_id].dataType
     schema = (
         T.StructType([T.StructField("id", kind)])
@@ -730,10 +830,12 @@ def score_documents(
     even = math.log10(totals.n + totals.v + 1)
 
     def run(chunk, of_words):
-        n = np.zeros(of_words.num_rows, np.int64)
-        word = np.zeros(of_words.num_rows)
-        at = of_words["at"].to_numpy()
-        n[at], word[at] = of_words["n"].to_numpy(), of_words["score"].to_numpy()
+        in_all = sum(of_words["size"].to_pylist())
+        n, word = np.zeros(in_all, np.int64), np.zeros(in_all)
+        for part in of_words.to_pylist():
+            at = np.cumsum(unpacked(part["at"], part["size"], np.uint32), dtype=np.int64)
+            n[at] = unpacked(part["n"], part["size"], np.int64)
+            word[at] = unpacked(part["score"], part["size"], np.float32)
         base = np.log10(n + 1) - even
         found, row = [], None
         for part in chunk.to_pylist():

@@ -211,6 +211,34 @@ def test_packing_round_trip():
     assert len(lm_score.unpacked(lm_score.packed(np.zeros(0, np.float32)), 0, np.float32)) == 0
 
 
+def test_word_lists_travel_in_blocks(spark):
+    """A block a chunk and bucket, not a row a word; counts and places are those of the texts."""
+    table = prose(spark, 60).coalesce(2)
+    parts = lm_score.chunks(table, "text", "doc_id", 1, 3)
+    lists = parts.where("words is not null")
+    blocks = lists.collect()
+    assert len(blocks) <= 3 * parts.where("blob is not null").count()
+    assert len({(r.chunk, r.bucket) for r in blocks}) == len(blocks)
+    held = lambda r: zlib.crc32(str(r.doc_id).encode()) % 7 == 2
+    expected = Counter({t: 0 for r in table.collect() for t in tokens(r.text)})
+    for r in table.collect():
+        expected.update([] if held(r) else tokens(r.text))
+    counted = lm_score.word_counts(lists).collect()
+    assert {bytes(r.word): r.n for r in counted} == dict(expected) and len(counted) == len(expected)
+    scored = lm_score.word_counts(lists).selectExpr("*", "length(word) + 0.5D AS score")
+    found = {(r.of, r.at): r for r in lm_score.scored_lists(lists, scored).collect()}
+    for r in blocks:
+        got = found[r.chunk, r.at]
+        words = lm_score.parted(r.words)
+        assert lm_score.unpacked(got.n, got.size, np.int64).tolist() == [expected[w] for w in words]
+        assert lm_score.unpacked(got.score, got.size, np.float32).tolist() == [len(w) + 0.5 for w in words]
+
+
+def test_joined_words_come_back():
+    for words in ([b""], [b"a"], [b"a", b"", "ø\u00a0x".encode()]):
+        assert lm_score.parted(lm_score.joined(words)) == words
+
+
 def test_empty_table_and_no_training_rows(spark):
     assert lm_score.score_documents(empty(spark)).collect() == []
     held = next(i for i in range(100) if zlib.crc32(str(i).encode()) % 7 == 2)
