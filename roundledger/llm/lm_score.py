@@ -46,6 +46,8 @@ FOLDS, HELD_OUT = 7, 2
 CHUNK_BYTES = 8 * 2**20
 # Texts of so many bytes name the items of one shard.
 SHARD_BYTES = 5 * 2**19
+# Documents are summed up by blocks of about so many tokens.
+TOKENS = 1 << 18
 # Texts of so many bytes name the words of one bucket.
 BUCKET_BYTES = 4 * SHARD_BYTES
 # An item: hashes of the previous word and of the one before it, and a code.
@@ -114,6 +116,20 @@ def item_keys(ids: np.ndarray, starts: np.ndarray, hashes: np.ndarray) -> np.nda
     return keys
 
 
+def numbered(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct keys in order, and the number of each key there.
+
+    As np.unique, with half the memory: a chunk has millions of tokens.
+    """
+    order = keys.argsort()
+    keys = keys[order]
+    new = np.ones(len(keys), bool)
+    np.not_equal(keys[1:], keys[:-1], out=new[1:])
+    place = np.empty(len(keys), np.int32)
+    place[order] = np.cumsum(new, dtype=np.int32) - np.int32(1)
+    return keys[new], place
+
+
 def last_of(keys: np.ndarray) -> np.ndarray:
     return (keys >> np.uint64(BEFORE_BITS + CODE_BITS)).astype(np.int64)
 
@@ -538,9 +554,11 @@ def dealt(blobs: DataFrame, shards: Shards) -> DataFrame:
     def run(batches):
         for batch in batches:
             for row in rows_of(batch):
-                docs, _, keys = chunk_tokens(row)
-                keys, place = np.unique(keys, return_inverse=True)
+                docs, ids, keys = chunk_tokens(row)
+                del ids
+                keys, place = numbered(keys)
                 n = np.bincount(place[trained_tokens(docs)], minlength=len(keys)).astype(np.uint32)
+                del place
                 shard = shards.of(keys)
                 order = np.argsort(shard, kind="stable")
                 keys, n, shard = keys[order], n[order], shard[order]
@@ -831,30 +849,36 @@ def score_documents(
 
     def run(chunk, of_words):
         in_all = sum(of_words["size"].to_pylist())
-        n, word = np.zeros(in_all, np.int64), np.zeros(in_all)
+        n, word = np.zeros(in_all, np.int64), np.zeros(in_all, np.float32)
         for part in of_words.to_pylist():
             at = np.cumsum(unpacked(part["at"], part["size"], np.uint32), dtype=np.int64)
             n[at] = unpacked(part["n"], part["size"], np.int64)
             word[at] = unpacked(part["score"], part["size"], np.float32)
         base = np.log10(n + 1) - even
-        found, row = [], None
-        for part in chunk.to_pylist():
-            if part["blob"] is not None:
-                row = part
-            else:
-                found.append((part["shard"], unpacked(part["scores"], part["size"], np.float32)))
-        batch, ids, keys = chunk_tokens(row)
-        keys, place = np.unique(keys, return_inverse=True)
-        item = np.empty(len(keys))
-        item[np.argsort(shards.of(keys), kind="stable")] = np.concatenate(
-            [v for _, v in sorted(found, key=lambda f: f[0])]
-        )
+        blobs = chunk["blob"].is_valid()
+        batch, ids, keys = chunk_tokens(chunk.filter(blobs).to_pylist()[0])
+        keys, place = numbered(keys)
+        found = chunk.filter(pc.invert(blobs)).sort_by("shard")
+        of_shards = np.concatenate([
+            unpacked(blob.as_py(), size, np.float32)
+            for blob, size in zip(found["scores"], found["size"].to_pylist())
+        ])
+        item = np.empty(len(keys), np.float32)
+        item[np.argsort(shards.of(keys), kind="stable")] = of_shards
+        del keys, of_shards, found
         sizes = batch.column("words").to_numpy()
         starts = np.cumsum(sizes) - sizes
-        score = word[ids] + np.where(n[ids] > 0, item[place], 0.0)
-        # Every document has at least its end, so no sum is empty.
-        sums = [np.add.reduceat(v, starts) for v in (base[ids], score)]
-        known = np.add.reduceat((n > 0).astype(np.int64)[ids], starts)
+        # Every document has at least its end, so no sum is empty. Some documents at a time.
+        sums, known = np.empty((2, len(sizes))), np.empty(len(sizes), np.int64)
+        cuts = np.flatnonzero(np.diff(starts // TOKENS, prepend=-1))
+        for a, b in zip(cuts, [*cuts[1:], len(sizes)]):
+            some = slice(starts[a], starts[b - 1] + sizes[b - 1])
+            tokens, firsts = ids[some], starts[a:b] - starts[a]
+            seen = n[tokens] > 0
+            score = word[tokens].astype(np.float64) + np.where(seen, item[place[some]], 0.0)
+            sums[0, a:b] = np.add.reduceat(base[tokens], firsts)
+            sums[1, a:b] = np.add.reduceat(score, firsts)
+            known[a:b] = np.add.reduceat(seen.astype(np.int64), firsts)
         bits = -sums[1] / math.log10(2) / (batch.column("size").to_numpy() + 1)
         return pa.table(
             [

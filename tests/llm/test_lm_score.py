@@ -239,6 +239,20 @@ def test_joined_words_come_back():
         assert lm_score.parted(lm_score.joined(words)) == words
 
 
+def test_keys_are_numbered_as_by_unique():
+    for keys in ([], [5], [7, 2, 7, 2**63 + 1, 0]):
+        keys = np.array(keys, np.uint64)
+        for got, expected in zip(lm_score.numbered(keys), np.unique(keys, return_inverse=True)):
+            assert got.tolist() == expected.tolist()
+
+
+def test_documents_summed_in_blocks_score_the_same(spark, monkeypatch):
+    table = prose(spark, 60)
+    whole = {r.doc_id: r for r in lm_score.score_documents(table).collect()}
+    monkeypatch.setattr(lm_score, "TOKENS", 100)
+    assert {r.doc_id: r for r in lm_score.score_documents(table).collect()} == whole
+
+
 def test_empty_table_and_no_training_rows(spark):
     assert lm_score.score_documents(empty(spark)).collect() == []
     held = next(i for i in range(100) if zlib.crc32(str(i).encode()) % 7 == 2)
